@@ -56,12 +56,17 @@ class Rolling:
 
     def __init__(self, strings: list[str]):
         text = "".join(strings)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.codes = codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         self.starts = np.r_[0, np.cumsum([len(s) for s in strings])].astype(np.int64)
         with np.errstate(over="ignore"):
             self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(0x51ED27)) * _powers(len(codes), _BASE), dtype=np.uint64)]
             self.shift = _powers(len(codes) + 1, _INVERSE)
 
+    def parities(self) -> np.ndarray:
+        """64 bits for each string: the parity of how often characters of each of 64 classes stand in it."""
+        marks = np.r_[np.uint64(1) << ((self.codes * np.uint64(_MIX)) >> np.uint64(58)), np.zeros(1, np.uint64)]
+        return np.bitwise_xor.reduceat(marks, self.starts[:-1]).view(np.int64) if len(self.starts) > 1 else np.zeros(0, np.int64)
+
     def digests(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             value = (self.sums[at + lengths] - self.sums[at]) * self.shift[at]
@@ -81,7 +86,7 @@ def chunk_lengths(length: int) -> range:
 
 
 def stored_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, stored, place, size, length) of the chunks of strings (key, string)."""
+    """(digest, stored, place, size, length, parity) of the chunks of non-empty strings (key, string)."""
     for batch in batches:
         strings = batch.column("string").to_pylist()
         rolling = Rolling(strings)
@@ -104,17 +109,18 @@ def stored_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             owner += [row] * parts
         at, size, rows = np.asarray(places, np.int64), np.asarray(sizes, np.int64), np.asarray(owner, np.int64)
         length = np.diff(rolling.starts)[rows]
-        columns = [rolling.digests(rolling.starts[rows] + at, size), batch.column("key").to_numpy()[rows], at.astype(np.int32), size.astype(np.int32), length.astype(np.int32)]
-        yield from _sliced([pa.array(c) for c in columns], ["digest", "stored", "place", "size", "length"])
+        columns = [rolling.digests(rolling.starts[rows] + at, size), batch.column("key").to_numpy()[rows], at.astype(np.int32), size.astype(np.int32), length.astype(np.int32), rolling.parities()[rows]]
+        yield from _sliced([pa.array(c) for c in columns], ["digest", "stored", "place", "size", "length", "parity"])
 
 
 def query_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, query, query_place, query_length) of all substrings of strings (key, string) that may be a stored chunk."""
+    """(digest, query, query_place, query_length, query_parity) of all substrings of non-empty strings (key, string) that may be
+    a stored chunk."""
     for batch in batches:
         strings = batch.column("string").to_pylist()
         rolling = Rolling(strings)
         lengths = np.diff(rolling.starts)
-        keys = batch.column("key").to_numpy()
+        keys, parities = batch.column("key").to_numpy(), rolling.parities()
         for length in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == length)
             low, high = int(-(-length * (1 - SHARE) // 1)), int(length / (1 - SHARE))
@@ -124,8 +130,8 @@ def query_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(0, len(rows), step):
                     some = rows[k : k + step]
                     at = (rolling.starts[some][:, None] + places[None, :]).ravel()
-                    columns = [rolling.digests(at, np.full(len(at), size)), np.repeat(keys[some], len(places)), np.tile(places, len(some)).astype(np.int32), np.full(len(at), length, np.int32)]
-                    yield from _sliced([pa.array(c) for c in columns], ["digest", "query", "query_place", "query_length"])
+                    columns = [rolling.digests(at, np.full(len(at), size)), np.repeat(keys[some], len(places)), np.tile(places, len(some)).astype(np.int32), np.full(len(at), length, np.int32), np.repeat(parities[some], len(places))]
+                    yield from _sliced([pa.array(c) for c in columns], ["digest", "query", "query_place", "query_length", "query_parity"])
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +146,17 @@ def distinct_strings(records: DataFrame) -> DataFrame:
 
 
 def shared_chunks(stored: DataFrame, query: DataFrame) -> DataFrame:
-    """(stored, query, shared, length): length of the chunks that two strings share at places which few edits explain."""
+    """(stored, query, shared, length): length of the chunks that two strings share at places which few edits explain.
+
+    An edit changes at most two of the 64 parities of a string, so pairs with more unlike parities than twice the most
+    edits are left out as they are joined; that and the places lose no near pair."""
     width = shuffle_width(stored.sparkSession)
-    s = stored.repartition(width).mapInArrow(stored_chunks, "digest bigint, stored bigint, place int, size int, length int")
-    q = query.repartition(width).mapInArrow(query_chunks, "digest bigint, query bigint, query_place int, query_length int")
+    s = stored.repartition(width).mapInArrow(stored_chunks, "digest bigint, stored bigint, place int, size int, length int, parity bigint")
+    q = query.repartition(width).mapInArrow(query_chunks, "digest bigint, query bigint, query_place int, query_length int, query_parity bigint")
     shift, change = F.col("query_place") - F.col("place"), F.col("query_length") - F.col("length")
     edits = F.abs(shift) + F.abs(change - shift)
-    near = edits * SHARE.denominator <= SHARE.numerator * F.greatest("length", "query_length")
+    most = F.floor(F.greatest("length", "query_length") * SHARE.numerator / SHARE.denominator)
+    near = (edits <= most) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("query_parity"))) <= 2 * most)
     pairs = s.join(q, "digest").where(near).select("stored", "query", "place", "size", "length").distinct()
     return pairs.groupBy("stored", "query").agg(F.sum("size").alias("shared"), F.first("length").alias("length"))
 
