@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,17 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of tasks of a repartition before CPU-heavy Python work: adaptive coalescing by bytes would leave too few."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each Spark context, unless their PYTHONPATH already names its folder."""
+    home = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_glyphweir_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="glyphweir-")) / "glyphweir.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for path in sorted((home / "glyphweir").rglob("*.py")):
+            packed.write(path, path.relative_to(home))
+    context.addPyFile(str(archive))
+    context._glyphweir_shipped = True  # type: ignore[attr-defined]
