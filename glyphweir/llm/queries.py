@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphweir.llm import forms, overlap, stripes, terms
+from glyphweir.llm import bpe, forms, overlap, packing, stripes, subjects, terms
 from glyphweir.llm.statements import SQL
 from glyphweir.sources.tables import table
 
@@ -111,6 +111,32 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.unionByName(stripes.weighted_pairs(_transitions(spark, folder)).select(F.lit("personal_pair").alias("kind"), *own))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_ids(table(spark, folder, "documents"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = bpe.token_ids(table(spark, folder, "documents"), lengths=True)
+    return packing.fill_containers(sizes, table(spark, folder, "pack_profiles"), "doc_id", "n_tokens")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "pack_profiles"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents, known = table(spark, folder, "documents"), table(spark, folder, "subjects").select("subject")
+    rules = subjects.fit(documents, table(spark, folder, "subject_labels").join(F.broadcast(known), "subject", "left_semi"))
+    return subjects.classify(documents, rules)
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each subject, and their share of all documents that have one."""
+    found = p9_found(spark, folder)
+    share = F.col("n_documents") / F.sum("n_documents").over(Window.partitionBy())
+    return found.groupBy("subject").agg(F.count("*").alias("n_documents")).withColumn("share", F.round(share, 4))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -120,4 +146,9 @@ QUERIES = {
     "p5_counts": p5_counts,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }

@@ -26,55 +26,73 @@ LABELLED_DOCUMENTS = 20_000
 TERMS, RULES = 60_000, 60_000
 #: A term or rule has to stand in so many documents of its subject.
 LEAST_DOCUMENTS = 3
-#: Share of sentences that makes a subject, and the subject of documents that have none.
-SHARE, NO_SUBJECT = 0.2, "general"
+#: One sentence in so many makes a subject, and the subject of documents that have none.
+SHARE_OF, NO_SUBJECT = 5, "general"
 #: One labelled document in so many is kept for calibration.
 HELD_OUT = 5
 MAX_TERMS, MAX_RULE = 12, 3
 _LABEL = "\x01"
+_PLACE = ("term", "run", "low", "high")
 
 _HAN = "㐀-鿿〇豈-﫿𠀀-𱍊"
-_END = re.compile(r"[。！？；]+|[.!?]+(?=\s|$)|[\r\n]+")
+_END = re.compile(rf"[。！？｡．]+|[.!?]+(?=\s|$|[{_HAN}])|[\r\n]+")
 _ASIDE = re.compile(r"`[^`\n]*`|\[[0-9:]+\]")
 _RUN = re.compile(rf"[{_HAN}]+|[a-z]+(?:[-'’][a-z]+)*")
 _NO_ROOM = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 
+#: A term with its place: the run of Han characters or of words that it stands in, its start and its end there.
+Place = tuple[str, int, int, int]
+
 
 def units(text: str) -> list[str]:
     """The sentences and lines of a text: compatibility forms and case made plain; those without words left out."""
-    plain = _NO_ROOM.sub("", unicodedata.normalize("NFKC", text)).lower()
-    plain = plain.replace("!", "！") if False else plain
     found = []
-    for unit in _END.split(_ASIDE.sub(" ", plain)):
+    for part in _END.split(_ASIDE.sub(" ", _NO_ROOM.sub("", text))):
+        unit = unicodedata.normalize("NFKC", part).lower()
         runs = _RUN.findall(unit)
-        if sum(2 if r[0] > "z" else 1 for r in runs for _ in r) >= 4 and any(r[0] > "z" or len(r) > 2 for r in runs):
+        if any(len(r) > (1 if r[0] > "z" else 2) for r in runs):
             found.append(unit)
     return found
 
 
-def terms(unit: str) -> set[str]:
-    """Runs of 2 to 6 Han characters, and of 1 to 4 words of letters written together: a term is one whether its syllables are apart or not."""
-    found: set[str] = set()
+def terms(unit: str) -> list[Place]:
+    """Runs of 2 to 6 Han characters, and of 1 to 4 words of letters written together: a term is one whether its syllables
+    are apart or not."""
+    found: list[Place] = []
     words: list[str] = []
+    number = 0
     for run in _RUN.findall(unit):
         if run[0] > "z":
-            words = []
+            words, number = [], number + 1
             for i in range(len(run) - 1):
                 for n in range(2, min(6, len(run) - i) + 1):
-                    found.add(run[i : i + n])
+                    found.append((run[i : i + n], number, i, i + n))
+            number += 1
         else:
             words.append(re.sub("[^a-z]", "", run))
-            for n in range(1, 5):
-                if n <= len(words) and len(joined := "".join(words[-n:])) > 2:
-                    found.add(joined)
+            for n in range(1, min(4, len(words)) + 1):
+                if len(joined := "".join(words[-n:])) > 2:
+                    found.append((joined, number, len(words) - n, len(words)))
     return found
 
 
+def apart(places: list[Place], worth: dict[str, float]) -> list[str]:
+    """The terms of a sentence that tell most, none of which overlaps another; at most MAX_TERMS."""
+    chosen: list[Place] = []
+    for place in sorted((p for p in places if p[0] in worth), key=lambda p: (-worth[p[0]], p)):
+        if all(place[1] != o[1] or place[3] <= o[2] or o[3] <= place[2] for o in chosen) and all(place[0] != o[0] for o in chosen):
+            chosen.append(place)
+            if len(chosen) == MAX_TERMS:
+                break
+    return [p[0] for p in chosen]
+
+
 @dataclass(frozen=True)
 class Rules:
-    """Subjects' priors, rules as terms -> {subject: log-odds}, and the least score that is right at least half the time."""
+    """Subjects' priors, how much terms tell, rules as terms -> {subject: log-odds}, and the least score that is right at least half the time."""
 
     prior: dict[str, float]
+    worth: dict[str, float]
     weights: dict[tuple[str, ...], dict[str, float]]
     threshold: float
 
@@ -86,7 +104,7 @@ class Rules:
         return dict(found)
 
 
-def best_subject(own: set[str], index: dict) -> tuple[str | None, float]:
+def best_subject(own: list[str], index: dict) -> tuple[str | None, float]:
     """The subject with the most evidence in a sentence, and its lead over the next: (None, 0) if no rule matches."""
     evidence: dict[str, float] = defaultdict(float)
     for term in own:
@@ -116,17 +134,24 @@ def _transactions(labelled: DataFrame, key: str, text: str) -> DataFrame:
                 for unit in units(t):
                     keys.append(k)
                     subjects.append(s)
-                    found.append(sorted(terms(unit)))
+                    found.append(terms(unit))
             for at in range(0, len(keys), 2_000):
                 cut = slice(at, at + 2_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], batch.schema.field(key).type), pa.array(subjects[cut], pa.list_(pa.string())), pa.array(found[cut], pa.list_(pa.string()))], names=[key, "subjects", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], batch.schema.field(key).type), pa.array(subjects[cut], pa.list_(pa.string())), pa.array([[dict(zip(_PLACE, p)) for p in f] for f in found[cut]], pa.list_(pa.struct([("term", pa.string()), ("run", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])))], names=[key, "subjects", "terms"])
 
     kind = labelled.schema[key].dataType.simpleString()
-    return labelled.select(key, text, "subjects").mapInArrow(split, f"`{key}` {kind}, subjects array<string>, terms array<string>")
+    return labelled.select(key, text, "subjects").mapInArrow(split, f"`{key}` {kind}, subjects array<string>, terms array<struct<term: string, run: int, low: int, high: int>>")
+
+
+def _surely(k: int, n: int) -> float:
+    """Lower bound of the share k / n at two standard errors (Wilson)."""
+    z = 4.0
+    share = k / n
+    return (share + z / (2 * n) - math.sqrt(z * (share * (1 - share) + z / (4 * n)) / n)) / (1 + z / n)
 
 
-def _telling(counts: list[tuple[str, str, int]], prior: dict[str, float]) -> list[str]:
-    """Terms that lean to one subject, without those that are part of a longer one with the same counts."""
+def _telling(counts: list[tuple[str, str, int]], prior: dict[str, float]) -> dict[str, float]:
+    """Terms that lean to one subject, with how surely they do."""
     by_term: dict[str, dict[str, int]] = defaultdict(dict)
     for term, subject, n in counts:
         by_term[term][subject] = n
@@ -135,15 +160,8 @@ def _telling(counts: list[tuple[str, str, int]], prior: dict[str, float]) -> lis
         total = sum(per.values())
         subject, most = max(per.items(), key=lambda x: (x[1] / prior[x[0]], x[0]))
         if most >= LEAST_DOCUMENTS and most / total >= min(0.9, max(0.3, 2 * prior[subject])):
-            leaning[term] = per
-    longer: set[str] = set()
-    for term, per in leaning.items():
-        for n in range(2, len(term)):
-            for i in range(len(term) - n + 1):
-                part = term[i : i + n]
-                if leaning.get(part) == per:
-                    longer.add(part)
-    return sorted((t for t in leaning if t not in longer), key=lambda t: (-sum(leaning[t].values()), t))[:TERMS]
+            leaning[term] = _surely(most, total)
+    return dict(sorted(leaning.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
 
 
 def _pruned(rules: dict[tuple[str, ...], dict[str, float]]) -> dict[tuple[str, ...], dict[str, float]]:
@@ -167,24 +185,18 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         sizes = {r.subject: r.n for r in mining.groupBy("subject").agg(F.count("*").alias("n")).collect()}
         total = sum(sizes.values())
         if not total:
-            return Rules({}, {}, math.inf)
+            return Rules({}, {}, {}, math.inf)
         prior = {s: n / total for s, n in sizes.items()}
-        found = mining.select(key, "subject", F.explode("terms").alias("term")).groupBy("term", "subject").agg(F.count_distinct(key).alias("n"))
+        found = mining.select(key, "subject", F.explode("terms.term").alias("term")).groupBy("term", "subject").agg(F.count_distinct(key).alias("n"))
         often = found.groupBy("term").agg(F.max("n").alias("most"), F.collect_list(F.struct("subject", "n")).alias("per")).where(F.col("most") >= LEAST_DOCUMENTS)
         counts = [(r.term, p.subject, p.n) for r in often.select("term", "per").toLocalIterator() for p in r.per]
-        telling = {t: i for i, t in enumerate(_telling(counts, prior))}
+        worth = _telling(counts, prior)
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 items = []
                 for own, subject in zip(batch.column("terms").to_pylist(), batch.column("subject").to_pylist()):
-                    known = [t for t in own if t in telling]
-                    known = sorted(known, key=lambda t: (-len(t), t))
-                    longest: list[str] = []
-                    for t in known:  # a part of a chosen term adds nothing within one sentence
-                        if not any(t in o for o in longest):
-                            longest.append(t)
-                    items.append([*longest[:MAX_TERMS], _LABEL + subject])
+                    items.append([*apart([tuple(p.values()) for p in own], worth), _LABEL + subject])
                 yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], names=["items"])
 
         items = mining.select("terms", "subject").mapInArrow(choose, "items array<string>")
@@ -211,7 +223,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             if weight:
                 rules[own] = weight
         kept = _pruned(rules)
-        return Rules(prior, kept, _calibrated(rows, key, Rules(prior, kept, 0.0)))
+        in_rules = {t for own in kept for t in own}
+        worth = {t: w for t, w in worth.items() if t in in_rules}
+        return Rules(prior, worth, kept, _calibrated(rows, key, Rules(prior, worth, kept, 0.0)))
     finally:
         rows.unpersist()
 
@@ -220,13 +234,13 @@ def _calibrated(rows: DataFrame, key: str, rules: Rules) -> float:
     """The least score at which, on the documents kept out, a sentence's subject is among its document's labels at least
     half as often as not; scores are binned by halves."""
     held = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(HELD_OUT)) == 0)
-    index = rules.index()
+    index, worth = rules.index(), rules.worth
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins: dict[int, list[int]] = defaultdict(lambda: [0, 0])
             for own, subjects in zip(batch.column("terms").to_pylist(), batch.column("subjects").to_pylist()):
-                subject, lead = best_subject(set(own), index)
+                subject, lead = best_subject(apart([tuple(p.values()) for p in own], worth), index)
                 if subject is not None and subject != NO_SUBJECT:
                     own_bin = bins[min(int(2 * lead), 40)]
                     own_bin[0] += 1
@@ -255,7 +269,7 @@ def classify(documents: DataFrame, rules: Rules, key: str = "doc_id", text: str
     kind = documents.schema[key].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, threshold = shared.value.index(), shared.value.threshold
+        index, worth, threshold = shared.value.index(), shared.value.worth, shared.value.threshold
         known: dict[str, str | None] = {}
         for batch in batches:
             rows, subjects = [], []
@@ -266,7 +280,7 @@ def classify(documents: DataFrame, rules: Rules, key: str = "doc_id", text: str
                 parts = units(whole)
                 for unit in parts:
                     if (subject := known.get(unit, "")) == "":
-                        subject, lead = best_subject(terms(unit), index)
+                        subject, lead = best_subject(apart(terms(unit), worth), index)
                         if subject == NO_SUBJECT or lead < threshold:
                             subject = None
                         if len(known) > 100_000:
@@ -274,7 +288,7 @@ def classify(documents: DataFrame, rules: Rules, key: str = "doc_id", text: str
                         known[unit] = subject
                     if subject is not None:
                         own[subject] += 1
-                found = sorted(s for s, n in own.items() if n >= SHARE * len(parts)) or [NO_SUBJECT]
+                found = sorted(s for s, n in own.items() if n * SHARE_OF >= len(parts)) or [NO_SUBJECT]
                 rows += [row] * len(found)
                 subjects += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(subjects, pa.string())], names=[key, "subject"])
