@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from glyphweir.plans import quality
+from glyphweir.plans import corpus, decoding, quality
+from glyphweir.plans.corpus_sql import SQL as CORPUS_SQL
 
-QUERIES = {**quality.QUERIES}
-SQL = {**quality.SQL}
-flagship = quality.p1_loaded
+QUERIES = {**decoding.QUERIES, **corpus.QUERIES, **quality.QUERIES}
+SQL = {**decoding.SQL, **CORPUS_SQL, **quality.SQL}
+flagship = decoding.decode_word_topk
