@@ -63,7 +63,7 @@ def complete_sentence(spark: SparkSession, folder: str) -> DataFrame:
     """The five best ways to read a typed code as words in full code."""
     words = V.words(spark, folder)
     found = lattice.sentences(lattice.exact_edges(V.observed(spark, folder), words, keep=20), words, top=5)
-    return found.select("observed", "rank", "text", F.round("score", 5).alias("score"))
+    return found.select("observed", "rank", "text", "score")
 
 
 def sentence_kbest_unigram(spark: SparkSession, folder: str) -> DataFrame:
