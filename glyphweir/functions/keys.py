@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,6 @@ def fnv1a64(data: bytes) -> int:
 
 def fingerprint(text: Column) -> Column:
     """FNV-1a-64 of the UTF-8 bytes of a text as 16 hexadecimal digits; Spark's 64-bit product would overflow."""
-    import pandas as pd
 
     def all_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else f"{fnv1a64(t.encode()):016x}")

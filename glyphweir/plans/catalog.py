@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphweir.plans import corpus, decoding, quality, sessions
+from glyphweir.plans import corpus, decoding, extras, quality, sessions, streams
 from glyphweir.plans.corpus_sql import SQL as CORPUS_SQL
 from glyphweir.plans.sessions_sql import SQL as SESSIONS_SQL
 
-QUERIES = {**decoding.QUERIES, **corpus.QUERIES, **sessions.QUERIES, **quality.QUERIES}
-SQL = {**decoding.SQL, **CORPUS_SQL, **SESSIONS_SQL, **quality.SQL}
+QUERIES = {**decoding.QUERIES, **corpus.QUERIES, **sessions.QUERIES, **extras.QUERIES, **streams.QUERIES, **quality.QUERIES}
+SQL = {**decoding.SQL, **CORPUS_SQL, **SESSIONS_SQL, **extras.SQL, **streams.SQL, **quality.SQL}
 flagship = decoding.decode_word_topk
