@@ -35,7 +35,7 @@ _LABEL = "\x01"
 _PLACE = ("term", "run", "low", "high")
 
 _HAN = "㐀-鿿〇豈-﫿𠀀-𱍊"
-_END = re.compile(rf"[。！？｡．]+|[.!?]+(?=\s|$|[{_HAN}])|[\r\n]+")
+_END = re.compile(rf"[。！｡．]+|？+(?!因为)|[.!]+(?=\s|$|[{_HAN}])|\?+(?=\s|$|[{_HAN}])(?!\s*because)|[\r\n]+|[^\S\r\n]{{2,}}", re.IGNORECASE)
 _ASIDE = re.compile(r"`[^`\n]*`|\[[0-9:]+\]")
 _RUN = re.compile(rf"[{_HAN}]+|[a-z]+(?:[-'’][a-z]+)*")
 _NO_ROOM = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
