@@ -95,7 +95,10 @@ def one_form(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     Null stays null and empty stays empty. One narrow stage; each task holds one Arrow batch and one DuckDB connection.
     """
     kept = [c for c in df.columns if c not in columns.values()]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)))
+    prefix = "__text"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    source = df.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(columns)))
     statement = "SELECT " + ", ".join(f"{form_sql(f'__{i}')} AS f{i}" for i in range(len(columns))) + " FROM batch"
     schema = T.StructType([*source.schema.fields[: len(kept)], *(T.StructField(c, T.StringType()) for c in columns.values())])
 
