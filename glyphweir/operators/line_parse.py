@@ -168,7 +168,7 @@ def parse_deliveries(lines: DataFrame, syllables: DataFrame, line: str = "line")
     allowed = small_values(syllables, "syllable", SYLLABLE_BOUND)
     own = F.regexp_replace(F.col(line), r"\r\z", "")
     parse = F.pandas_udf(_parse_all, PARSED)
-    kept = [c for c in lines.columns if c not in {"reason", "operations", "text", "pinyin", "frequency"}]
+    kept = [c for c in lines.columns if c not in {"reason", "operations", "text", "pinyin", "frequency", "__own", "__parsed"}]
     data = (
         lines.select(*(F.col(f"`{c}`") for c in kept), own.alias("__own"))
         .where((F.rtrim("__own") != "") & ~F.startswith("__own", F.lit("#")))
