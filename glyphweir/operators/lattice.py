@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from glyphweir.functions.scoring import ABBREVIATION_COST, BIGRAM_SHARE, CORRECTION_COST, LITERAL_COST, SMOOTHING, UNIGRAM_SHARE
 from glyphweir.operators.lexicon import ranked, spelling_table
 from glyphweir.operators.noisy import candidate_order, matches
+from glyphweir.session import shuffle_width
 
 #: Longest code that is decoded; longer ones have no sentences.
 CODE_LIMIT = 64
@@ -75,22 +77,22 @@ class Model:
         return math.log((self.pairs.get((before, word), 0) + SMOOTHING) / (self.totals.get(before, 0) + SMOOTHING * self.size))
 
 
-@dataclass(frozen=True, order=False)
-class Path:
+class Path(NamedTuple):
+    """One way to read a code; the first fields are its order: unresolved keys, error, score, words, text."""
+
     unresolved: int
     used_error: bool
-    score: float
+    cost: float
+    n_words: int
+    text: str
     texts: tuple[str, ...]
     codes: tuple[str, ...]
     anchored: bool
     swapped: bool
-
-    @property
-    def text(self) -> str:
-        return "".join(self.texts)
+    score: float
 
     def order(self) -> tuple:
-        return (self.unresolved, self.used_error, -round(self.score, 9), len(self.texts), self.text, self.texts, self.codes)
+        return self[:7]
 
     def lane(self) -> str:
         if not self.used_error:
@@ -114,62 +116,68 @@ def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text
     resets the word before. Of one entry over one span the better of its exact and corrected spellings counts."""
     size = len(observed)
     at: list[list[dict]] = [[] for _ in range(size)]
+    befores: list[set[str]] = [{""} for _ in range(size + 1)]
+    corrected = False
     for edge in edges:
         at[edge["low"]].append(edge)
-    memo: dict[tuple[int, bool, str], list[Path]] = {}
-    end = [Path(0, False, 0.0, (), (), True, False)]
-
-    def word(edge: dict, before: str) -> float:
-        own = math.log(edge["frequency"] / total)
-        if model and before:
-            own = UNIGRAM_SHARE * own + BIGRAM_SHARE * model.log(before, edge["text"])
-        return own - ABBREVIATION_COST * edge.get("abbreviated", 0) - CORRECTION_COST[edge.get("kind", "exact")]
-
-    def usable(place: int, used: bool) -> list[dict]:
-        """Edges by entry and span: the better layer while the error is unspent, else the exact ones."""
-        best: dict[tuple, dict] = {}
+        corrected |= edge.get("kind", "exact") != "exact"
+        if model:
+            befores[edge["high"]].add(edge["text"])
+    end = [Path(0, False, 0.0, 0, "", (), (), True, False, 0.0)]
+    # By place, whether the error is spent, and the word before (one for all without a model).
+    best: list[dict[tuple[bool, str], list[tuple]]] = [{} for _ in range(size)]
+    best.append({(used, before): end for used in (False, True) for before in befores[size]})
+
+    def usable(place: int, used: bool) -> list[tuple]:
+        """(high, text, code, own score, cost, spent, anchored, swapped): by entry and span the better of the exact and the
+        corrected spellings while the error is unspent, else the exact one."""
+        found: dict[tuple, tuple] = {}
         for edge in at[place]:
-            if used and edge.get("kind", "exact") != "exact":
+            kind, short = edge.get("kind", "exact"), edge.get("abbreviated", 0)
+            if used and kind != "exact":
                 continue
-            identity = (edge["high"], edge["text"], edge["code"])
-            if identity not in best or (-round(word(edge, ""), 9), edge.get("abbreviated", 0), edge.get("kind", "exact") != "exact") < (-round(word(best[identity], ""), 9), best[identity].get("abbreviated", 0), best[identity].get("kind", "exact") != "exact"):
-                best[identity] = edge
-        return list(best.values())
-
-    def kept(paths: list[Path]) -> list[Path]:
+            own, cost = math.log(edge["frequency"] / total), ABBREVIATION_COST * short + CORRECTION_COST[kind]
+            identity, rank = (edge["high"], edge["text"], edge["code"]), (round(cost - own, 9), short, kind != "exact")
+            if identity not in found or rank < found[identity][0]:
+                found[identity] = (rank, (*identity, own, cost, kind != "exact", anchored_suffix(edge["code"], edge.get("spelling", edge["code"])), kind == "swap"))
+        return [edge for _, edge in found.values()]
+
+    def kept(paths: list[tuple]) -> list[tuple]:
+        """The best of each lane in order; the same cut of a text once, ``per_text`` cuts of it, ``keep`` texts."""
+        paths.sort()
         seen, texts, lanes, out = set(), {}, {}, []
-        for path in sorted(paths, key=Path.order):
-            if (path.texts, path.codes) in seen or texts.get(path.text, 0) >= per_text:
+        for path in paths:
+            cut, text = (path[5], path[6]), path[4]
+            if cut in seen or texts.get(text, 0) >= per_text:
                 continue
-            lane = lanes.setdefault(path.lane(), set())
-            if path.text not in lane and len(lane) >= keep:
+            lane = lanes.setdefault(2 if not path[1] else 1 if path[7] and path[8] and not path[0] else 0, set())
+            if text not in lane and len(lane) >= keep:
                 continue
-            seen.add((path.texts, path.codes))
-            texts[path.text] = texts.get(path.text, 0) + 1
-            lane.add(path.text)
+            seen.add(cut)
+            texts[text] = texts.get(text, 0) + 1
+            lane.add(text)
             out.append(path)
         return out
 
-    def solve(place: int, used: bool, before: str) -> list[Path]:
-        return end if place == size else memo.get((place, used, before if model else ""), [])
-
     for place in range(size - 1, -1, -1):
-        befores = {""} | ({e["text"] for e in edges if e["high"] == place} if model else set())
-        for used in (False, True):
-            own = usable(place, used)
-            for before in befores:
-                found: list[Path] = []
-                for edge in own:
-                    kind = edge.get("kind", "exact")
-                    score, spent = word(edge, before), kind != "exact"
-                    anchored = kind == "swap" and anchored_suffix(edge["code"], edge.get("spelling", edge["code"])) or kind != "swap" and anchored_suffix(edge["code"], edge.get("spelling", edge["code"]))
-                    for rest in solve(edge["high"], used or spent, edge["text"]):
-                        found.append(Path(rest.unresolved, spent or rest.used_error, score + rest.score, (edge["text"], *rest.texts), (edge["code"], *rest.codes), anchored and rest.anchored, kind == "swap" or rest.swapped))
+        for used in (False, True) if corrected else (False,):
+            own_edges = usable(place, used)
+            for before in befores[place]:
+                found: list[tuple] = []
+                for high, text, code, own, cost, spent, anchored, swapped in own_edges:
+                    if model and before:
+                        own = UNIGRAM_SHARE * own + BIGRAM_SHARE * model.log(before, text)
+                    score = own - cost
+                    for rest in best[high].get((used or spent, text if model else ""), ()):
+                        whole = score + rest[9]
+                        found.append((rest[0], spent or rest[1], -round(whole, 9), rest[3] + 1, text + rest[4], (text, *rest[5]), (code, *rest[6]), anchored and rest[7], swapped or rest[8], whole))
                 if literals:
-                    for rest in solve(place + 1, used, ""):
-                        found.append(Path(rest.unresolved + 1, rest.used_error, rest.score - LITERAL_COST, (f"〔{observed[place]}〕", *rest.texts), ("", *rest.codes), False, rest.swapped))
-                memo[place, used, before] = kept(found)
-    return sorted(solve(0, False, ""), key=Path.order) if size else []
+                    text = f"〔{observed[place]}〕"
+                    for rest in best[place + 1].get((used, ""), ()):
+                        whole = rest[9] - LITERAL_COST
+                        found.append((rest[0] + 1, rest[1], -round(whole, 9), rest[3] + 1, text + rest[4], (text, *rest[5]), ("", *rest[6]), False, rest[8], whole))
+                best[place][used, before] = kept(found)
+    return [Path(*p) for p in best[0][False, ""]] if size else []
 
 
 def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int = 1, literals: bool = False, model: Model | None = None, codes: DataFrame | None = None) -> DataFrame:
@@ -180,12 +188,13 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
     total = int(words.agg(F.coalesce(F.sum("frequency"), F.lit(1))).first()[0])
     optional = [c for c in ("abbreviated", "kind", "spelling") if c in edges.columns]
     fields = ["low", "high", "text", "code", "frequency", *optional]
-    grouped = edges.groupBy("observed").agg(F.collect_list(F.struct(*fields)).alias("edges"))
+    # The number of parts is set: adaptive coalescing by bytes would leave the paths to a task or two.
+    grouped = edges.repartition(shuffle_width(edges.sparkSession), "observed").groupBy("observed").agg(F.collect_list(F.struct(*fields)).alias("edges"))
     if codes is not None:
         own = codes.select("observed").where((F.length("observed") > 0) & (F.length("observed") <= CODE_LIMIT)).distinct()
         grouped = own.join(grouped, "observed", "left")
     shared = edges.sparkSession.sparkContext.broadcast(model)
-    keep = max(2 * top, 20)
+    keep = max(2 * top, 20) if "kind" in edges.columns else top  # without corrections there is one lane, and the best texts of a state suffice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +210,7 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
 def lanes(edges: DataFrame, words: DataFrame, top: int = 5) -> DataFrame:
     """(observed, lane, rank, text, score): the best paths, and apart from them the recovered swaps with other texts."""
     total = int(words.agg(F.coalesce(F.sum("frequency"), F.lit(1))).first()[0])
-    grouped = edges.groupBy("observed").agg(F.collect_list(F.struct("low", "high", "text", "code", "frequency", "abbreviated", "kind", "spelling")).alias("edges"))
+    grouped = edges.repartition(shuffle_width(edges.sparkSession), "observed").groupBy("observed").agg(F.collect_list(F.struct("low", "high", "text", "code", "frequency", "abbreviated", "kind", "spelling")).alias("edges"))
     keep = max(2 * top, 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
