@@ -72,10 +72,3 @@ def clock_faults(events: DataFrame) -> DataFrame:
     """Events earlier than the one before them in their segment."""
     back = F.lag("elapsed_ms").over(in_order(*SEGMENT)) > F.col("elapsed_ms")
     return events.withColumn("back", F.coalesce(back, F.lit(False))).where("back").drop("back")
-
-
-def nearest_rank(values: str, share_num: int, share_den: int) -> Column:
-    """The exact value at index ceil(share n) - 1 of the sorted values."""
-    ordered = F.sort_array(F.collect_list(values))
-    n = F.count(values)
-    return F.get(ordered, (F.ceil(n * share_num / share_den) - 1).cast("int"))

@@ -6,26 +6,49 @@ are many and fold in parallel. What the state would be without retraction is a p
 
 from __future__ import annotations
 
-from collections import OrderedDict, defaultdict
+from collections import OrderedDict, defaultdict, namedtuple
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glyphweir.session import shuffle_width
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+
 #: Places of the memory's tiers.
 PENDING, RECENT, MEDIUM, LONG = 128, 128, 1024, 8192
 TIER_WEIGHT = {"recent": 4, "medium": 2, "long": 1}
 
 
-def fold(events: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """Runs ``step`` over each key's events in order; its tuples are the rows after the key's own columns."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+def fold(events: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, Iterator[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Runs ``step`` over each key's events in order, one at a time; what it returns are the rows after the key's columns.
+
+    Rows are hashed by key and sorted within their parts, which spills, and read as a stream: a key with a third of all
+    events takes its time but no memory beyond the step's own state."""
+    rest = [c for c in events.columns if c not in keys]
+    parts = events.select(*keys, *rest).repartition(shuffle_width(events.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    names, n = [*keys, *rest], len(keys)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = step(key, rows.sort_values(order, kind="stable"))
-        return pd.DataFrame([(*key, *r) for r in own], columns=[*keys, *names[len(keys) :]] if names[: len(keys)] == keys else names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = pa.schema([(name, _ARROW[kind]) for name, kind in (part.strip().split(" ") for part in schema.split(","))])
+        made = namedtuple("Event", names)
+        rows = (made(*values) for batch in batches for values in zip(*(column.to_pylist() for column in batch.columns)))
+        out: list[tuple] = []
 
-    return events.groupBy(*keys).applyInPandas(run, schema)
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], field.type) for i, field in enumerate(target)], schema=target)
+
+        for key, own in groupby(rows, key=lambda r: r[:n]):
+            out += [(*key, *r) for r in step(key, own)]
+            if len(out) >= 10_000:
+                yield flush()
+                out.clear()
+        if out:
+            yield flush()
+
+    return parts.mapInArrow(run, schema)
 
 
 class Spans:
@@ -60,13 +83,12 @@ class Spans:
         return lost
 
 
-def retract(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-    """(text, learned, kept) of a session: commits are learned where they were put; revisions take words back.
-
-    A place that is ambiguous teaches a count only and moves nothing."""
+def retract(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
+    """(text, learned, kept) of a segment, which is one document: commits are learned where they were put; revisions take
+    words back. A place that is ambiguous teaches a count only and moves nothing."""
     spans, learned = Spans(), defaultdict(int)
     loose: dict[str, int] = defaultdict(int)
-    for row in rows.itertuples(index=False):
+    for row in rows:
         inserted, deleted = row.inserted or "", row.deleted or ""
         if row.kind == "Commit":
             if row.reliable:
@@ -120,23 +142,19 @@ class Tiers:
         return found
 
 
-def tiered(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-    """(code, text, weight): commits are observed, revisions edit, and the end of a segment confirms."""
-    tiers, segment = Tiers(), None
-    for row in rows.itertuples(index=False):
-        if segment is not None and row.segment_seq != segment:
-            tiers.confirm()
-        segment = row.segment_seq
+def pending_at_end(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
+    """(place, code, text) of the selections that a segment has pending at its end, which confirms them, in order."""
+    tiers = Tiers()
+    for row in rows:
         inserted, deleted = row.inserted or "", row.deleted or ""
         if row.reliable:
             tiers.edit(row.start, len(deleted), len(inserted))
         if row.kind == "Commit" and row.code and inserted and row.reliable:
             tiers.observe(row.start, row.code, inserted)
-    tiers.confirm()
-    return [(code, text, n) for (code, text), n in sorted(tiers.weights().items())]
+    return [(place, code, text) for place, (_, _, code, text) in enumerate(tiers.pending)]
 
 
-def tail_trims(key: tuple, rows: pd.DataFrame, most_gap: int = 5_000) -> list[tuple]:
+def tail_trims(key: tuple, rows: Iterator[tuple], most_gap: int = 5_000) -> list[tuple]:
     """(event_id, committed, left, n_edits) of commits whose end was deleted bit by bit right after them."""
     found, text, start, last, event, edits = [], None, 0, 0, None, 0
 
@@ -145,7 +163,7 @@ def tail_trims(key: tuple, rows: pd.DataFrame, most_gap: int = 5_000) -> list[tu
             found.append((event, whole, text, edits))
 
     whole = ""
-    for row in rows.itertuples(index=False):
+    for row in rows:
         deleted, inserted = row.deleted or "", row.inserted or ""
         if text and row.kind == "Revision" and row.reliable and deleted and not inserted and 0 <= row.elapsed_ms - last <= most_gap and text.endswith(deleted) and row.start == start + len(text) - len(deleted) and len(deleted) < len(text):
             text, last, edits = text[: -len(deleted)], row.elapsed_ms, edits + 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,5 +59,11 @@ def greedy_first_unseen(candidates: DataFrame, group: str, place: str, text: str
         left = cut(left.join(lost.select(group, place), [group, place], "left_anti"))
 
 
-def bucket_label(value: Column, bounds: tuple[int, ...]) -> Column:
-    return sum((F.when(value >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+def order_statistics(counted: DataFrame, key: str, value: str, times: str) -> DataFrame:
+    """(key, n, least, median, p95, most) of values with how often they occur: the values at the 0-based places n / 2,
+    rounded down, and ceil(0.95 n) - 1 of all in order. Only distinct values are put in order, never all rows."""
+    w = Window.partitionBy(key)
+    upto = F.sum(times).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.select(key, value, times, upto.alias("__upto"), F.sum(times).over(w).alias("__n"))
+    middle, high = F.floor(F.col("__n") / 2) + 1, F.ceil(F.col("__n") * 95 / 100)
+    return placed.groupBy(key).agg(F.max("__n").alias("n"), F.min(value).alias("least"), F.min(F.when(F.col("__upto") >= middle, F.col(value))).alias("median"), F.min(F.when(F.col("__upto") >= high, F.col(value))).alias("p95"), F.max(value).alias("most"))

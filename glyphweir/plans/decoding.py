@@ -10,6 +10,7 @@ from glyphweir.functions import keys as K
 from glyphweir.functions.scoring import ABBREVIATION_COST, safe_ratio
 from glyphweir.operators import lexicon as L
 from glyphweir.operators import noisy
+from glyphweir.operators.sampling import order_statistics
 from glyphweir.plans import views as V
 from glyphweir.sources.tables import table
 
@@ -53,7 +54,7 @@ def token_fallback_cover(spark: SparkSession, folder: str) -> DataFrame:
     tokens = V.spoken(spark, folder).select("id", F.posexplode("items").alias("pos", "form"))
     seen = tokens.join(known.select(F.col("text").alias("form"), F.lit(1).alias("word")), "form", "left")
     letters = seen.where("word is null").select("id", "pos", F.explode(F.filter(F.split("form", ""), lambda c: c != "")).alias("c"))
-    spelled = letters.join(F.broadcast(singles.limit(50_000)), "c", "left").groupBy("id", "pos").agg(F.min(F.coalesce("single", F.lit(0))).alias("spelled"))
+    spelled = letters.join(singles, "c", "left").groupBy("id", "pos").agg(F.min(F.coalesce("single", F.lit(0))).alias("spelled"))
     covered = seen.join(spelled, ["id", "pos"], "left").groupBy("id").agg(F.count("word").alias("n_words"), F.count_if(F.col("word").isNull() & (F.coalesce("spelled", F.lit(0)) == 1)).alias("n_spelled"), F.count("*").alias("n"))
     return covered.agg(F.count("*").alias("n_sentences"), F.count_if(F.col("n") == F.col("n_words") + F.col("n_spelled")).alias("n_covered"), F.sum("n_words").alias("n_words"), F.sum("n_spelled").alias("n_spelled"))
 
@@ -275,11 +276,9 @@ def word_shortened_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Exact order statistics of the ranking times per pool depth."""
-    from glyphweir.operators.events import nearest_rank
-
     runs = table(spark, folder, "context_lab_runs").distinct().where("ranking_millis is not null")
-    middle = F.get(F.sort_array(F.collect_list("ranking_millis")), F.floor(F.count("*") / 2).cast("int"))
-    return runs.groupBy("pool_depth").agg(F.count("*").alias("n"), F.min("ranking_millis").alias("least"), middle.alias("median"), nearest_rank("ranking_millis", 95, 100).alias("p95"), F.max("ranking_millis").alias("most"))
+    per = runs.groupBy("pool_depth", F.col("ranking_millis").alias("v")).agg(F.count("*").alias("times"))
+    return order_statistics(per, "pool_depth", "v", "times")
 
 
 QUERIES = {

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def slot_state(spark: SparkSession, folder: str) -> DataFrame:
     action = F.create_map(*(F.lit(x) for pair in {"signup": "adopt", "view": "stage", "purchase": "promote", "error": "rollback"}.items() for x in pair))
     rows = table(spark, folder, "events").select("user_id", "ts", "event_id", F.try_element_at(action, F.col("event_type")).alias("action"), F.get_json_object("props", "$.k").alias("package")).where("action is not null and user_id is not null")
 
-    def step(key: tuple, own: pd.DataFrame) -> list[tuple]:
-        return [M.slots(zip(own.action, own.package))]
+    def step(key: tuple, own: Iterator[tuple]) -> list[tuple]:
+        return [M.slots((row.action, row.package) for row in own)]
 
     return M.fold(rows, ["user_id"], ["ts", "event_id"], step, "user_id bigint, current string, candidate string, previous string")
 
@@ -168,31 +169,31 @@ def adaptive_closed_loop(spark: SparkSession, folder: str) -> DataFrame:
     lists = pool.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("public_rank", "text", "frequency"))).alias("pool"))
     own = P._flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable", "code").join(lists, "code", "left")
 
-    def step(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        out = []
-        for name, (most, least) in PROFILES.items():
-            tiers, segment = M.Tiers(), None
-            n = plain = first = gained = lost = 0
-            for row in rows.itertuples(index=False):
-                if segment is not None and row.segment_seq != segment:
-                    tiers.confirm()
-                segment = row.segment_seq
-                if row.kind == "Commit" and row.pool is not None and any(c["text"] == row.inserted for c in row.pool):
-                    weights = tiers.weights()
-                    mass = sum(c["frequency"] for c in row.pool)
+    def step(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
+        tiers, segment = M.Tiers(), None  # the memory learns alike under all profiles
+        counts = {name: [0] * 5 for name in PROFILES}
+        for row in rows:
+            if segment is not None and row.segment_seq != segment:
+                tiers.confirm()
+            if segment is None or row.segment_seq != segment:
+                weights = tiers.weights()  # only the end of a segment changes what is confirmed
+            segment = row.segment_seq
+            if row.kind == "Commit" and row.pool is not None and any(c["text"] == row.inserted for c in row.pool):
+                mass = sum(c["frequency"] for c in row.pool)
+                before = next(c["public_rank"] for c in row.pool if c["text"] == row.inserted)
+                for name, (most, least) in PROFILES.items():
                     evidence = [w if (w := weights.get((row.code, c["text"]), 0)) >= least else 0 for c in row.pool]
                     total = sum(evidence)
                     mix = most * total / (total + 4)
                     scored = sorted((-round((1 - mix) * c["frequency"] / mass + mix * (e + 0.5) / (total + 0.5 * len(evidence)), 12), c["public_rank"], c["text"]) for c, e in zip(row.pool, evidence))
-                    before = next(c["public_rank"] for c in row.pool if c["text"] == row.inserted)
                     after = next(i for i, s in enumerate(scored, 1) if s[2] == row.inserted)
-                    n, plain, first, gained, lost = n + 1, plain + (before == 1), first + (after == 1), gained + (after < before), lost + (after > before)
-                if row.reliable:
-                    tiers.edit(row.start, len(row.deleted), len(row.inserted))
-                if row.kind == "Commit" and row.code and row.inserted and row.reliable:
-                    tiers.observe(row.start, row.code, row.inserted)
-            out.append((name, n, plain, first, gained, lost))
-        return out
+                    for i, one in enumerate((1, before == 1, after == 1, after < before, after > before)):
+                        counts[name][i] += one
+            if row.reliable:
+                tiers.edit(row.start, len(row.deleted), len(row.inserted))
+            if row.kind == "Commit" and row.code and row.inserted and row.reliable:
+                tiers.observe(row.start, row.code, row.inserted)
+        return [(name, *own) for name, own in counts.items()]
 
     found = M.fold(own, ["session_id"], ["segment_seq", "pos", "event_id"], step, "session_id string, profile string, n bigint, plain_first bigint, adapted_first bigint, gained bigint, lost bigint")
     return found.groupBy("profile").agg(*(F.sum(c).alias(c) for c in ("n", "plain_first", "adapted_first", "gained", "lost")))
@@ -201,17 +202,16 @@ def adaptive_closed_loop(spark: SparkSession, folder: str) -> DataFrame:
 def profile_delta(spark: SparkSession, folder: str) -> DataFrame:
     """The profiles against the reference."""
     found = adaptive_closed_loop(spark, folder)
-    base = found.where("profile = 'reference'").select(*(F.col(c).alias(f"r_{c}") for c in ("adapted_first", "gained", "lost")))
-    values = [(F.col(c) - base.select(f"r_{c}").scalar()).alias(f"{c}_delta") for c in ("adapted_first", "gained", "lost")]
-    return found.select("profile", *values)
+    reference = lambda c: F.max(F.when(F.col("profile") == "reference", F.col(c))).over(Window.partitionBy())  # noqa: E731 (four rows)
+    return found.select("profile", *((F.col(c) - reference(c)).alias(f"{c}_delta") for c in ("adapted_first", "gained", "lost")))
 
 
 def tracker_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Changes of each segment replayed on a text, and found again as the one span in which successive texts differ."""
 
-    def step(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+    def step(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
         text, n, found = "", 0, 0
-        for row in rows.itertuples(index=False):
+        for row in rows:
             start = min(int(row.start), len(text))
             after = text[:start] + row.inserted + text[start + len(row.deleted) :]
             if after != text:
@@ -233,8 +233,8 @@ def tracker_fold(spark: SparkSession, folder: str) -> DataFrame:
 def paint_timer_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Frames painted and left out per session if events came as frames, for delays of 500 to 4,000 ms."""
 
-    def step(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        times = rows.elapsed_ms.tolist()
+    def step(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
+        times = [row.elapsed_ms for row in rows]
         gaps = [max(0, b - a) for a, b in zip(times, times[1:])] + [1 << 40] * bool(times)
         return [(delay, *M.painted(gaps, delay)) for delay in (500, 1000, 2000, 4000)]
 

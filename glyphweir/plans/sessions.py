@@ -286,13 +286,20 @@ def frozen_vs_causal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def personal_retraction(spark: SparkSession, folder: str) -> DataFrame:
-    """Words each session learned and still keeps after its later edits took some back."""
-    return M.fold(_flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable"), ["session_id"], ["segment_seq", "pos", "event_id"], M.retract, "session_id string, text string, learned bigint, kept bigint")
+    """Words each session learned and still keeps after later edits took some back; a segment is a document of its own."""
+    own = _flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable")
+    per = M.fold(own, ["session_id", "segment_seq"], ["pos", "event_id"], M.retract, "session_id string, segment_seq bigint, text string, learned bigint, kept bigint")
+    return per.groupBy("session_id", "text").agg(F.sum("learned").alias("learned"), F.sum("kept").alias("kept"))
 
 
 def pending_span_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """Weights of what each session's memory holds, by code and text, once every segment is confirmed."""
-    return M.fold(_flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable", "code"), ["session_id"], ["segment_seq", "pos", "event_id"], M.tiered, "session_id string, code string, text string, weight bigint")
+    """Weights of what each session's memory holds, by code and text: the end of a segment confirms what is left of it;
+    tiers go by recency over the whole session."""
+    own = _flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable", "code")
+    left = M.fold(own, ["session_id", "segment_seq"], ["pos", "event_id"], M.pending_at_end, "session_id string, segment_seq bigint, place bigint, code string, text string")
+    age = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("segment_seq"), F.desc("place")))
+    weight = F.when(F.col("age") <= M.RECENT, M.TIER_WEIGHT["recent"]).when(F.col("age") <= M.RECENT + M.MEDIUM, M.TIER_WEIGHT["medium"]).otherwise(M.TIER_WEIGHT["long"])
+    return left.withColumn("age", age).where(F.col("age") <= M.LONG).groupBy("session_id", "code", "text").agg(F.sum(weight).alias("weight"))
 
 
 def commit_tail_trim(spark: SparkSession, folder: str) -> DataFrame:
@@ -305,8 +312,8 @@ def rolling_buffer(spark: SparkSession, folder: str) -> DataFrame:
 
     def step(key, rows):
         ring = M.Ring(4_096)
-        for n, (at, size) in enumerate(zip(rows.elapsed_ms, rows["size"])):
-            ring.add(n, int(size))
+        for n, row in enumerate(rows):
+            ring.add(n, row.size)
         return [(len(ring.rows), ring.size, ring.dropped)]
 
     size = F.length("inserted") + F.length("deleted") + F.coalesce(F.size("keys"), F.lit(0)) + 16

@@ -54,7 +54,7 @@ def read_dictionary(spark: SparkSession, path: str, shadowed: DataFrame | None =
     rows = rows.select("line_no", *(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("text", "pinyin", "weight"))), F.size("f").alias("n"), "codes", "code")
     rows = rows.withColumn("frequency", F.greatest(F.expr("try_cast(weight as bigint)"), F.lit(1)))
     if shadowed is not None:
-        rows = rows.join(F.broadcast(shadowed.select("text", F.lit(True).alias("hidden")).distinct()), "text", "left")
+        rows = rows.join(shadowed.select("text", F.lit(True).alias("hidden")).distinct(), "text", "left")
     else:
         rows = rows.withColumn("hidden", F.lit(None).cast("boolean"))
     fault = (

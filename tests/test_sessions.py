@@ -9,7 +9,7 @@ from glyphweir.streaming import sessions as S
 
 
 def frame(rows):
-    return pd.DataFrame(rows, columns=["kind", "start", "deleted", "inserted", "reliable", "segment_seq", "code", "event_id", "elapsed_ms"])
+    return list(pd.DataFrame(rows, columns=["kind", "start", "deleted", "inserted", "reliable", "segment_seq", "code", "event_id", "elapsed_ms"]).itertuples(index=False))
 
 
 def test_retraction_and_shift():
@@ -86,3 +86,22 @@ def test_formats(spark, tmp_path):
     (tmp_path / "cases.tsv").write_text("q\t词 库\nr\t词 无\n")
     words = formats.read_lexicon(spark, str(tmp_path / "lex.tsv"))
     assert [tuple(r) for r in formats.read_cases(spark, str(tmp_path / "cases.tsv"), words).collect()] == [("q", "ck", "词库")]
+
+
+def test_pending_at_the_end_of_a_segment():
+    rows = [("Commit", 0, "", "ab", True, 0, "x", 1, 0), ("Commit", 2, "", "cd", True, 0, "y", 2, 10), ("Commit", 4, "", "ef", False, 0, "z", 3, 15), ("Revision", 0, "ab", "", True, 0, "", 4, 20)]
+    assert M.pending_at_end(("s", 0), frame(rows)) == [(0, "y", "cd")]
+
+
+def test_order_statistics(spark):
+    import math
+    import random
+
+    from glyphweir.operators.sampling import order_statistics
+
+    rnd = random.Random(4)
+    values = {k: sorted(rnd.randint(1, 12) for _ in range(n)) for k, n in ((1, 1), (2, 4), (3, 37), (4, 100))}
+    rows = [(k, v, own.count(v)) for k, own in values.items() for v in set(own)]
+    for r in order_statistics(spark.createDataFrame(rows, "k int, v int, times bigint"), "k", "v", "times").collect():
+        own = values[r.k]
+        assert (r.n, r.least, r.median, r.p95, r.most) == (len(own), own[0], own[len(own) // 2], own[math.ceil(0.95 * len(own)) - 1], own[-1])
