@@ -134,11 +134,13 @@ def alike_pairs(left: DataFrame, right: DataFrame | None, keys: list[str]) -> Da
     if right is not None:
         sides.append(right.select(*keys, "id", "text", F.lit(1).alias("side")))
     rows = sides[0] if right is None else sides[0].unionByName(sides[1])
-    rows = one_form(rows.where((F.col("text") != "") & F.col("id").isNotNull()), {"text": "form"})
+    rows = rows.where((F.col("text") != "") & F.col("id").isNotNull())
     at = [*keys, "form"]
-    mixed = rows.groupBy(*at).agg(F.min("text").alias("least"), F.max("text").alias("most"), F.min("side").alias("one"), F.max("side").alias("other"))
-    mixed = mixed.where(F.col("least") != F.col("most")).where(F.col("one") != F.col("other") if right is not None else F.lit(True)).select(*at)
-    some = cut(rows.join(mixed, at, "left_semi"))
+    mixed = one_form(rows, {"text": "form"}).groupBy(*at).agg(F.min("text").alias("least"), F.max("text").alias("most"), F.min("side").alias("one"), F.max("side").alias("other"))
+    mixed = cut(mixed.where(F.col("least") != F.col("most")).where(F.col("one") != F.col("other") if right is not None else F.lit(True)).select(*at))
+    # Only rows under keys that have such a form are brought to their form again.
+    under = rows.join(mixed.select(*keys).distinct(), keys, "left_semi")
+    some = cut(one_form(under, {"text": "form"}).join(mixed, at, "left_semi"))
     a = some.where("side = 0").select(*at, F.col("text").alias("text_a"), F.col("id").alias("a"))
     b = some.where(f"side = {int(right is not None)}").select(*at, F.col("text").alias("text_b"), F.col("id").alias("b"))
     unlike = F.col("text_a") < F.col("text_b") if right is None else F.col("text_a") != F.col("text_b")
