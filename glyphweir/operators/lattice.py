@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphweir.functions.scoring import ABBREVIATION_COST, BIGRAM_SHARE, CORRECTION_COST, LITERAL_COST, SMOOTHING, UNIGRAM_SHARE
-from glyphweir.operators.lexicon import ranked, spelling_table
-from glyphweir.operators.noisy import candidate_order, matches
+from glyphweir.functions.scoring import ABBREVIATION_COST, BIGRAM_SHARE, CORRECTION_COST, LITERAL_COST, SMOOTHING, UNIGRAM_SHARE, correction_rank
+from glyphweir.operators.lexicon import first_by, ranked, spelling_table
+from glyphweir.operators.noisy import matches
 from glyphweir.session import shuffle_width
 
 #: Longest code that is decoded; longer ones have no sentences.
@@ -47,22 +47,36 @@ def exact_edges(codes: DataFrame, words: DataFrame, keep: int | None = None) ->
     return ranked(edges, ["observed", "low", "high"], F.desc("frequency"), F.asc("text"), limit=keep, name="edge_rank").drop("edge_rank")
 
 
-def noisy_edges(codes: DataFrame, words: DataFrame, keep: int, corrections: bool = True) -> DataFrame:
-    """Edges of all spellings, in full or short, and with one edit: adds abbreviated, kind and spelling.
+def noisy_edges(codes: DataFrame, words: DataFrame, keep: int | None, corrections: bool = True) -> DataFrame:
+    """Edges of all spellings, in full or short, and with one edit: adds abbreviated, kind, spelling and beaten.
 
-    Each distinct part is looked up once. Of a span the ``keep`` best clean and the ``keep`` best corrected words stay,
-    which loses no path among the best ``keep`` as long as scores don't depend on the word before."""
+    Each distinct part is looked up once. Of an entry the best clean and the best corrected spelling stay; a clean one that
+    the corrected one beats is ``beaten`` and serves only once the error is spent, and a corrected one that the clean one
+    beats serves never. Of a span the ``keep`` best texts stay among the clean edges, among those not beaten and among the
+    corrected ones, and apart from them the ``keep`` best that the recovery lane may use: swaps, and clean edges, in full or
+    with an anchored suffix. This loses no path among the best ``keep`` of a lane as long as scores don't depend on the word
+    before; without ``keep`` all edges stay."""
     every = spans(codes, False)
     pieces = every.select(F.col("piece").alias("observed")).distinct()
-    columns = ["text", "code", "frequency", "abbreviated", "kind", "spelling", "score"]
     if corrections:
         found = matches(pieces, words)
     else:
         found = spelling_table(words).join(pieces.withColumnRenamed("observed", "spelling"), "spelling").withColumn("observed", F.col("spelling")).withColumn("kind", F.lit("exact"))
         found = found.withColumn("score", F.round(F.ln("frequency") - ABBREVIATION_COST * F.col("abbreviated"), 9))
-    found = found.withColumn("clean", F.col("kind") == "exact")
-    best = ranked(found, ["observed", "clean"], *candidate_order(), limit=keep, name="edge_rank")
-    return every.join(best.select(F.col("observed").alias("piece"), *columns), "piece").drop("piece", "score")
+    clean = F.col("kind") == "exact"
+    place = F.struct((-F.col("score")).alias("cost"), "abbreviated", correction_rank(F.col("kind")).alias("likelihood"), "spelling", "kind")
+    entries = found.groupBy("observed", "text", "code", "frequency").agg(F.min(F.when(clean, place)).alias("exact"), F.min(F.when(~clean, place)).alias("edited"))
+    beaten = F.coalesce(F.col("edited") < F.col("exact"), F.lit(False))
+    both = F.array(F.struct(F.col("exact").alias("own"), beaten.alias("beaten")), F.struct(F.when(F.col("exact").isNull() | beaten, F.col("edited")).alias("own"), F.lit(False).alias("beaten")))
+    best = entries.select("observed", "text", "code", "frequency", F.inline(F.filter(both, lambda e: e["own"].isNotNull()))).select("*", "own.*").drop("own")
+    if keep is not None:
+        order = [F.asc("cost"), F.asc("text"), F.asc("abbreviated"), F.asc("likelihood"), F.asc("spelling"), F.asc("code")]
+        layers = F.when(~clean, F.array(F.lit("edited"))).when(F.col("beaten"), F.array(F.lit("spent"))).otherwise(F.array(F.lit("spent"), F.lit("unspent")))
+        texts = first_by(best.withColumn("layer", F.explode(layers)), ["observed", "layer", "text"], *order)
+        apart = (clean | (F.col("kind") == "swap")) & is_anchored_suffix(F.col("code"), F.col("abbreviated"), F.col("spelling"))
+        turns = texts.withColumn("layer", F.explode(F.when(apart, F.array(F.col("layer"), F.concat("layer", F.lit(" apart")))).otherwise(F.array("layer"))))
+        best = ranked(turns, ["observed", "layer"], *order, limit=keep, name="edge_rank").dropDuplicates(["observed", "text", "code", "kind"])
+    return every.join(best.select(F.col("observed").alias("piece"), "text", "code", "frequency", "abbreviated", "kind", "spelling", "beaten"), "piece").drop("piece")
 
 
 @dataclass(frozen=True)
@@ -109,6 +123,12 @@ def anchored_suffix(code: str, spelling: str) -> bool:
     return spelling == code[: 2 * full] + code[2 * full :: 2]
 
 
+def is_anchored_suffix(code: Column, abbreviated: Column, spelling: Column) -> Column:
+    """The same for a spelling with so many syllables ``abbreviated``."""
+    full = F.length(code) - 2 * abbreviated
+    return (full > 0) & (spelling == F.concat(F.left(code, full), F.regexp_replace(F.substring(code, full + 1, F.length(code)), "(.).", "$1")))
+
+
 def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text: int = 1, literals: bool = True, model: Model | None = None) -> list[Path]:
     """The best paths of one code, at most ``keep`` texts per lane and ``per_text`` segmentations of a text.
 
@@ -134,7 +154,7 @@ def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text
         found: dict[tuple, tuple] = {}
         for edge in at[place]:
             kind, short = edge.get("kind", "exact"), edge.get("abbreviated", 0)
-            if used and kind != "exact":
+            if kind != "exact" if used else edge.get("beaten", False):
                 continue
             own, cost = math.log(edge["frequency"] / total), ABBREVIATION_COST * short + CORRECTION_COST[kind]
             identity, rank = (edge["high"], edge["text"], edge["code"]), (round(cost - own, 9), short, kind != "exact")
@@ -186,7 +206,7 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
     With ``literals`` pass ``codes`` too: a code without any edge still has its literal path. The sum of frequencies is a
     scalar; a model is broadcast and its size checked by the caller who fits it."""
     total = int(words.agg(F.coalesce(F.sum("frequency"), F.lit(1))).first()[0])
-    optional = [c for c in ("abbreviated", "kind", "spelling") if c in edges.columns]
+    optional = [c for c in ("abbreviated", "kind", "spelling", "beaten") if c in edges.columns]
     fields = ["low", "high", "text", "code", "frequency", *optional]
     # The number of parts is set: adaptive coalescing by bytes would leave the paths to a task or two.
     grouped = edges.repartition(shuffle_width(edges.sparkSession), "observed").groupBy("observed").agg(F.collect_list(F.struct(*fields)).alias("edges"))
@@ -210,7 +230,7 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
 def lanes(edges: DataFrame, words: DataFrame, top: int = 5) -> DataFrame:
     """(observed, lane, rank, text, score): the best paths, and apart from them the recovered swaps with other texts."""
     total = int(words.agg(F.coalesce(F.sum("frequency"), F.lit(1))).first()[0])
-    grouped = edges.repartition(shuffle_width(edges.sparkSession), "observed").groupBy("observed").agg(F.collect_list(F.struct("low", "high", "text", "code", "frequency", "abbreviated", "kind", "spelling")).alias("edges"))
+    grouped = edges.repartition(shuffle_width(edges.sparkSession), "observed").groupBy("observed").agg(F.collect_list(F.struct("low", "high", "text", "code", "frequency", "abbreviated", "kind", "spelling", "beaten")).alias("edges"))
     keep = max(2 * top, 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

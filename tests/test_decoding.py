@@ -143,3 +143,14 @@ def test_effective_code_and_span(spark):
 def test_fingerprint(spark):
     assert keys.fnv1a64(b"") == 0xCBF29CE484222325 and keys.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
     assert spark.createDataFrame([("a",), (None,)], "t string").select(keys.fingerprint(F.col("t")).alias("f")).collect()[0].f == "af63dc4c8601ec8c"
+
+
+def test_recovered_swaps_survive_crowded_spans(spark):
+    """Lanes of trimmed edges equal those of untrimmed ones where over 20 frequent words crowd a recovered swap out of its span."""
+    rows = [(f"近{p}{k}", p, 9000 - 7 * k) for p in ("la", "sha", "li") for k in range(12)] + [(f"常{k}", "la sha", 500 + k) for k in range(25)]
+    rows += [(f"换{i}", p, 3 + i) for i, p in enumerate(["lu", "lu sha", "lu la", "ku", "shu la"])] + [("缀", "la", 4), ("缀", "lu la", 2), ("长", "lu sha la", 5)]
+    words = lexicon.lexicon(spark.createDataFrame([(i, 1, *r) for i, r in enumerate(rows)], "entry_id bigint, revision int, text string, pinyin string, frequency bigint"))
+    codes = spark.createDataFrame([(c,) for c in ("ul", "ulu", "ull", "uk", "ulla", "laul", "uull", "ulul", "lual", "uluul")], "observed string")
+    whole, trimmed = ({tuple(r) for r in lattice.lanes(lattice.noisy_edges(codes, words, keep), words).collect()} for keep in (None, 20))
+    assert trimmed == whole
+    assert ("ul", "recovery", 1, "换0") in {r[:4] for r in trimmed}
