@@ -13,11 +13,11 @@ PAIR_BOUND = 2_000_000
 BEGIN, END = "^", "$"
 
 
-def transitions(sequences: DataFrame, items: str = "items") -> DataFrame:
-    """(prev, cur) of adjacent items of each array; no shuffle."""
+def transitions(sequences: DataFrame, items: str = "items", *keys: str) -> DataFrame:
+    """(prev, cur) of adjacent items of each array, with its ``keys``; no shuffle."""
     own, n = F.col(items), F.size(items)
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get(own, i - 1).alias("prev"), F.get(own, i).alias("cur")))
-    return sequences.where(n > 1).select(F.inline(pairs))
+    return sequences.where(n > 1).select(*keys, F.inline(pairs))
 
 
 def bigrams(sequences: DataFrame, items: str = "items") -> DataFrame:

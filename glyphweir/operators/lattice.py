@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphweir.functions.codec import conservative_tail
 from glyphweir.functions.scoring import ABBREVIATION_COST, BIGRAM_SHARE, CORRECTION_COST, LITERAL_COST, SMOOTHING, UNIGRAM_SHARE, correction_rank
 from glyphweir.operators.lexicon import first_by, ranked, spelling_table
 from glyphweir.operators.noisy import matches
@@ -47,6 +48,30 @@ def exact_edges(codes: DataFrame, words: DataFrame, keep: int | None = None) ->
     return ranked(edges, ["observed", "low", "high"], F.desc("frequency"), F.asc("text"), limit=keep, name="edge_rank").drop("edge_rank")
 
 
+def shortcut_edges(codes: DataFrame, words: DataFrame, keep: int) -> DataFrame:
+    """Full-code edges at even places and, at the end of a code only, words of two syllables or more by their conservative tail."""
+    parts = spans(codes, False).where("low % 2 = 0")
+    full = words.select("text", "code", "frequency", F.lit(False).alias("final"))
+    short = words.where(F.size("codes") > 1).select("text", conservative_tail(F.col("codes")).alias("code"), "frequency", F.lit(True).alias("final"))
+    edges = parts.join(full.unionByName(short), F.col("piece") == F.col("code")).where(~F.col("final") | (F.col("high") == F.length("observed")))
+    once = first_by(edges, ["observed", "low", "high", "final", "text"], F.desc("frequency"))
+    return ranked(once, ["observed", "low", "high", "final"], F.desc("frequency"), F.asc("text"), limit=keep, name="edge_rank").drop("edge_rank", "final", "piece")
+
+
+def fixed_paths(segments: list[list[tuple[str, float]]], keep: int) -> list[tuple[float, str]]:
+    """The ``keep`` best (cost, text) of words chosen segment by segment; ``segments`` has the (text, log-probability) of each."""
+    paths = [(0.0, "")]
+    for own in segments:
+        best: dict[str, float] = {}
+        for cost, text in paths:
+            for word, value in own:
+                whole = round(cost - value, 9)
+                if whole < best.get(text + word, math.inf):
+                    best[text + word] = whole
+        paths = sorted((c, t) for t, c in best.items())[:keep]
+    return paths
+
+
 def noisy_edges(codes: DataFrame, words: DataFrame, keep: int | None, corrections: bool = True) -> DataFrame:
     """Edges of all spellings, in full or short, and with one edit: adds abbreviated, kind, spelling and beaten.
 
@@ -200,9 +225,11 @@ def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text
     return [Path(*p) for p in best[0][False, ""]] if size else []
 
 
-def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int = 1, literals: bool = False, model: Model | None = None, codes: DataFrame | None = None) -> DataFrame:
+def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int = 1, literals: bool = False, model: Model | None = None, codes: DataFrame | None = None, spelled: bool = False) -> DataFrame:
     """(observed, rank, text, segments, unresolved, used_error, score) of the ``top`` paths of each code.
 
+    ``spelled`` adds the codes of the segments.
+
     With ``literals`` pass ``codes`` too: a code without any edge still has its literal path. The sum of frequencies is a
     scalar; a model is broadcast and its size checked by the caller who fits it."""
     total = int(words.agg(F.coalesce(F.sum("frequency"), F.lit(1))).first()[0])
@@ -221,10 +248,10 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
             rows = []
             for observed, own in zip(batch.column("observed").to_pylist(), batch.column("edges").to_pylist()):
                 for rank, path in enumerate(best_paths(observed, own or [], total, keep, per_text, literals, shared.value)[:top], 1):
-                    rows.append({"observed": observed, "rank": rank, "text": path.text, "segments": list(path.texts), "unresolved": path.unresolved, "used_error": path.used_error, "score": round(path.score, 6)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("observed", pa.string()), ("rank", pa.int32()), ("text", pa.string()), ("segments", pa.list_(pa.string())), ("unresolved", pa.int32()), ("used_error", pa.bool_()), ("score", pa.float64())]))
+                    rows.append({"observed": observed, "rank": rank, "text": path.text, "segments": list(path.texts), "unresolved": path.unresolved, "used_error": path.used_error, "score": round(path.score, 6)} | ({"codes": list(path.codes)} if spelled else {}))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("observed", pa.string()), ("rank", pa.int32()), ("text", pa.string()), ("segments", pa.list_(pa.string())), ("unresolved", pa.int32()), ("used_error", pa.bool_()), ("score", pa.float64()), *([("codes", pa.list_(pa.string()))] if spelled else [])]))
 
-    return grouped.select("observed", "edges").mapInArrow(run, PATH)
+    return grouped.select("observed", "edges").mapInArrow(run, PATH + ", codes array<string>" * spelled)
 
 
 def lanes(edges: DataFrame, words: DataFrame, top: int = 5) -> DataFrame:

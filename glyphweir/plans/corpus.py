@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +143,78 @@ def interactive_query(spark: SparkSession, folder: str) -> DataFrame:
     return L.ranked(once, ["observed"], F.asc("lane"), F.asc("lane_rank"), limit=20).select("observed", "rank", "lane", "text")
 
 
+def _readings(codes: DataFrame, words: DataFrame, top: int, shortcuts: bool = False) -> DataFrame:
+    """The ``top`` readings of codes as any number of words in full code under all their codes; with ``shortcuts`` the last may be short."""
+    edges = lattice.shortcut_edges(codes, words, top) if shortcuts else lattice.exact_edges(codes, words, keep=top)
+    return lattice.sentences(edges, words, top=top, spelled=True)
+
+
+def _fixed_readings(parts: DataFrame, words: DataFrame, top: int) -> DataFrame:
+    """(id, rank, text, score) of sequences of codes (id, codes) whose words' bounds are fixed; none where a code has no word."""
+    total = F.ln(words.agg(F.sum("frequency")).scalar())
+    best = L.ranked(words, ["code"], F.desc("frequency"), F.asc("text"), limit=top).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("rank", "text", (F.ln("frequency") - total).alias("value")))).alias("own"))
+    steps = parts.select("id", F.size("codes").alias("n"), F.posexplode("codes").alias("pos", "code")).join(best, "code")
+    whole = steps.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "own"))).alias("steps")).where(F.size("steps") == F.col("n"))
+
+    def run(batches):
+        for frame in batches:
+            rows = [(i, k, text, round(-cost, 6)) for i, steps in zip(frame["id"], frame["steps"]) for k, (cost, text) in enumerate(lattice.fixed_paths([[(w["text"], w["value"]) for w in s["own"]] for s in steps], top), 1)]
+            yield pd.DataFrame(rows, columns=["id", "rank", "text", "score"])
+
+    return whole.select("id", "steps").mapInPandas(run, "id string, rank int, text string, score double")
+
+
+def protocol_decode_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best readings as any number of words: of typed codes in full, with a short last word, of sentences at fixed bounds."""
+    words, codes = V.words(spark, folder), V.observed(spark, folder)
+    coded = V.spoken(spark, folder).select("id", F.size("items").alias("n"), F.posexplode("items").alias("pos", "text")).join(L.best_by_text(words).select("text", "code"), "text")
+    parts = coded.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "code")))["code"].alias("codes")).where(F.size("codes") == F.col("n"))
+    fixed = _fixed_readings(parts, words, 5).select(F.lit("fixed").alias("mode"), F.col("id").alias("observed"), "rank", "text", "score")
+    typed = (_readings(codes, words, 5, short).select(F.lit(mode).alias("mode"), "observed", "rank", "text", "score") for mode, short in (("full", False), ("shortcut", True)))
+    return next(typed).unionByName(next(typed)).unionByName(fixed)
+
+
+def continuous_composition_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits read as any number of words: rank of the text committed, and keys that a short last word would save."""
+    own = V.commits(spark, folder).where("observed <> ''")
+    ranks = _readings(own, V.words(spark, folder), 10)
+    joined = own.join(ranks.select("observed", "text", "rank", F.element_at("codes", -1).alias("last")), ["observed", "text"], "left")
+    saved = F.length("last") / 2 - 1
+    return joined.agg(F.count("*").alias("n"), *(F.count_if(F.col("rank") <= k).alias(f"top{k}") for k in (1, 3, 5, 10)), F.coalesce(F.sum(F.length("observed")), F.lit(0)).alias("n_keys"), F.coalesce(F.sum(saved), F.lit(0)).cast("bigint").alias("keys_saved"))
+
+
+def interactive_query_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Words in full code, pairs of one-syllable words, complete sentences, other resolved sentences; else the code itself."""
+    words, codes = V.words(spark, folder), V.observed(spark, folder)
+    exact = noisy.decode_exact(codes, words, 20).select("observed", F.lit(1).alias("lane"), "rank", "text")
+    pool = _pool(words, 24)
+    a, b = (pool.select(F.col("key").alias(f"k{i}"), F.col("part").alias(f"p{i}"), F.col("part_rank").alias(f"r{i}")) for i in (1, 2))
+    pairs = codes.where(F.length("observed") == 4).withColumn("k1", F.left("observed", F.lit(2))).withColumn("k2", F.right("observed", F.lit(2))).join(a, "k1").join(b, "k2").withColumn("text", F.concat("p1", "p2"))
+    pairs = L.ranked(L.first_by(pairs, ["observed", "text"], F.asc(F.col("r1") + F.col("r2")), F.asc("r1")), ["observed"], F.asc(F.col("r1") + F.col("r2")), F.asc("r1"), F.asc("text"), limit=50)
+    # Earlier lanes hold twenty exact words at most, so forty sentences fill the rest.
+    whole = _readings(codes, words, 40)
+    other = lattice.sentences(lattice.noisy_edges(codes, words, 40), words, top=40, literals=True, codes=codes).where("unresolved = 0")
+    every = exact.unionByName(pairs.select("observed", F.lit(2).alias("lane"), "rank", "text"))
+    for lane, found in ((3, whole), (4, other)):
+        every = every.unionByName(found.select("observed", F.lit(lane).alias("lane"), "rank", "text"))
+    every = every.unionByName(codes.select("observed", F.lit(5).alias("lane"), F.lit(1).alias("rank"), F.col("observed").alias("text")))
+    once = L.first_by(every.withColumnRenamed("rank", "lane_rank"), ["observed", "text"], F.asc("lane"), F.asc("lane_rank"))
+    return L.ranked(once, ["observed"], F.asc("lane"), F.asc("lane_rank"), limit=20).where("lane < 5 or rank = 1").select("observed", "rank", "lane", "text")
+
+
+def protocol_context_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best readings as any number of words, ranked without and with the caches' transitions: places of the texts committed."""
+    pairs = table(spark, folder, "personal_pair_counts").distinct().groupBy(F.col("previous_word").alias("prev"), F.col("current_word").alias("cur")).agg(F.sum("n").alias("n"))
+    wanted = V.commits(spark, folder).where("observed <> ''").select("observed", "text").distinct()
+    pool = _readings(wanted, V.words(spark, folder), 10).select("observed", "text", "rank", "score", "segments")
+    steps = language.transitions(pool.withColumn("items", F.col("segments")).select("observed", "text", "items"), "items", "observed", "text")
+    gains = steps.join(pairs, ["prev", "cur"]).groupBy("observed", "text").agg(F.sum(F.log1p("n")).alias("gain"))
+    rows = pool.join(gains, ["observed", "text"], "left").withColumn("context", F.round(F.col("score") + F.coalesce("gain", F.lit(0.0)), 6))
+    placed = L.ranked(rows.withColumnRenamed("rank", "plain"), ["observed"], F.desc("context"), F.asc("plain"), name="aware")
+    hits = wanted.join(placed.select("observed", "text", "plain", "aware"), ["observed", "text"])
+    return hits.agg(F.count("*").alias("n"), F.count_if(F.col("plain") == 1).alias("plain_first"), F.count_if(F.col("aware") == 1).alias("aware_first"), F.count_if(F.col("aware") < F.col("plain")).alias("improved"), F.count_if(F.col("aware") > F.col("plain")).alias("worsened"))
+
+
 def _layers(spark: SparkSession, folder: str, admitted: int) -> DataFrame:
     """(code, band, band_rank, text, source): the best core word, new supplemental words, the other core words."""
     core = L.ranked(L.first_by(V.words(spark, folder), ["code", "text"], F.desc("frequency")), ["code"], F.desc("frequency"), F.asc("text"), name="r")
@@ -363,6 +436,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bigram_counts, bigram_score, char_bigram_counts, char_text_score, lm_stats, lattice_edges, noisy_lattice, complete_sentence, sentence_kbest_unigram, sentence_kbest_bigram, sentence_lanes, sentence_variants, literal_fallback,
+        protocol_decode_whole, continuous_composition_whole, interactive_query_whole, protocol_context_whole,
         protocol_decode, continuous_composition, interactive_query, layer_merge, layer_audit, supplemental_composition, frozen_pool_rerank, hybrid_rerank, conservative_top1, hybrid_metrics_grid, public_context_rerank, context_oracle,
         failure_decomposition, protocol_context, paired_rank_stats, candidate_lab_actions, retained_visible_texts, spread_sample, fit_dev_split, first_unseen_greedy, whitelist_shortcuts, personal_promotion,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphweir.functions import codec, keys
 from glyphweir.operators import lattice, lexicon, noisy, sampling
+from glyphweir.plans import corpus
 
 WORDS = [("词", "ci", 50), ("次", "ci", 20), ("词库", "ci ku", 30), ("库存", "ku cun", 12), ("存", "cun", 9), ("输入", "shu ru", 40), ("去", "qu", 7), ("绿", "lv", 3), ("词", "ci", 45)]
 
@@ -154,3 +155,20 @@ def test_recovered_swaps_survive_crowded_spans(spark):
     whole, trimmed = ({tuple(r) for r in lattice.lanes(lattice.noisy_edges(codes, words, keep), words).collect()} for keep in (None, 20))
     assert trimmed == whole
     assert ("ul", "recovery", 1, "换0") in {r[:4] for r in trimmed}
+
+
+def test_readings_of_any_number_of_words(spark, words):
+    codes = spark.createDataFrame([("ci",), ("cikucp",), ("cicici",), ("cik",), ("cicik",)], "observed string")
+    full = {(r.observed, r.text) for r in corpus._readings(codes, words, 5).collect()}
+    assert {("ci", "词"), ("ci", "次"), ("cikucp", "词库存"), ("cicici", "词词词")} <= full and "cik" not in {o for o, _ in full}
+    short = {(r.observed, r.text) for r in corpus._readings(codes, words, 5, shortcuts=True).collect()}
+    assert full <= short and {("cik", "词库"), ("cicik", "词词库")} <= short
+    fixed = corpus._fixed_readings(spark.createDataFrame([("a", ["ci", "kucp"]), ("b", ["ci", "zz"])], "id string, codes array<string>"), words, 5).orderBy("rank").collect()
+    assert [(r.id, r.text) for r in fixed] == [("a", "词库存"), ("a", "次库存")]
+
+
+def test_second_reading_of_a_text(spark):
+    rows = [(1, 1, "行", "hang", 9), (2, 1, "行", "xing", 5), (3, 1, "人", "ren", 4)]
+    words = lexicon.lexicon(spark.createDataFrame(rows, "entry_id bigint, revision int, text string, pinyin string, frequency bigint"))
+    got = corpus._readings(spark.createDataFrame([("xyrf",), ("hhrf",)], "observed string"), words, 5).collect()
+    assert {(r.observed, r.text) for r in got} == {("xyrf", "行人"), ("hhrf", "行人")}
