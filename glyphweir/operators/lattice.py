@@ -225,6 +225,42 @@ def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text
     return [Path(*p) for p in best[0][False, ""]] if size else []
 
 
+def boundary_paths(size: int, edges: dict[tuple[int, int], list[str]], keep: int) -> tuple[list[list[tuple]], list[list[tuple]]]:
+    """For each place of a code of ``size`` syllables the ``keep`` best ways to read what is before it and what is after it as words.
+
+    ``edges`` has the texts of each span, best first. A path is (number of words, negative lengths, ranks, text), which is its
+    order: fewer words, longer ones first, better ranks, text."""
+
+    def best(paths: list[tuple]) -> list[tuple]:
+        texts: dict[str, tuple] = {}
+        for path in sorted(paths):
+            texts.setdefault(path[3], path)
+        return list(texts.values())[:keep]
+
+    prefixes, suffixes = ([[] for _ in range(size)] for _ in range(2))
+    prefixes.insert(0, [(0, (), (), "")])
+    suffixes.append([(0, (), (), "")])
+    for place in range(1, size + 1):
+        prefixes[place] = best([(n + 1, (*sizes, low - place), (*ranks, k), text + word) for low in range(place) for k, word in enumerate(edges.get((low, place), ())) for n, sizes, ranks, text in prefixes[low]])
+        low = size - place
+        suffixes[low] = best([(n + 1, (low - high, *sizes), (k, *ranks), word + text) for high in range(low + 1, size + 1) for k, word in enumerate(edges.get((low, high), ())) for n, sizes, ranks, text in suffixes[high]])
+    return prefixes, suffixes
+
+
+def compositions(size: int, core: dict[tuple[int, int], list[str]], added: dict[tuple[int, int], list[tuple[int, str]]], keep: int, top: int) -> list[tuple[str, str]]:
+    """The ``top`` (text, added word) with one added word, given as (rank, text) by span, between core paths."""
+    prefixes, suffixes = boundary_paths(size, core, keep)
+    found = [
+        (low - high, a[0] + b[0], rank, a[2] + b[2], low, a[3] + word + b[3], word)
+        for (low, high), own in added.items() if high - low < size
+        for rank, word in own for a in prefixes[low] for b in suffixes[high]
+    ]
+    texts: dict[str, str] = {}
+    for *_, text, word in sorted(found):
+        texts.setdefault(text, word)
+    return list(texts.items())[:top]
+
+
 def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int = 1, literals: bool = False, model: Model | None = None, codes: DataFrame | None = None, spelled: bool = False) -> DataFrame:
     """(observed, rank, text, segments, unresolved, used_error, score) of the ``top`` paths of each code.
 

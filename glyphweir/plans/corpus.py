@@ -12,6 +12,7 @@ from glyphweir.operators import language, lattice, noisy, sampling
 from glyphweir.operators import lexicon as L
 from glyphweir.plans import views as V
 from glyphweir.plans.decoding import _pool
+from glyphweir.session import shuffle_width
 from glyphweir.sources.tables import table
 
 
@@ -237,23 +238,39 @@ def layer_audit(spark: SparkSession, folder: str) -> DataFrame:
     return per.groupBy("cap").agg(F.sum("n").alias("n_admitted"), F.count_if(F.col("n") > 0).alias("n_codes"), F.count_if((F.col("core") == 0) & (F.col("n") > 0)).alias("n_new_codes"), F.count_if(F.col("core") == 1).alias("n_first_kept"))
 
 
+def _compositions(codes: DataFrame, core: DataFrame, more: DataFrame) -> DataFrame:
+    """(observed, rank, text, added) of the six best compositions of codes with one word of ``more`` that ``core`` lacks."""
+    codes = codes.where((F.length("observed") >= 6) & (F.length("observed") <= 32) & (F.length("observed") % 2 == 0))
+    by_weight = [F.desc("frequency"), F.asc("text")]
+    known = L.ranked(more.where(F.length("code") >= 4), ["code"], *by_weight, name="place").join(core.select("text", "code"), ["text", "code"], "left_anti")
+    extra = L.ranked(known, ["code"], F.asc("place"), limit=4, name="turn").select("text", "code", "place", F.lit(True).alias("extra"))
+    own = L.ranked(core, ["code"], *by_weight, limit=4, name="place").select("text", "code", "place", F.lit(False).alias("extra"))
+    edges = lattice.spans(codes, True).join(own.unionByName(extra), F.col("piece") == F.col("code"))
+    grouped = edges.repartition(shuffle_width(codes.sparkSession), "observed").groupBy("observed").agg(F.sort_array(F.collect_list(F.struct("place", "text", "low", "high", "extra"))).alias("edges")).where(F.exists("edges", lambda e: e["extra"]))
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for observed, found in zip(frame["observed"], frame["edges"]):
+                words, added = {}, {}
+                for e in found:
+                    span = (e["low"] // 2, e["high"] // 2)
+                    if e["extra"]:
+                        added.setdefault(span, []).append((e["place"], e["text"]))
+                    else:
+                        words.setdefault(span, []).append(e["text"])
+                rows += [(observed, k, text, word) for k, (text, word) in enumerate(lattice.compositions(len(observed) // 2, words, added, 4, 6), 1)]
+            yield pd.DataFrame(rows, columns=["observed", "rank", "text", "added"])
+
+    return grouped.mapInPandas(run, "observed string, rank int, text string, added string")
+
+
 def supplemental_composition(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of six keys or more read with exactly one supplemental word of two syllables or more among core words.
 
-    The longest supplemental span comes first, then fewer core words, then the place."""
-    codes = V.observed(spark, folder).where((F.length("observed") >= 6) & (F.length("observed") <= 32) & (F.length("observed") % 2 == 0))
-    core = V.words(spark, folder)
-    extra = V.words(spark, folder, "technical_overlay_mirror").join(core.select("text", "code"), ["text", "code"], "left_anti").where(F.length("code") >= 4)
-    n = F.length("observed")
-    spans = lattice.spans(codes, True).join(extra.select(F.col("text").alias("added"), F.col("code").alias("piece"), "frequency"), "piece")
-    top = L.best_by_code(core).select(F.col("code").alias("part"), F.col("text").alias("word"))
-    left = spans.withColumn("part", F.left("observed", F.col("low"))).join(top, "part", "left").withColumnRenamed("word", "before").drop("part")
-    both = left.withColumn("part", F.substring("observed", F.col("high") + 1, n)).join(top, "part", "left").withColumnRenamed("word", "after").drop("part")
-    whole = both.where(((F.col("low") == 0) | F.col("before").isNotNull()) & ((F.col("high") == n) | F.col("after").isNotNull()) & ((F.col("low") > 0) | (F.col("high") < n)))
-    text = F.concat(F.coalesce("before", F.lit("")), "added", F.coalesce("after", F.lit("")))
-    segments = (F.col("low") > 0).cast("int") + (F.col("high") < n).cast("int")
-    once = L.first_by(whole.withColumn("text", text).withColumn("n_core", segments), ["observed", "text"], F.desc(F.col("high") - F.col("low")), F.asc("n_core"), F.desc("frequency"), F.asc("low"))
-    return L.ranked(once, ["observed"], F.desc(F.col("high") - F.col("low")), F.asc("n_core"), F.desc("frequency"), F.asc("low"), F.asc("text"), limit=6).select("observed", "rank", "text", "added")
+    Core paths have any number of words, of the four best of a span, and four paths stay at a place. The longest supplemental
+    span comes first, then fewer core words, then the ranks of the supplemental and the core words, then the place."""
+    return _compositions(V.observed(spark, folder), V.words(spark, folder), V.words(spark, folder, "technical_overlay_mirror"))
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:

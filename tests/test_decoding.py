@@ -172,3 +172,11 @@ def test_second_reading_of_a_text(spark):
     words = lexicon.lexicon(spark.createDataFrame(rows, "entry_id bigint, revision int, text string, pinyin string, frequency bigint"))
     got = corpus._readings(spark.createDataFrame([("xyrf",), ("hhrf",)], "observed string"), words, 5).collect()
     assert {(r.observed, r.text) for r in got} == {("xyrf", "行人"), ("hhrf", "行人")}
+
+
+def test_compositions_with_several_core_words(spark):
+    own, added = [("词", "ci", 50), ("次", "ci", 20), ("库", "ku", 30), ("去", "qu", 7)], [("新词", "shu ru", 5)]
+    core, more = (lexicon.lexicon(spark.createDataFrame([(i, 1, *r) for i, r in enumerate(rows)], "entry_id bigint, revision int, text string, pinyin string, frequency bigint")) for rows in (own, added))
+    codes = spark.createDataFrame([("cikuuuru",), ("uuruci",), ("uuru",)], "observed string")
+    got = {(r.observed, r.rank): r.text for r in corpus._compositions(codes, core, more).collect()}
+    assert got == {("cikuuuru", 1): "词库新词", ("cikuuuru", 2): "次库新词", ("uuruci", 1): "新词词", ("uuruci", 2): "新词次"}
