@@ -257,8 +257,16 @@ def margin_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prefix_trajectory(spark: SparkSession, folder: str) -> DataFrame:
+    """The trajectories of words of six syllables at most, as the SQL has them; prefix_trajectory_whole has all words."""
+    return _trajectories(V.words(spark, folder).where(F.size("codes") <= 6))
+
+
+def prefix_trajectory_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _trajectories(V.words(spark, folder))
+
+
+def _trajectories(words: DataFrame) -> DataFrame:
     """For each prefix of a word's code, whether the word is among the 10 first by spellings; odd against even prefixes."""
-    words = V.words(spark, folder).where(F.size("codes") <= 6)
     top = L.ranked(L.first_by(L.spelling_table(words), ["spelling", "text"], F.desc("frequency"), F.asc("abbreviated")), ["spelling"], F.desc("frequency"), F.asc("abbreviated"), F.asc("text"), limit=10)
     steps = words.select("text", "code", F.explode(F.sequence(F.lit(1), F.size("codes"))).alias("syllable"))
     for name, length in (("odd", F.col("syllable") * 2 - 1), ("even", F.col("syllable") * 2)):
@@ -286,7 +294,7 @@ QUERIES = {
     for f in (
         decode_word_topk, lexicon_build, lexicon_reject_reasons, lexicon_slice_topn, lexicon_anti_list, lexicon_compare, best_entry_by_text, token_fallback_cover, syllable_codes, pinyin_codec, tone_strip,
         spelling_enumeration, index_stats, code_fanout, codebook_ambiguity, fibonacci_parses, key_neighbors_join, hypotheses_one_edit, edit_classify, decode_exact_full_code, decode_with_abbreviation,
-        char_pair_product, swap_recovery, auto_transposition_decision, protocol_codes, collision_gate_sweep, recall_at_k, oov_exposure, rejection_sweep, margin_range, prefix_trajectory, word_shortened_codes, latency_summary,
+        char_pair_product, swap_recovery, auto_transposition_decision, protocol_codes, collision_gate_sweep, recall_at_k, oov_exposure, rejection_sweep, margin_range, prefix_trajectory, prefix_trajectory_whole, word_shortened_codes, latency_summary,
     )
 }
 

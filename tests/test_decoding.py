@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphweir.functions import codec, keys
 from glyphweir.operators import lattice, lexicon, noisy, sampling
-from glyphweir.plans import corpus
+from glyphweir.plans import corpus, decoding
 
 WORDS = [("词", "ci", 50), ("次", "ci", 20), ("词库", "ci ku", 30), ("库存", "ku cun", 12), ("存", "cun", 9), ("输入", "shu ru", 40), ("去", "qu", 7), ("绿", "lv", 3), ("词", "ci", 45)]
 
@@ -180,3 +180,14 @@ def test_compositions_with_several_core_words(spark):
     codes = spark.createDataFrame([("cikuuuru",), ("uuruci",), ("uuru",)], "observed string")
     got = {(r.observed, r.rank): r.text for r in corpus._compositions(codes, core, more).collect()}
     assert got == {("cikuuuru", 1): "词库新词", ("cikuuuru", 2): "次库新词", ("uuruci", 1): "新词词", ("uuruci", 2): "新词次"}
+
+
+def test_trajectories_of_long_words(spark):
+    rows = [(1, 1, "词", "ci", 5), (2, 1, "词库存输入去绿", "ci ku cun shu ru qu lv", 4)]
+    words = lexicon.lexicon(spark.createDataFrame(rows, "entry_id bigint, revision int, text string, pinyin string, frequency bigint"))
+    assert {r.syllable: r.n for r in decoding._trajectories(words).collect()} == {1: 2} | dict.fromkeys(range(2, 8), 1)
+
+
+def test_trajectory_query_has_long_words(spark, small):
+    whole, short = (f(spark, small).agg(F.max("syllable")).first()[0] for f in (decoding.prefix_trajectory_whole, decoding.prefix_trajectory))
+    assert whole > 6 >= short
