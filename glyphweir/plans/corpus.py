@@ -75,7 +75,7 @@ def sentence_kbest_unigram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_kbest_bigram(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the transitions of all caches, on full codes and short spellings."""
+    """The same with the transitions of all caches, but on full codes at even places only: no short spellings, no edit."""
     words, codes = V.words(spark, folder), V.observed(spark, folder)
     pairs = table(spark, folder, "personal_pair_counts").distinct().groupBy(F.col("previous_word").alias("prev"), F.col("current_word").alias("cur")).agg(F.sum("n").alias("n"))
     size = words.select("text").distinct().count()
