@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 GAP_BOUNDS = (8, 16, 24, 32, 48, 64, 96, 160)
 
 
-def delivered_once(events: DataFrame) -> DataFrame:
-    """One row per event, without the time it was received; deliveries of one event are alike otherwise."""
-    columns = [c for c in events.columns if c not in ("recorded_at", "event_id", "document_change")]
-    return events.where("event_id is not null").groupBy("event_id").agg(F.max(F.struct(*columns)).alias("e")).select("event_id", "e.*")
+def delivered_once(events: DataFrame, *columns: str | Column) -> DataFrame:
+    """One row per event with its ``event_id`` and the columns named, else with all but the time it was received.
+
+    Deliveries of one event are alike, so this is a distinct of what is read: only those columns leave the scan, it combines
+    in every task and needs no sort. Deliveries that differ in a column that is read stay apart."""
+    own = columns or [c for c in events.columns if c not in ("recorded_at", "event_id", "document_change")]
+    return events.where("event_id is not null").select("event_id", *own).distinct()
 
 
 def in_order(*keys: str) -> Window:
@@ -66,9 +69,3 @@ def windows(events: DataFrame, max_gap: int, extra: Column | None = None) -> Dat
     begun = F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)
     numbered = marked.withColumn("begun", begun).withColumn("window_no", F.sum("begun").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.where("ok").drop("ok", "begun", "end")
-
-
-def clock_faults(events: DataFrame) -> DataFrame:
-    """Events earlier than the one before them in their segment."""
-    back = F.lag("elapsed_ms").over(in_order(*SEGMENT)) > F.col("elapsed_ms")
-    return events.withColumn("back", F.coalesce(back, F.lit(False))).where("back").drop("back")

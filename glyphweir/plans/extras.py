@@ -238,7 +238,7 @@ def paint_timer_fold(spark: SparkSession, folder: str) -> DataFrame:
         gaps = [max(0, b - a) for a, b in zip(times, times[1:])] + [1 << 40] * bool(times)
         return [(delay, *M.painted(gaps, delay)) for delay in (500, 1000, 2000, 4000)]
 
-    own = V.events(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "elapsed_ms")
+    own = V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms")
     found = M.fold(own, ["session_id", "segment_seq"], ["pos", "event_id"], step, "session_id string, segment_seq bigint, delay bigint, shown bigint, hidden bigint")
     return found.groupBy("delay").agg(F.sum("shown").alias("shown"), F.sum("hidden").alias("hidden"))
 

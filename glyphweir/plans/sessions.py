@@ -26,33 +26,39 @@ def _session() -> Window:
 
 
 def _flat(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "keys", "keys_complete", "composition", "start", "deleted", "inserted", "reliable", "code")
+
+
+def _read(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Events once, with only these columns of theirs and of their changes read."""
     c = F.col("change")
-    return V.events(spark, folder).select(
-        "event_id", "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "keys", "keys_complete", "composition", c["start"].alias("start"), F.coalesce(c["deleted"], F.lit("")).alias("deleted"),
-        F.coalesce(c["inserted"], F.lit("")).alias("inserted"), F.coalesce(c["evidence"] != "Ambiguous", F.lit(False)).alias("reliable"), K.typed_letters(F.coalesce("keys", F.array().cast("array<string>"))).alias("code"),
-    )
+    made = {
+        "start": c["start"], "deleted": F.coalesce(c["deleted"], F.lit("")), "inserted": F.coalesce(c["inserted"], F.lit("")), "reliable": F.coalesce(c["evidence"] != "Ambiguous", F.lit(False)),
+        "code": K.typed_letters(F.coalesce("keys", F.array().cast("array<string>"))), "evidence": c["evidence"],
+    }
+    return V.events(spark, folder, *(made.get(n, F.col(n)).alias(n) for n in columns))
 
 
 def event_monotonic_check(spark: SparkSession, folder: str) -> DataFrame:
     """Segments with their events, how often their clock runs backward and whether their places are without holes."""
     back = F.lag("elapsed_ms").over(_segment()) > F.col("elapsed_ms")
-    own = V.events(spark, folder).withColumn("back", F.coalesce(back, F.lit(False)))
+    own = V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms").withColumn("back", F.coalesce(back, F.lit(False)))
     return own.groupBy("session_id", "segment_seq").agg(F.count("*").alias("n_events"), F.count_if("back").alias("n_back"), (F.max("pos") - F.min("pos") + 1 == F.count("*")).alias("whole"))
 
 
 def event_windows_gap_contig(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of commits that follow each other in place and within two seconds."""
-    runs = E.windows(V.events(spark, folder), GAP)
+    runs = E.windows(V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "change"), GAP)
     return runs.groupBy("session_id", "segment_seq", "window_no").agg(F.count("*").alias("n_commits"), F.min("event_id").alias("first_event"), (F.max("elapsed_ms") - F.min("elapsed_ms")).alias("span_ms")).where("n_commits > 1").drop("window_no")
 
 
 def correction_delete_insert(spark: SparkSession, folder: str) -> DataFrame:
-    return E.corrections(V.events(spark, folder), 10_000)
+    return E.corrections(V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "change"), 10_000)
 
 
 def window_exclusion_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Commits by the first reason that keeps them out of replay; the reasons exclude each other and add up."""
-    own = _flat(spark, folder).where("kind = 'Commit'").withColumn("full", codec.full_code(F.replace("composition", F.lit("'"), F.lit(" "))))
+    own = _read(spark, folder, "kind", "keys", "keys_complete", "composition", "reliable", "code").where("kind = 'Commit'").withColumn("full", codec.full_code(F.replace("composition", F.lit("'"), F.lit(" "))))
     words = V.words(spark, folder).select(F.col("code").alias("full"), F.lit(True).alias("known")).distinct()
     reason = (
         F.when(~F.coalesce("keys_complete", F.lit(False)) | F.col("keys").isNull(), "incomplete_keys")
@@ -69,7 +75,7 @@ def window_exclusion_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counters of each session: events of either kind, keys, deletions, gaps between commits of a segment."""
-    own = _flat(spark, folder).withColumn("gap", F.when((F.col("kind") == "Commit") & (F.lag("kind").over(_segment()) == "Commit"), F.col("elapsed_ms") - F.lag("elapsed_ms").over(_segment())))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "keys", "deleted", "inserted").withColumn("gap", F.when((F.col("kind") == "Commit") & (F.lag("kind").over(_segment()) == "Commit"), F.col("elapsed_ms") - F.lag("elapsed_ms").over(_segment())))
     own = own.withColumn("gap", F.when(F.col("gap") >= 0, F.col("gap")))
     edits = F.size(F.filter("keys", lambda k: k.isin("BS", "DEL", "LEFT", "RIGHT", "HOME", "END")))
     return own.groupBy("session_id").agg(
@@ -89,26 +95,26 @@ def session_summary_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def key_interpreter(spark: SparkSession, folder: str) -> DataFrame:
     """The code that each commit's keys leave, or why there is none."""
-    own = V.events(spark, folder).where("kind = 'Commit' and keys is not null").withColumn("e", K.effective_code(F.col("keys")))
+    own = V.events(spark, folder, "kind", "keys").where("kind = 'Commit' and keys is not null").withColumn("e", K.effective_code(F.col("keys")))
     return own.select("event_id", F.col("e.code").alias("code"), F.col("e.fault").alias("fault"))
 
 
 def single_span_diff(spark: SparkSession, folder: str) -> DataFrame:
     """The one span in which each revision changes what it replaced."""
-    own = _flat(spark, folder).where("kind = 'Revision'").withColumn("d", K.single_span(F.col("deleted"), F.col("inserted"))).where("d is not null")
+    own = _read(spark, folder, "kind", "deleted", "inserted").where("kind = 'Revision'").withColumn("d", K.single_span(F.col("deleted"), F.col("inserted"))).where("d is not null")
     return own.select("event_id", "d.start", "d.deleted", "d.inserted", "d.ambiguous")
 
 
 def half_pair_gap_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps between events of a segment in nine buckets; where the clock runs backward there is none. In tens of ms."""
     gap = F.col("elapsed_ms") - F.lag("elapsed_ms").over(_segment())
-    own = V.events(spark, folder).withColumn("gap", gap).where("gap >= 0")
+    own = V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms").withColumn("gap", gap).where("gap >= 0")
     return own.groupBy(E.gap_bucket(F.floor(F.col("gap") / 10)).alias("bucket")).agg(F.count("*").alias("n"), F.min("gap").alias("least"), F.max("gap").alias("most"))
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
     """Commits with their label: Rejected if the next event deletes at their place, Accepted if it commits, else Unknown."""
-    own = _flat(spark, folder)
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "start", "deleted", "inserted", "code")
     next_kind, next_start, next_deleted = (F.lead(c).over(_segment()) for c in ("kind", "start", "deleted"))
     gap = F.col("elapsed_ms") - F.lag("elapsed_ms").over(_segment())
     label = F.when(next_kind.isNull(), "Unknown").when((next_kind == "Revision") & (next_deleted != "") & (next_start >= F.col("start")) & (next_start < F.col("start") + F.greatest(F.length("inserted"), F.lit(1))), "Rejected").when(next_kind == "Commit", "Accepted").otherwise("Unknown")
@@ -145,7 +151,7 @@ def online_label_counts(spark: SparkSession, folder: str) -> DataFrame:
 def freeze_lookback(spark: SparkSession, folder: str) -> DataFrame:
     """Of each segment the events of its last thirty seconds, at most the last 50, and whether that is all of them."""
     last = Window.partitionBy("session_id", "segment_seq")
-    own = V.events(spark, folder).withColumn("marker", F.max("elapsed_ms").over(last)).where("elapsed_ms >= marker - 30000")
+    own = V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms").withColumn("marker", F.max("elapsed_ms").over(last)).where("elapsed_ms >= marker - 30000")
     placed = own.withColumn("back", F.row_number().over(last.orderBy(F.desc("pos"), F.desc("event_id"))))
     return placed.groupBy("session_id", "segment_seq").agg(F.count_if(F.col("back") <= 50).alias("n_kept"), (F.count("*") <= 50).alias("complete"), F.min(F.when(F.col("back") <= 50, F.col("elapsed_ms"))).alias("from_ms"))
 
@@ -153,13 +159,13 @@ def freeze_lookback(spark: SparkSession, folder: str) -> DataFrame:
 def freeze_episodes(spark: SparkSession, folder: str) -> DataFrame:
     """Events of the last three finished episodes of each segment; a commit finishes one."""
     back = Window.partitionBy("session_id", "segment_seq").orderBy(F.desc("pos"), F.desc("event_id"))
-    own = V.events(spark, folder).withColumn("episode", F.sum((F.col("kind") == "Commit").cast("bigint")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    own = V.events(spark, folder, "session_id", "segment_seq", "pos", "kind").withColumn("episode", F.sum((F.col("kind") == "Commit").cast("bigint")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     return own.where("episode between 1 and 3").groupBy("session_id", "segment_seq", "episode").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
 
 
 def _selections(spark: SparkSession, folder: str) -> DataFrame:
     """(session_id, code, text, n, last): how often and when last a session chose a text for a code."""
-    own = _flat(spark, folder).where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
     return own.groupBy("session_id", "code", F.col("inserted").alias("text")).agg(F.count("*").alias("n"), F.max("t").alias("last"))
 
 
@@ -174,7 +180,7 @@ def preferred_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def suppression_last_action(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that a session took back and didn't commit again: the last action on a text counts."""
-    own = _flat(spark, folder).withColumn("text", F.when(F.col("kind") == "Commit", F.col("inserted")).otherwise(F.col("deleted"))).where("text <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "deleted", "inserted").withColumn("text", F.when(F.col("kind") == "Commit", F.col("inserted")).otherwise(F.col("deleted"))).where("text <> ''").withColumn("t", F.row_number().over(_session()))
     last = own.groupBy("session_id", "text").agg(F.max_by("kind", "t").alias("kind"), F.max("t").alias("t"))
     return last.where("kind = 'Revision'").select("session_id", "text")
 
@@ -198,7 +204,7 @@ def context_preference(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_mru(spark: SparkSession, folder: str) -> DataFrame:
     """The last text of each of a session's 128 most recent codes."""
-    own = _flat(spark, folder).where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
     last = own.groupBy("session_id", "code").agg(F.max(F.struct("t", F.col("inserted").alias("text"))).alias("v")).select("session_id", "code", "v.*")
     return L.ranked(last, ["session_id"], F.desc("t"), limit=128).select("session_id", "rank", "code", "text")
 
@@ -251,7 +257,7 @@ def adaptive_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def tier_by_recency(spark: SparkSession, folder: str) -> DataFrame:
     """A session's commits by the tier of memory they are in: 128 recent, 1,024 medium, up to 8,192 long, the rest gone."""
-    own = _flat(spark, folder).where("kind = 'Commit' and inserted <> ''").withColumn("age", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("segment_seq"), F.desc("pos"), F.desc("event_id"))))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted").where("kind = 'Commit' and inserted <> ''").withColumn("age", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("segment_seq"), F.desc("pos"), F.desc("event_id"))))
     tier = F.when(F.col("age") <= M.RECENT, "recent").when(F.col("age") <= M.RECENT + M.MEDIUM, "medium").when(F.col("age") <= M.LONG, "long").otherwise("evicted")
     return own.groupBy("session_id", tier.alias("tier")).agg(F.count("*").alias("n"), F.count_distinct("inserted").alias("n_texts"))
 
@@ -266,7 +272,7 @@ def _before(rows: DataFrame, key: Column, name: str) -> DataFrame:
 
 def personal_causal(spark: SparkSession, folder: str) -> DataFrame:
     """Commits of words in runs: their public place, and their place once the session's earlier runs lift them."""
-    runs = E.windows(V.events(spark, folder), GAP).withColumn("code", K.typed_letters(F.coalesce("keys", F.array().cast("array<string>"))))
+    runs = E.windows(V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "keys", "change"), GAP).withColumn("code", K.typed_letters(F.coalesce("keys", F.array().cast("array<string>"))))
     own = runs.select("session_id", "event_id", F.struct("segment_seq", "window_no").alias("run"), "code", F.col("change.inserted").alias("text")).where("text <> ''")
     ranks = _pool(spark, folder).select("code", "text", "public_rank")
     seen = _before(own, F.col("text"), "count").join(ranks, ["code", "text"])
@@ -276,7 +282,7 @@ def personal_causal(spark: SparkSession, folder: str) -> DataFrame:
 
 def frozen_vs_causal(spark: SparkSession, folder: str) -> DataFrame:
     """Commits by whether the session's whole other history (frozen) or only its earlier runs (causal) know their text."""
-    runs = E.windows(V.events(spark, folder), GAP)
+    runs = E.windows(V.events(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "change"), GAP)
     own = runs.select("session_id", "event_id", F.struct("segment_seq", "window_no").alias("run"), F.col("change.inserted").alias("text")).where("text <> ''")
     causal = _before(own, F.col("text"), "causal")
     frozen = F.count("*").over(Window.partitionBy("session_id", "text")) - F.count("*").over(Window.partitionBy("session_id", "text", "run"))
@@ -287,7 +293,7 @@ def frozen_vs_causal(spark: SparkSession, folder: str) -> DataFrame:
 
 def personal_retraction(spark: SparkSession, folder: str) -> DataFrame:
     """Words each session learned and still keeps after later edits took some back; a segment is a document of its own."""
-    own = _flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable")
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "start", "deleted", "inserted", "reliable")
     per = M.fold(own, ["session_id", "segment_seq"], ["pos", "event_id"], M.retract, "session_id string, segment_seq bigint, text string, learned bigint, kept bigint")
     return per.groupBy("session_id", "text").agg(F.sum("learned").alias("learned"), F.sum("kept").alias("kept"))
 
@@ -295,7 +301,7 @@ def personal_retraction(spark: SparkSession, folder: str) -> DataFrame:
 def pending_span_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of what each session's memory holds, by code and text: the end of a segment confirms what is left of it;
     tiers go by recency over the whole session."""
-    own = _flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "kind", "start", "deleted", "inserted", "reliable", "code")
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "start", "deleted", "inserted", "reliable", "code")
     left = M.fold(own, ["session_id", "segment_seq"], ["pos", "event_id"], M.pending_at_end, "session_id string, segment_seq bigint, place bigint, code string, text string")
     age = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("segment_seq"), F.desc("place")))
     weight = F.when(F.col("age") <= M.RECENT, M.TIER_WEIGHT["recent"]).when(F.col("age") <= M.RECENT + M.MEDIUM, M.TIER_WEIGHT["medium"]).otherwise(M.TIER_WEIGHT["long"])
@@ -304,7 +310,7 @@ def pending_span_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 def commit_tail_trim(spark: SparkSession, folder: str) -> DataFrame:
     """Commits whose end was deleted right after them."""
-    return M.fold(_flat(spark, folder).select("session_id", "segment_seq", "pos", "event_id", "elapsed_ms", "kind", "start", "deleted", "inserted", "reliable"), ["session_id", "segment_seq"], ["pos", "event_id"], M.tail_trims, "session_id string, segment_seq bigint, event_id bigint, committed string, left string, n_edits bigint").drop("session_id", "segment_seq")
+    return M.fold(_read(spark, folder, "session_id", "segment_seq", "pos", "elapsed_ms", "kind", "start", "deleted", "inserted", "reliable"), ["session_id", "segment_seq"], ["pos", "event_id"], M.tail_trims, "session_id string, segment_seq bigint, event_id bigint, committed string, left string, n_edits bigint").drop("session_id", "segment_seq")
 
 
 def rolling_buffer(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,7 +336,7 @@ def composition_fsm(spark: SparkSession, folder: str) -> DataFrame:
             rows = [(s, e) for keys in batch.column("keys").to_pylist() for s, _, e in M.composition_steps(keys)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["state", "effect"])
 
-    own = V.events(spark, folder).where("keys is not null").select("keys")
+    own = V.events(spark, folder, "keys").where("keys is not null").select("keys")
     return own.mapInArrow(step, "state string, effect string").groupBy("state", "effect").agg(F.count("*").alias("n"))
 
 
@@ -344,20 +350,20 @@ def segment_continuity(spark: SparkSession, folder: str) -> DataFrame:
 
 def feedback_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Events per kind, evidence of place and producer's version."""
-    own = V.events(spark, folder)
-    return own.groupBy("kind", F.col("change.evidence").alias("evidence"), "producer_version").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("n_sessions"))
+    own = _read(spark, folder, "session_id", "kind", "evidence", "producer_version")
+    return own.groupBy("kind", "evidence", "producer_version").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("n_sessions"))
 
 
 def integrity_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Integrity counters of all events: deliveries, repeats, incomplete keys, missing parts."""
     raw = table(spark, folder, "capsule_events").where("event_id is not null")
-    once = V.events(spark, folder)
+    once = V.events(spark, folder, "keys_complete", "keys", "change")
     return once.agg(F.count("*").alias("n_events"), F.count_if(~F.coalesce("keys_complete", F.lit(False))).alias("n_incomplete"), F.count_if(F.col("keys").isNull()).alias("n_no_keys"), F.count_if(F.col("change.deleted").isNull()).alias("n_no_deleted"), F.count_if(F.col("change.inserted").isNull()).alias("n_no_inserted")).withColumn("n_deliveries", raw.agg(F.count("*")).scalar())
 
 
 def incremental_tail_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of a session's words from a snapshot of all segments but its last and the tail folded in: as from all."""
-    own = _flat(spark, folder).where("kind = 'Commit' and inserted <> ''")
+    own = _read(spark, folder, "session_id", "segment_seq", "kind", "inserted").where("kind = 'Commit' and inserted <> ''")
     last = Window.partitionBy("session_id")
     marked = own.withColumn("tail", F.col("segment_seq") == F.max("segment_seq").over(last))
     snapshot = marked.where("not tail").groupBy("session_id", "inserted").agg(F.count("*").alias("n"))

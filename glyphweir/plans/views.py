@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphweir.functions import keys as K
@@ -15,34 +15,34 @@ def words(spark: SparkSession, folder: str, name: str = "technical_overlay") ->
     return L.lexicon(table(spark, folder, name))
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return E.delivered_once(table(spark, folder, "capsule_events"))
+def events(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
+    return E.delivered_once(table(spark, folder, "capsule_events"), *columns)
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
     """Commits with all their keys: (event_id, session_id, segment_seq, pos, elapsed_ms, observed, text, composition)."""
-    own = events(spark, folder).where("kind = 'Commit' and keys_complete and keys is not null")
-    return own.select("event_id", "session_id", "segment_seq", "pos", "elapsed_ms", K.typed_letters(F.col("keys")).alias("observed"), F.col("change.inserted").alias("text"), "composition")
+    rows = table(spark, folder, "capsule_events").where("kind = 'Commit' and keys_complete and keys is not null")
+    return E.delivered_once(rows, "session_id", "segment_seq", "pos", "elapsed_ms", K.typed_letters(F.col("keys")).alias("observed"), F.col("change.inserted").alias("text"), "composition")
 
 
 def observed(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct codes typed."""
-    return commits(spark, folder).select("observed").where("observed <> ''").distinct()
+    rows = table(spark, folder, "capsule_events").where("event_id is not null and kind = 'Commit' and keys_complete and keys is not null")
+    return rows.select(K.typed_letters(F.col("keys")).alias("observed")).where("observed <> ''").distinct()
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     """(id, split, source, tokens) of each sentence once."""
-    ud = table(spark, folder, "ud_sentences").where("id is not null")
-    return ud.groupBy("id").agg(F.max(F.struct("split", "source", "tokens")).alias("v")).select("id", "v.*")
+    return table(spark, folder, "ud_sentences").where("id is not null").select("id", "split", "source", "tokens").distinct()
 
 
 def spoken(spark: SparkSession, folder: str, splits: tuple[str, ...] = ()) -> DataFrame:
     """(id, split, items): the forms of each sentence in order without punctuation."""
-    own = sentences(spark, folder)
+    own = table(spark, folder, "ud_sentences").where("id is not null")
     if splits:
         own = own.where(F.col("split").isin(*splits))
     keep = F.filter("tokens", lambda t: t["upos"].isNull() | (t["upos"] != "PUNCT"))
-    return own.select("id", "split", F.transform(keep, lambda t: t["form"]).alias("items"))
+    return own.select("id", "split", F.transform(keep, lambda t: t["form"]).alias("items")).distinct()
 
 
 #: SQL of the same; each part may be put after WITH and joined by commas.

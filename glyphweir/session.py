@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What the operators rely on; everything else is left to the deployment.
 REQUIRED = {
@@ -44,15 +48,39 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    """The shared folder of ``spark.checkpoint.dir``, or of the context where that has one.
+
+    Only where neither is set: a temporary folder in local mode, as in tests, else a folder in the warehouse, which all
+    executors reach."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not named:
-        named = os.path.join(tempfile.gettempdir(), "glyphweir-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        local = context.master.split("[")[0] == "local"
+        named = os.path.join(tempfile.gettempdir(), "glyphweir-checkpoints") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/glyphweir-checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that goes when the program ends."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            remove(spark, path)
+
+    atexit.register(clean)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared folder, so that a lost executor costs no recomputation of the past."""
     checkpoint_folder(df.sparkSession)
@@ -64,6 +92,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def block_count(df: DataFrame, block_bytes: int) -> int:
+    """Number of blocks for hashing the rows of ``df``, at least one a task: follows the size of its input as the optimizer
+    estimates it, so that a block stays in bounds whatever the number of shuffle partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(shuffle_width(df.sparkSession), min(size // block_bytes, 1 << 30))
+
+
+def checked_broadcast(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` marked for broadcast if it has ``bound`` rows at most, else as it is: then joins shuffle both sides."""
+    rows = df.limit(bound + 1).collect()
+    return df if len(rows) > bound else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once for each Spark context, unless their PYTHONPATH already names its folder."""
     home = Path(__file__).resolve().parent.parent

@@ -65,6 +65,37 @@ def test_stream_rejects_repeats_and_clock(spark, tmp_path):
     assert sorted((r.event_id, r.correction or "", r.reject or "") for r in found) == [(2, "", "repeated"), (2, "replaced", ""), (3, "", "clock")]
 
 
+@pytest.mark.parametrize("split", ["one file", "eight files", "shuffled files"])
+def test_streams_are_the_same_under_any_split_of_files(spark, tmp_path, small, split):
+    import random
+
+    from glyphweir.operators import events as E
+    from glyphweir.sources.tables import table
+
+    events = table(spark, small, "capsule_events")
+    rows = events.collect()
+    want = sorted((r.event_id, r.correction, r.removed, r.replacement, r.gap_ms) for r in E.corrections(E.delivered_once(events), 10_000).collect())
+    parts = [rows] if split == "one file" else [rows[k::8] for k in range(8)]
+    if split == "shuffled files":
+        random.Random(3).shuffle(rows)
+        parts = [rows[k * len(rows) // 8 : (k + 1) * len(rows) // 8] for k in range(8)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, events.schema).coalesce(1).write.parquet(str(tmp_path / f"capsule_events_{k}.parquet"))
+    stream = lambda: S.flat(S.event_stream(spark, str(tmp_path), events.schema, 1))
+    found = S.settled(S.run_to_table(S.corrections(stream(), 10_000))).collect()
+    assert sorted((r.event_id, r.correction, r.removed, r.replacement, r.gap_ms) for r in found if not r.reject) == want and want
+    ids = [r.event_id for r in rows if r.event_id is not None]
+    assert sum(r.reject == "repeated" for r in found) == len(ids) - len(set(ids))
+    assert S.run_to_table(S.kinds(stream())).toPandas()["n"].sum() == len(set(ids))
+
+
+def test_an_event_between_two_others_takes_their_correction_back():
+    held = lambda i, kind, at, deleted, inserted: S.Event(i, i, kind, 0, deleted, inserted, True, at)
+    first, middle, last = held(1, "Commit", 0, "", "ab"), held(2, "Commit", 5, "", "x"), held(3, "Revision", 9, "ab", "cd")
+    assert list(S.corrections_of([first, last], 100)) == [(3, "replaced", "ab", "cd", 9, None)]
+    assert not S.corrections_of([first, middle, last], 100)
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "lex.tsv").write_text("# note\ntext\tpinyin\tfrequency\n词\tci\t5\n\n库\tku\t7\r\n")
     assert {(r.text, r.code, r.frequency) for r in formats.read_lexicon(spark, str(tmp_path / "lex.tsv")).collect()} == {("词", "ci", 5), ("库", "ku", 7)}
