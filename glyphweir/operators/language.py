@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from glyphweir.functions.scoring import conditional
 from glyphweir.operators.lattice import Model
 
-#: A model of more pairs isn't handed to tasks whole; joins with its tables take its place.
-PAIR_BOUND = 2_000_000
+#: A model of more pairs isn't handed to tasks whole; a join of its table with the edges that meet takes its place.
+PAIR_BOUND = 500_000
 BEGIN, END = "^", "$"
 
 
@@ -31,11 +31,11 @@ def characters(text: Column) -> Column:
     return F.concat(F.array(F.lit(BEGIN)), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit(END)))
 
 
-def model(sequences: DataFrame, size: int) -> Model:
-    """A transition model for tasks; raises ValueError beyond PAIR_BOUND pairs."""
+def model(sequences: DataFrame, size: int) -> Model | None:
+    """A transition model for tasks; None beyond PAIR_BOUND pairs: then lattice.sentences joins the table itself."""
     found = sequences.where("prev is not null and cur is not null").limit(PAIR_BOUND + 1).collect()
     if len(found) > PAIR_BOUND:
-        raise ValueError("too many pairs to broadcast")
+        return None
     totals: dict[str, int] = {}
     for row in found:
         totals[row.prev] = totals.get(row.prev, 0) + row.n

@@ -1,7 +1,7 @@
 """Sentences for unsegmented key codes: word edges by equi-join, then the k best paths of each code.
 
-The edges of a code are few (its length times the words kept per span), so a group is bounded by the length of a code,
-which CODE_LIMIT caps as part of the semantics. Paths are folded from the end of a code to its start.
+The edges of a code are few (its length times the words kept per span), so a group is bounded by the length of a code.
+Paths are folded from the end of a code to its start. A code of any length is read.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from glyphweir.operators.lexicon import first_by, ranked, spelling_table
 from glyphweir.operators.noisy import matches
 from glyphweir.session import shuffle_width
 
-#: Longest code that is decoded; longer ones have no sentences.
-CODE_LIMIT = 64
 #: Longest spelling: twelve syllables of two keys.
 SPELLING_LIMIT = 24
 PATH = "observed string, rank int, text string, segments array<string>, unresolved int, used_error boolean, score double"
@@ -31,7 +29,7 @@ PATH = "observed string, rank int, text string, segments array<string>, unresolv
 def spans(codes: DataFrame, even: bool) -> DataFrame:
     """(observed, low, high, piece): the parts of each distinct code of ``observed`` that a word may spell."""
     n = F.length("observed")
-    own = codes.select("observed").where((n > 0) & (n <= CODE_LIMIT)).distinct()
+    own = codes.select("observed").where(n > 0).distinct()
     if even:
         own = own.where(n % 2 == 0)
     step = 2 if even else 1
@@ -116,6 +114,17 @@ class Model:
         return math.log((self.pairs.get((before, word), 0) + SMOOTHING) / (self.totals.get(before, 0) + SMOOTHING * self.size))
 
 
+def steps_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(observed, pairs, totals): of the transitions ``pairs`` (prev, cur, n) those between edges of a code that meet, and
+    the totals of their first words. Three shuffles by key; no table is handed to tasks whole."""
+    totals = pairs.groupBy("prev").agg(F.sum("n").alias("total"))
+    words = edges.select("observed", "low", "high", "text").distinct()
+    meets = words.select("observed", F.col("high").alias("place"), F.col("text").alias("prev")).distinct().join(words.select("observed", F.col("low").alias("place"), F.col("text").alias("cur")).distinct(), ["observed", "place"])
+    known = meets.select("observed", "prev", "cur").distinct().join(pairs, ["prev", "cur"]).groupBy("observed").agg(F.collect_list(F.struct("prev", "cur", "n")).alias("pairs"))
+    firsts = words.select("observed", F.col("text").alias("prev")).distinct().join(totals, "prev").groupBy("observed").agg(F.collect_list(F.struct("prev", "total")).alias("totals"))
+    return firsts.join(known, "observed", "left")
+
+
 class Path(NamedTuple):
     """One way to read a code; the first fields are its order: unresolved keys, error, score, words, text."""
 
@@ -225,6 +234,34 @@ def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text
     return [Path(*p) for p in best[0][False, ""]] if size else []
 
 
+def plain_paths(observed: str, edges: list[dict], total: int, keep: int) -> list[Path]:
+    """best_paths for exact edges without literals and transitions: the best ``keep`` texts, each by its best cut.
+
+    No state but the place is needed, so a path is carried as (cost, number of words, text, texts, codes, score)."""
+    size = len(observed)
+    at: list[list[tuple]] = [[] for _ in range(size)]
+    for edge in edges:
+        at[edge["low"]].append((edge["high"], edge["text"], edge["code"], math.log(edge["frequency"] / total)))
+    best: list[list[tuple]] = [[] for _ in range(size)]
+    best.append([(0.0, 0, "", (), (), 0.0)])
+    for place in range(size - 1, -1, -1):
+        found = [
+            (-round(own + rest[5], 9), rest[1] + 1, text + rest[2], (text, *rest[3]), (code, *rest[4]), own + rest[5])
+            for high, text, code, own in at[place] for rest in best[high]
+        ]
+        if len(found) > 1:
+            found.sort()
+            texts: dict[str, tuple] = {}
+            for path in found:
+                if path[2] not in texts:
+                    texts[path[2]] = path
+                    if len(texts) == keep:
+                        break
+            found = list(texts.values())
+        best[place] = found
+    return [Path(0, False, cost, n, text, texts, codes, True, False, score) for cost, n, text, texts, codes, score in best[0]] if size else []
+
+
 def boundary_paths(size: int, edges: dict[tuple[int, int], list[str]], keep: int) -> tuple[list[list[tuple]], list[list[tuple]]]:
     """For each place of a code of ``size`` syllables the ``keep`` best ways to read what is before it and what is after it as words.
 
@@ -261,33 +298,41 @@ def compositions(size: int, core: dict[tuple[int, int], list[str]], added: dict[
     return list(texts.items())[:top]
 
 
-def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int = 1, literals: bool = False, model: Model | None = None, codes: DataFrame | None = None, spelled: bool = False) -> DataFrame:
+def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int = 1, literals: bool = False, model: Model | None = None, codes: DataFrame | None = None, spelled: bool = False, transitions: DataFrame | None = None, size: int = 1) -> DataFrame:
     """(observed, rank, text, segments, unresolved, used_error, score) of the ``top`` paths of each code.
 
     ``spelled`` adds the codes of the segments.
 
     With ``literals`` pass ``codes`` too: a code without any edge still has its literal path. The sum of frequencies is a
-    scalar; a model is broadcast and its size checked by the caller who fits it."""
+    scalar. ``model`` is handed to tasks and its size checked by the caller who fits it; ``transitions``, a table (prev, cur,
+    n) with the number of words ``size``, takes its place at any size: each code gets those between its own edges."""
     total = int(words.agg(F.coalesce(F.sum("frequency"), F.lit(1))).first()[0])
     optional = [c for c in ("abbreviated", "kind", "spelling", "beaten") if c in edges.columns]
     fields = ["low", "high", "text", "code", "frequency", *optional]
     # The number of parts is set: adaptive coalescing by bytes would leave the paths to a task or two.
     grouped = edges.repartition(shuffle_width(edges.sparkSession), "observed").groupBy("observed").agg(F.collect_list(F.struct(*fields)).alias("edges"))
     if codes is not None:
-        own = codes.select("observed").where((F.length("observed") > 0) & (F.length("observed") <= CODE_LIMIT)).distinct()
+        own = codes.select("observed").where(F.length("observed") > 0).distinct()
         grouped = own.join(grouped, "observed", "left")
+    if transitions is not None:
+        grouped = grouped.join(steps_of(edges, transitions), "observed", "left")
     shared = edges.sparkSession.sparkContext.broadcast(model)
+    with_steps = transitions is not None
+    plain = not optional and model is None and transitions is None and not literals and per_text == 1
     keep = max(2 * top, 20) if "kind" in edges.columns else top  # without corrections there is one lane, and the best texts of a state suffice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for observed, own in zip(batch.column("observed").to_pylist(), batch.column("edges").to_pylist()):
-                for rank, path in enumerate(best_paths(observed, own or [], total, keep, per_text, literals, shared.value)[:top], 1):
+            known = [None] * batch.num_rows if not with_steps else [Model({(p["prev"], p["cur"]): p["n"] for p in pairs or ()}, {t["prev"]: t["total"] for t in totals or ()}, size) for pairs, totals in zip(batch.column("pairs").to_pylist(), batch.column("totals").to_pylist())]
+            for observed, own, steps in zip(batch.column("observed").to_pylist(), batch.column("edges").to_pylist(), known):
+                paths = plain_paths(observed, own or [], total, keep) if plain else best_paths(observed, own or [], total, keep, per_text, literals, steps or shared.value)
+                for rank, path in enumerate(paths[:top], 1):
                     rows.append({"observed": observed, "rank": rank, "text": path.text, "segments": list(path.texts), "unresolved": path.unresolved, "used_error": path.used_error, "score": round(path.score, 6)} | ({"codes": list(path.codes)} if spelled else {}))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("observed", pa.string()), ("rank", pa.int32()), ("text", pa.string()), ("segments", pa.list_(pa.string())), ("unresolved", pa.int32()), ("used_error", pa.bool_()), ("score", pa.float64()), *([("codes", pa.list_(pa.string()))] if spelled else [])]))
 
-    return grouped.select("observed", "edges").mapInArrow(run, PATH + ", codes array<string>" * spelled)
+    columns = ["observed", "edges"] + ["pairs", "totals"] * with_steps
+    return grouped.select(*columns).mapInArrow(run, PATH + ", codes array<string>" * spelled)
 
 
 def lanes(edges: DataFrame, words: DataFrame, top: int = 5) -> DataFrame:

@@ -1,10 +1,12 @@
 """Delivery lines parsed at minimum edit cost: what loads, and why the rest doesn't.
 
-A line is three fields separated by tabs; a field that starts with a quote runs to the next quote that isn't doubled.
-Every line goes through one dynamic programme over its quotes, tabs and runs of other characters. Its edits are: delete a
-quote, insert one, double one, delete a tab, add missing tabs at the end. An edit of quotes costs more than any number of
-edits of tabs, so the cheapest parse has a quote edit exactly if the quoting is broken, and otherwise as many tab edits
-as there are columns too many or too few. Lines of cost zero whose fields have valid values load.
+A line is three fields separated by tabs; a field that starts with a quote runs to the next quote that isn't doubled. A line
+without quotes and with two tabs is its own parse of cost zero, and Spark splits it. Every other line goes through one
+dynamic programme over its quotes, its tabs and its runs of digits, of letters of pinyin and of other characters. Its edits
+are: delete a quote, insert one, double one, delete a tab, insert one. An edit of quotes costs more than any number of edits
+of tabs, and one of tabs more than any number of characters that don't suit their field's type. So the cheapest parse has a
+quote edit exactly if the quoting is broken, otherwise as many tab edits as there are columns too many or too few, and of
+those the ones that leave the fields valid. Lines of cost zero whose fields have valid values load.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 
 from glyphweir.sources.tables import small_values
 
-#: Costs: any number of tab edits is cheaper than one quote edit.
-TAB_EDIT, QUOTE_EDIT = 1, 1 << 40
+#: Costs: any number of characters of the wrong type and of empty fields is cheaper than one tab edit, any number of those than one quote edit.
+TYPE_FAULT, TAB_EDIT, QUOTE_EDIT = 1, 1 << 40, 1 << 80
 FIELDS = 3
 HEADER = "text\tpinyin\tfrequency"
 LARGEST = "9223372036854775807"
@@ -32,73 +34,107 @@ SYLLABLE_BOUND = 5_000
 START, PLAIN, QUOTED, CLOSED = range(4)
 KEEP, DROP_QUOTE, OPEN_QUOTE, CLOSE_QUOTE, DOUBLE_QUOTE, DROP_TAB = range(6)
 OPERATION = ("", "delete_quote", "insert_quote", "insert_quote", "double_quote", "delete_tab")
+#: Classes of runs by symbol: quote, tab, digits, letters and marks of pinyin, blanks, others; and those that each field takes.
+RUN = re.compile(r'(?P<q>")|(?P<t>\t)|(?P<d>[0-9]+)|(?P<p>[A-Za-z:üÜ]+)|(?P<b> +)|(?P<o>[^"\t0-9A-Za-z:üÜ ]+)')
+SUITS = ("dpbo", "pb", "d")
 
 
-def _moves() -> dict[str, list[tuple[int, int, int, int]]]:
-    """For each symbol (o: other characters, q: quote, t: tab) the moves (state before, state after, cost, edit)."""
-    moves: dict[str, list[tuple[int, int, int, int]]] = {"o": [], "q": [], "t": []}
+def _moves() -> dict[str, list[tuple[int, int, int, int, bool]]]:
+    """For each symbol the moves (state before, state after, cost, edit, whether each character costs if it doesn't suit).
+
+    No inserted tab is among them: see cheapest_parse."""
+    moves: dict[str, list[tuple[int, int, int, int, bool]]] = {s: [] for s in "qtdpbo"}
     for field in range(FIELDS):
         start, plain, quoted, closed = (field * 4 + s for s in (START, PLAIN, QUOTED, CLOSED))
-        moves["o"] += [(start, plain, 0, KEEP), (plain, plain, 0, KEEP), (quoted, quoted, 0, KEEP), (start, quoted, QUOTE_EDIT, OPEN_QUOTE)]
-        moves["q"] += [(start, quoted, 0, KEEP), (quoted, closed, 0, KEEP), (closed, quoted, 0, KEEP)]
-        moves["q"] += [(s, s, QUOTE_EDIT, DROP_QUOTE) for s in (start, plain, closed)] + [(quoted, quoted, QUOTE_EDIT, DOUBLE_QUOTE)]
-        moves["t"] += [(quoted, quoted, 0, KEEP), (start, quoted, QUOTE_EDIT, OPEN_QUOTE)]
-        moves["t"] += [(s, start, TAB_EDIT, DROP_TAB) for s in (start, plain, closed)]
+        for symbol in "dpbo":
+            wrong = symbol not in SUITS[field]
+            moves[symbol] += [(start, plain, 0, KEEP, wrong), (plain, plain, 0, KEEP, wrong), (quoted, quoted, 0, KEEP, wrong), (start, quoted, QUOTE_EDIT, OPEN_QUOTE, wrong)]
+        moves["q"] += [(start, quoted, 0, KEEP, False), (quoted, closed, 0, KEEP, False), (closed, quoted, 0, KEEP, False)]
+        moves["q"] += [(s, s, QUOTE_EDIT, DROP_QUOTE, False) for s in (start, plain, closed)] + [(quoted, quoted, QUOTE_EDIT, DOUBLE_QUOTE, False)]
+        moves["t"] += [(quoted, quoted, 0, KEEP, False), (start, quoted, QUOTE_EDIT, OPEN_QUOTE, False)]
+        moves["t"] += [(s, start, TAB_EDIT, DROP_TAB, False) for s in (start, plain, closed)]
         if field + 1 < FIELDS:
             after = (field + 1) * 4 + START
-            moves["t"] += [(s, after, 0, KEEP) for s in (start, plain, closed)] + [(quoted, after, QUOTE_EDIT, CLOSE_QUOTE)]
+            moves["t"] += [(s, after, TYPE_FAULT if s == start else 0, KEEP, False) for s in (start, plain, closed)] + [(quoted, after, QUOTE_EDIT, CLOSE_QUOTE, False)]
     return moves
 
 
 MOVES = _moves()
 STATES = FIELDS * 4
-_NEVER = 1 << 62
+_NEVER = 1 << 120
+
+
+def _insert_tabs(cost: list[int], symbol: str) -> list[list[int]]:
+    """Lets tabs be inserted before ``symbol`` ("" at the end): raises costs' states in place, and returns for each state the
+    states that it came from. A tab may not stand where it would part a quote from what it follows or is followed by: it is
+    inserted at a field's start, after a plain run unless a quote comes next, and anywhere at the end."""
+    came = [[] for _ in range(STATES)]
+    for field in range(FIELDS - 1):
+        after = (field + 1) * 4 + START
+        for kind in (START, PLAIN, CLOSED):
+            if kind == CLOSED and symbol or kind == PLAIN and symbol == "q":
+                continue
+            before = field * 4 + kind
+            price = TAB_EDIT + (TYPE_FAULT if kind == START else 0)
+            if cost[before] + price < cost[after]:
+                cost[after] = cost[before] + price
+                came[after] = [*came[before], before]
+    return came
 
 
 @lru_cache(maxsize=50_000)
-def cheapest_parse(symbols: str) -> tuple[int, int, tuple[tuple[int, int], ...], tuple[int, ...]]:
-    """(quote edits, tab edits, edits as (symbol index, edit), index of the state after each symbol) of the cheapest parse."""
+def cheapest_parse(symbols: str, sizes: tuple[int, ...]) -> tuple[int, int, tuple[tuple[int, int], ...], tuple[int, ...], tuple[int, ...]]:
+    """(quote edits, tab edits, edits as (symbol index, edit), symbol indexes before which a tab is inserted, index of the
+    state after each symbol) of the cheapest parse of runs with their symbols and sizes."""
     cost = [_NEVER] * STATES
     cost[START] = 0
-    back = np.zeros((len(symbols), STATES), dtype=np.uint8)
+    back, inserted = np.zeros((len(symbols), STATES), dtype=np.uint8), []
     for i, symbol in enumerate(symbols):
+        inserted.append(_insert_tabs(cost, symbol))
         after, row = [_NEVER] * STATES, back[i]
-        for before, state, price, edit in MOVES[symbol]:
-            total = cost[before] + price
+        for before, state, price, edit, wrong in MOVES[symbol]:
+            total = cost[before] + price + (TYPE_FAULT * sizes[i] if wrong else 0)
             if total < after[state]:
                 after[state] = total
                 row[state] = before * 8 + edit
         cost = after
+    inserted.append(_insert_tabs(cost, ""))
     best = (_NEVER, 0, 0)
     for state, total in enumerate(cost):
         field, kind = divmod(state, 4)
-        total += (FIELDS - 1 - field) * TAB_EDIT + (QUOTE_EDIT if kind == QUOTED else 0)
+        if field < FIELDS - 1 and kind != QUOTED:
+            continue  # reached the last field by inserted tabs
+        total += (FIELDS - 1 - field) * TAB_EDIT + (QUOTE_EDIT if kind == QUOTED else TYPE_FAULT if kind == START else 0)
         best = min(best, (total, -field, state))
     total, _, state = best
     edits: list[tuple[int, int]] = []
+    tabs_at: list[int] = []
     field, kind = divmod(state, 4)
     if kind == QUOTED:
         edits.append((len(symbols), CLOSE_QUOTE))
+        tabs_at += [len(symbols)] * (FIELDS - 1 - field)
     states = [0] * len(symbols)
-    for i in range(len(symbols) - 1, -1, -1):
-        states[i] = state
-        before, edit = divmod(int(back[i, state]), 8)
+    for i in range(len(symbols), -1, -1):
+        while inserted[i][state]:
+            tabs_at.append(i)
+            state = inserted[i][state][-1]
+        if not i:
+            break
+        states[i - 1] = state
+        before, edit = divmod(int(back[i - 1, state]), 8)
         if edit:
-            edits.append((i, edit))
+            edits.append((i - 1, edit))
         state = before
-    quotes, tabs = divmod(total, QUOTE_EDIT)
-    return quotes, tabs, tuple(reversed(edits)), tuple(states)
-
-
-_RUN = re.compile(r'"|\t|[^"\t]+')
-_SYMBOL = {'"': "q", "\t": "t"}
+    quotes, rest = divmod(total, QUOTE_EDIT)
+    return quotes, rest // TAB_EDIT, tuple(reversed(edits)), tuple(reversed(tabs_at)), tuple(states)
 
 
 def parse_line(line: str) -> tuple[int, int, list[str], list[str] | None]:
     """(quote edits, tab edits, operations with their character positions, the fields if the line needs no edit)."""
-    runs = _RUN.findall(line)
-    symbols = "".join(_SYMBOL.get(run, "o") for run in runs)
-    quotes, tabs, edits, states = cheapest_parse(symbols) if len(symbols) < 256 else cheapest_parse.__wrapped__(symbols)
+    found = [(m.lastgroup, m.group()) for m in RUN.finditer(line)]
+    symbols, runs = "".join(s for s, _ in found), [run for _, run in found]
+    sizes = tuple(map(len, runs))
+    quotes, tabs, edits, tabs_at, states = (cheapest_parse if len(symbols) < 64 else cheapest_parse.__wrapped__)(symbols, sizes)
     if not quotes and not tabs:
         fields, quoted = [""] * FIELDS, [False] * FIELDS
         parts: list[list[str]] = [[] for _ in range(FIELDS)]
@@ -117,10 +153,8 @@ def parse_line(line: str) -> tuple[int, int, list[str], list[str] | None]:
     starts = [0]
     for run in runs:
         starts.append(starts[-1] + len(run))
-    operations = [f"{OPERATION[edit]}@{starts[i]}" for i, edit in edits]
-    added = tabs - sum(edit == DROP_TAB for _, edit in edits)
-    operations += [f"insert_tab@{len(line)}"] * added
-    return quotes, tabs, operations, None
+    operations = sorted([(starts[i], OPERATION[edit]) for i, edit in edits] + [(starts[i], "insert_tab") for i in tabs_at])
+    return quotes, tabs, [f"{name}@{at}" for at, name in operations], None
 
 
 PARSED = T.StructType(
@@ -168,14 +202,18 @@ def parse_deliveries(lines: DataFrame, syllables: DataFrame, line: str = "line")
     allowed = small_values(syllables, "syllable", SYLLABLE_BOUND)
     own = F.regexp_replace(F.col(line), r"\r\z", "")
     parse = F.pandas_udf(_parse_all, PARSED)
-    kept = [c for c in lines.columns if c not in {"reason", "operations", "text", "pinyin", "frequency", "__own", "__parsed"}]
+    kept = [c for c in lines.columns if c not in {"reason", "operations", "text", "pinyin", "frequency", "__own", "__parts", "__parsed", "__fields"}]
     data = (
         lines.select(*(F.col(f"`{c}`") for c in kept), own.alias("__own"))
         .where((F.rtrim("__own") != "") & ~F.startswith("__own", F.lit("#")))
         .where((F.col("__own") != HEADER) & (F.col("__own") != "﻿" + HEADER))
-        .withColumn("__parsed", parse("__own"))
+        # A line without quotes and with three parts is its own parse; the others' alone go to the programme.
+        .withColumn("__parts", F.when(~F.contains("__own", F.lit('"')), F.split("__own", "\t", -1)))
+        .withColumn("__parts", F.when(F.size("__parts") == FIELDS, F.col("__parts")))
+        .withColumn("__parsed", parse(F.when(F.col("__parts").isNull(), F.col("__own"))))
+        .withColumn("__fields", F.coalesce("__parts", "__parsed.fields"))
     )
-    text, pinyin, frequency = (F.col("__parsed.fields")[k] for k in range(FIELDS))
+    text, pinyin, frequency = (F.col("__fields")[k] for k in range(FIELDS))
     reason = (
         F.when(F.col("__parsed.quote_edits") > 0, F.lit("broken_quote"))
         .when(F.col("__parsed.tab_edits") > 0, F.lit("column_count"))
@@ -184,9 +222,9 @@ def parse_deliveries(lines: DataFrame, syllables: DataFrame, line: str = "line")
     valid = F.col("reason").isNull()
     return (
         data.withColumn("reason", reason)
-        .withColumn("operations", F.col("__parsed.operations"))
+        .withColumn("operations", F.coalesce("__parsed.operations", F.array().cast("array<string>")))
         .withColumn("text", F.when(valid, text))
         .withColumn("pinyin", F.when(valid, plain_pinyin(pinyin)))
-        .withColumn("frequency", F.when(valid, F.expr("try_cast(__parsed.fields[2] as bigint)")))
-        .drop("__own", "__parsed")
+        .withColumn("frequency", F.when(valid, F.expr("try_cast(__fields[2] as bigint)")))
+        .drop("__own", "__parts", "__parsed", "__fields")
     )

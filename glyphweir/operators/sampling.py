@@ -20,9 +20,9 @@ def numbered(rows: DataFrame, *order: str, name: str = "i") -> DataFrame:
     for part, n in counts:
         starts.append((part, before))
         before += n
-    offset = F.create_map(*(F.lit(x) for pair in starts for x in pair)) if starts else F.expr("cast(map() as map<int,bigint>)")
+    offset = rows.sparkSession.createDataFrame(starts, "__part int, __before bigint")  # one row a part
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn(name, own + F.try_element_at(offset, F.col("__part"))).drop("__part")
+    return parts.withColumn("__own", own).join(F.broadcast(offset), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
 def spread(rows: DataFrame, limit: int, *order: str) -> DataFrame:
@@ -45,7 +45,8 @@ def greedy_first_unseen(candidates: DataFrame, group: str, place: str, text: str
 
     That order of choosing is the one stable assignment in which every text prefers the earlier group, so it is found in
     rounds: each group asks for its first candidate left, each text keeps the earliest group that asks, the others lose
-    that candidate. A round is two aggregations, reduced in every task before they are shuffled; rounds end when none loses.
+    that candidate. A round is two aggregations, reduced in every task before they are shuffled, and each takes at least one
+    candidate away, so rounds end when none loses. Each round's tables are cut once, the losers' before the check.
     """
     from glyphweir.session import cut
 

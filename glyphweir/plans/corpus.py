@@ -15,6 +15,9 @@ from glyphweir.plans.decoding import _pool
 from glyphweir.session import shuffle_width
 from glyphweir.sources.tables import table
 
+#: Words of a span and layer that a reading with transitions over short and mistyped spellings may use.
+NOISY_KEPT = 3
+
 
 def bigram_counts(spark: SparkSession, folder: str) -> DataFrame:
     return language.bigrams(V.spoken(spark, folder, ("train",))).select("prev", "cur", "n", "total")
@@ -74,12 +77,29 @@ def sentence_kbest_unigram(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.sentences(lattice.noisy_edges(codes, words, 20), words, top=3, literals=True, codes=codes)
 
 
+def _transitions(spark: SparkSession, folder: str, words: DataFrame) -> tuple[DataFrame, int]:
+    """(prev, cur, n) of all caches between words, and the number of words."""
+    known = words.select("text").distinct()
+    pairs = table(spark, folder, "personal_pair_counts").distinct().groupBy(F.col("previous_word").alias("prev"), F.col("current_word").alias("cur")).agg(F.sum("n").alias("n"))
+    return pairs, max(known.count(), 1)
+
+
+def _with_transitions(spark: SparkSession, folder: str, codes: DataFrame, words: DataFrame, edges: DataFrame) -> DataFrame:
+    pairs, size = _transitions(spark, folder, words)
+    model = language.model(pairs, size)
+    return lattice.sentences(edges, words, top=3, literals=True, codes=codes, model=model, transitions=pairs.where("prev is not null and cur is not null") if model is None else None, size=size)
+
+
 def sentence_kbest_bigram(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the transitions of all caches, but on full codes at even places only: no short spellings, no edit."""
     words, codes = V.words(spark, folder), V.observed(spark, folder)
-    pairs = table(spark, folder, "personal_pair_counts").distinct().groupBy(F.col("previous_word").alias("prev"), F.col("current_word").alias("cur")).agg(F.sum("n").alias("n"))
-    size = words.select("text").distinct().count()
-    return lattice.sentences(lattice.exact_edges(codes, words), words, top=3, literals=True, codes=codes, model=language.model(pairs, max(size, 1)))
+    return _with_transitions(spark, folder, codes, words, lattice.exact_edges(codes, words))
+
+
+def sentence_kbest_bigram_noisy(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over short spellings and one edit as well; of a span the NOISY_KEPT best of each layer stay."""
+    words, codes = V.words(spark, folder), V.observed(spark, folder)
+    return _with_transitions(spark, folder, codes, words, lattice.noisy_edges(codes, words, NOISY_KEPT))
 
 
 def sentence_lanes(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +115,7 @@ def sentence_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 def literal_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Typed codes that no word begins: every key stays unresolved."""
-    codes = V.observed(spark, folder).where(F.length("observed") <= lattice.CODE_LIMIT)
+    codes = V.observed(spark, folder)
     table_ = L.spelling_table(V.words(spark, folder)).select("spelling").distinct()
     parts = codes.select("observed", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("observed")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("observed") - i + 1, F.lit(lattice.SPELLING_LIMIT))), lambda n: F.substring("observed", i, n))))).alias("spelling")).distinct()
     spelled = parts.join(table_, "spelling", "left_semi").select("observed").distinct()
@@ -240,7 +260,7 @@ def layer_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def _compositions(codes: DataFrame, core: DataFrame, more: DataFrame) -> DataFrame:
     """(observed, rank, text, added) of the six best compositions of codes with one word of ``more`` that ``core`` lacks."""
-    codes = codes.where((F.length("observed") >= 6) & (F.length("observed") <= 32) & (F.length("observed") % 2 == 0))
+    codes = codes.where((F.length("observed") >= 6) & (F.length("observed") % 2 == 0))
     by_weight = [F.desc("frequency"), F.asc("text")]
     known = L.ranked(more.where(F.length("code") >= 4), ["code"], *by_weight, name="place").join(core.select("text", "code"), ["text", "code"], "left_anti")
     extra = L.ranked(known, ["code"], F.asc("place"), limit=4, name="turn").select("text", "code", "place", F.lit(True).alias("extra"))
@@ -426,6 +446,7 @@ def _two_token_windows(spark: SparkSession, folder: str, split: str) -> DataFram
 
 
 def first_unseen_greedy(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the test sentences, as the task says, each one's first window that no sentence before took."""
     return sampling.greedy_first_unseen(_two_token_windows(spark, folder, "test"), "id", "pos", "phrase")
 
 
@@ -452,7 +473,7 @@ def personal_promotion(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bigram_counts, bigram_score, char_bigram_counts, char_text_score, lm_stats, lattice_edges, noisy_lattice, complete_sentence, sentence_kbest_unigram, sentence_kbest_bigram, sentence_lanes, sentence_variants, literal_fallback,
+        bigram_counts, bigram_score, char_bigram_counts, char_text_score, lm_stats, lattice_edges, noisy_lattice, complete_sentence, sentence_kbest_unigram, sentence_kbest_bigram, sentence_kbest_bigram_noisy, sentence_lanes, sentence_variants, literal_fallback,
         protocol_decode_whole, continuous_composition_whole, interactive_query_whole, protocol_context_whole,
         protocol_decode, continuous_composition, interactive_query, layer_merge, layer_audit, supplemental_composition, frozen_pool_rerank, hybrid_rerank, conservative_top1, hybrid_metrics_grid, public_context_rerank, context_oracle,
         failure_decomposition, protocol_context, paired_rank_stats, candidate_lab_actions, retained_visible_texts, spread_sample, fit_dev_split, first_unseen_greedy, whitelist_shortcuts, personal_promotion,

@@ -22,7 +22,7 @@ round(sum(times * ln((coalesce(bg.n, 0) + 0.5) / (coalesce(t.total, 0) + 0.5 * {
 
 
 _EDGES = """ed AS (SELECT observed, lo AS low, hi AS high, text, code, frequency FROM obs, range(0, length(observed), 2) a(lo), range(lo + 2, least(length(observed), lo + 24) + 1, 2) b(hi), lex
-  WHERE length(observed) % 2 = 0 AND length(observed) <= 64 AND code = substr(observed, lo + 1, hi - lo))"""
+  WHERE length(observed) % 2 = 0 AND code = substr(observed, lo + 1, hi - lo))"""
 _TWO = """bt AS (SELECT * FROM lex QUALIFY row_number() OVER (PARTITION BY text ORDER BY frequency DESC, pinyin, code) = 1),
 tw AS (SELECT observed, cutp, a.text AS first, b.text AS second, b.code AS c2, round(ln(a.frequency) + ln(b.frequency), 9) AS score FROM obs, range(2, length(observed) - 1, 2) r(cutp) JOIN bt a ON a.code = left(observed, cutp) JOIN bt b ON b.code = substr(observed, cutp + 1) WHERE length(observed) >= 4 AND length(observed) % 2 = 0),
 t1 AS (SELECT *, first || second AS text FROM tw QUALIFY row_number() OVER (PARTITION BY observed, first || second ORDER BY score DESC, cutp) = 1),
@@ -47,7 +47,7 @@ SQL = {
     "complete_sentence": _OBS + f""", {_EDGES}, path AS (SELECT observed, 0 AS cutp, '' AS text, 0.0::DOUBLE AS score, 0 AS n FROM obs UNION ALL SELECT p.observed, e.high, p.text || e.text, p.score + ln(e.frequency / (SELECT sum(frequency) FROM lex)), n + 1 FROM path p JOIN ed e ON e.observed = p.observed AND e.low = p.cutp),
 done AS (SELECT observed, text, round(score, 9) AS score, score AS exact, n FROM path WHERE cutp = length(observed) QUALIFY row_number() OVER (PARTITION BY observed, text ORDER BY round(score, 9) DESC, n) = 1)
 SELECT observed, CAST(row_number() OVER (PARTITION BY observed ORDER BY score DESC, n, text) AS INTEGER) AS rank, text, round(exact, 6) AS score FROM done QUALIFY rank <= 5""",
-    "literal_fallback": _OBS + f", {V.SPELLINGS}, sp AS (SELECT DISTINCT spelling FROM spl), hit AS (SELECT DISTINCT observed FROM obs, range(1, length(observed) + 1) a(i), range(1, least(length(observed) - i + 1, 24) + 1) b(n) WHERE substr(observed, i, n) IN (SELECT spelling FROM sp)) SELECT observed, '〔' || array_to_string(string_split(observed, ''), '〕〔') || '〕' AS text, round(-8.0 * length(observed), 3) AS score FROM obs WHERE observed NOT IN (SELECT observed FROM hit) AND length(observed) <= 64",
+    "literal_fallback": _OBS + f", {V.SPELLINGS}, sp AS (SELECT DISTINCT spelling FROM spl), hit AS (SELECT DISTINCT observed FROM obs, range(1, length(observed) + 1) a(i), range(1, least(length(observed) - i + 1, 24) + 1) b(n) WHERE substr(observed, i, n) IN (SELECT spelling FROM sp)) SELECT observed, '〔' || array_to_string(string_split(observed, ''), '〕〔') || '〕' AS text, round(-8.0 * length(observed), 3) AS score FROM obs WHERE observed NOT IN (SELECT observed FROM hit)",
     "protocol_decode": _OBS + f", {_TWO} SELECT observed, rank, text, round(score, 6) AS score FROM t2 WHERE rank <= 5",
     "continuous_composition": _OBS + f", {_TWO} SELECT count(*) AS n, count(*) FILTER (rank <= 1) AS top1, count(*) FILTER (rank <= 3) AS top3, count(*) FILTER (rank <= 5) AS top5, count(*) FILTER (rank <= 10) AS top10, CAST(sum(length(com.observed)) AS BIGINT) AS n_keys, CAST(coalesce(sum(length(c2) // 2 - 1), 0) AS BIGINT) AS keys_saved FROM com LEFT JOIN t2 ON t2.observed = com.observed AND t2.text = com.text AND t2.rank <= 10 WHERE com.observed <> ''",
     "interactive_query": _OBS

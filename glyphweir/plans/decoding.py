@@ -14,7 +14,8 @@ from glyphweir.operators.sampling import order_statistics
 from glyphweir.plans import views as V
 from glyphweir.sources.tables import table
 
-SLICE, FIRST = 500, 10
+#: Most entries of a lexicon slice, and words shown for a code.
+SLICE, FIRST = 120_000, 10
 
 
 def lexicon_build(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,11 +258,6 @@ def margin_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prefix_trajectory(spark: SparkSession, folder: str) -> DataFrame:
-    """The trajectories of words of six syllables at most, as the SQL has them; prefix_trajectory_whole has all words."""
-    return _trajectories(V.words(spark, folder).where(F.size("codes") <= 6))
-
-
-def prefix_trajectory_whole(spark: SparkSession, folder: str) -> DataFrame:
     return _trajectories(V.words(spark, folder))
 
 
@@ -294,7 +290,7 @@ QUERIES = {
     for f in (
         decode_word_topk, lexicon_build, lexicon_reject_reasons, lexicon_slice_topn, lexicon_anti_list, lexicon_compare, best_entry_by_text, token_fallback_cover, syllable_codes, pinyin_codec, tone_strip,
         spelling_enumeration, index_stats, code_fanout, codebook_ambiguity, fibonacci_parses, key_neighbors_join, hypotheses_one_edit, edit_classify, decode_exact_full_code, decode_with_abbreviation,
-        char_pair_product, swap_recovery, auto_transposition_decision, protocol_codes, collision_gate_sweep, recall_at_k, oov_exposure, rejection_sweep, margin_range, prefix_trajectory, prefix_trajectory_whole, word_shortened_codes, latency_summary,
+        char_pair_product, swap_recovery, auto_transposition_decision, protocol_codes, collision_gate_sweep, recall_at_k, oov_exposure, rejection_sweep, margin_range, prefix_trajectory, word_shortened_codes, latency_summary,
     )
 }
 
@@ -366,7 +362,7 @@ SELECT obs.observed, CASE WHEN length(obs.observed) % 2 <> 0 THEN 'keep_odd' WHE
     "oov_exposure": f"WITH {V.LEX}, {V.UD}, f AS (SELECT split, unnest(items) AS form FROM spk), g AS (SELECT split, form, count(*) AS n, form IN (SELECT text FROM lex) AS known FROM f GROUP BY 1, 2) SELECT split, CAST(sum(n) AS BIGINT) AS n_forms, CAST(coalesce(sum(n) FILTER (NOT known), 0) AS BIGINT) AS n_unknown, count(*) FILTER (NOT known) AS n_distinct_unknown, round(coalesce(sum(n) FILTER (NOT known), 0) / sum(n), 6) AS rate FROM g GROUP BY 1",
     "rejection_sweep": _MARGIN + " SELECT CAST(t AS INTEGER) AS threshold, count(*) FILTER (known AND coalesce(margin >= t, false)) AS accepted_known, count(*) FILTER (NOT known AND NOT coalesce(margin >= t, false)) AS rejected_unknown, count(*) FILTER (known) AS n_known, count(*) FILTER (NOT known) AS n_unknown FROM mrg, range(0, 9) r(t) GROUP BY 1",
     "margin_range": _MARGIN + " SELECT known, count(*) AS n, count(margin) AS n_margins, min(margin) AS least, max(margin) AS most FROM mrg GROUP BY 1",
-    "prefix_trajectory": f"""WITH RECURSIVE {V.LEX.replace("GROUP BY 1, 2)", "GROUP BY 1, 2 HAVING length(code) <= 12)")}, {V.SPELLINGS},
+    "prefix_trajectory": f"""WITH RECURSIVE {V.LEX}, {V.SPELLINGS},
 b AS (SELECT spelling, text, frequency, abbreviated FROM spl QUALIFY row_number() OVER (PARTITION BY spelling, text ORDER BY frequency DESC, abbreviated) = 1), tp AS (SELECT spelling, text FROM b QUALIFY row_number() OVER (PARTITION BY spelling ORDER BY frequency DESC, abbreviated, text) <= 10),
 st AS (SELECT text, code, CAST(s AS INTEGER) AS syllable FROM lex, range(1, length(code) // 2 + 1) r(s)), m AS (SELECT syllable, (left(code, syllable * 2 - 1), text) IN (SELECT (spelling, text) FROM tp) AS o, (left(code, syllable * 2), text) IN (SELECT (spelling, text) FROM tp) AS e FROM st)
 SELECT syllable, count(*) AS n, count(*) FILTER (o AND e) AS both, count(*) FILTER (o AND NOT e) AS lost, count(*) FILTER (NOT o AND e) AS gained, count(*) FILTER (NOT o AND NOT e) AS absent FROM m GROUP BY 1""",

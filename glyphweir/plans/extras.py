@@ -11,9 +11,9 @@ from glyphweir.functions import keys as K
 from glyphweir.operators import lexicon as L
 from glyphweir.operators import memory as M
 from glyphweir.operators import shapes as S
+from glyphweir.operators.sampling import numbered
 from glyphweir.plans import sessions as P
 from glyphweir.plans import views as V
-from glyphweir.plans.decoding import SLICE
 from glyphweir.sources import formats
 from glyphweir.sources.tables import table
 
@@ -141,11 +141,11 @@ def predicate_literals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexicon_import(spark: SparkSession, folder: str) -> DataFrame:
-    """What a lexicon slice of the valid rows, heaviest first, keeps and drops as its size grows."""
-    rows = L.entries(table(spark, folder, "technical_overlay")).where("reason is null")
-    placed = L.ranked(rows.withColumn("one", F.lit(1)), ["one"], F.desc("frequency"), F.asc("entry_id"), limit=SLICE)
-    first = F.row_number().over(Window.partitionBy("text", "code").orderBy("rank")) == 1
-    return placed.withColumn("first", first).groupBy(F.floor((F.col("rank") - 1) / 100).alias("hundred")).agg(F.count("*").alias("n"), F.count_if("first").alias("n_kept"), F.min("frequency").alias("least"), F.max("frequency").alias("most"))
+    """What a lexicon slice of the valid rows, heaviest first, keeps and drops as its size grows: per hundred of them."""
+    rows = L.entries(table(spark, folder, "technical_overlay")).where("reason is null").select("entry_id", "text", "code", "frequency").withColumn("weight", -F.col("frequency"))
+    placed = numbered(rows, "weight", "entry_id", name="rank")
+    first = placed.groupBy("text", "code").agg(F.min("rank").alias("rank")).select("rank", F.lit(True).alias("first"))
+    return placed.join(first, "rank", "left").groupBy(F.floor(F.col("rank") / 100).alias("hundred")).agg(F.count("*").alias("n"), F.count("first").alias("n_kept"), F.min("frequency").alias("least"), F.max("frequency").alias("most"))
 
 
 def layered_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,5 +269,5 @@ SQL = {
     "codec_roundtrip": f"WITH {V.EVENTS} SELECT count(*) AS n_events, count(*) AS n_json, count(*) AS n_capsule FROM ev",
     "alias_override": _OBS + ", c AS (SELECT observed, text, count(*) AS n FROM com WHERE observed <> '' AND text <> '' GROUP BY 1, 2 HAVING count(*) >= 3), a AS (SELECT observed, text FROM c QUALIFY row_number() OVER (PARTITION BY observed ORDER BY n DESC, text) = 1), w AS (SELECT code, text FROM lex QUALIFY row_number() OVER (PARTITION BY code ORDER BY frequency DESC, text) = 1) SELECT obs.observed, coalesce(a.text, w.text) AS text, a.text IS NOT NULL AS is_alias FROM obs LEFT JOIN a ON a.observed = obs.observed LEFT JOIN w ON w.code = obs.observed WHERE a.text IS NOT NULL OR w.text IS NOT NULL",
     "predicate_literals": r"WITH t AS (SELECT DISTINCT text FROM technical_overlay WHERE text IS NOT NULL) SELECT text, regexp_full_match(text, '[㐀-䶿一-鿿\x{F900}-\x{FAFF}〇]+') AS han_corpus, regexp_full_match(text, '[㐀-䶿一-鿿\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{30000}-\x{323AF}]+') AS han_slice, length(text) BETWEEN 2 AND 4 AS short, regexp_full_match(text, '[a-z]+') AS is_code, regexp_full_match(text, '[a-z'']+') AS fragment FROM t",
-    "lexicon_import": _LEX + f", r AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, entry_id) AS rank FROM ent WHERE reason IS NULL QUALIFY rank <= {SLICE}), f AS (SELECT *, row_number() OVER (PARTITION BY text, code ORDER BY rank) = 1 AS first FROM r) SELECT (rank - 1) // 100 AS hundred, count(*) AS n, count(*) FILTER (first) AS n_kept, min(frequency) AS least, max(frequency) AS most FROM f GROUP BY 1",
+    "lexicon_import": _LEX + f", r AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, entry_id) AS rank FROM ent WHERE reason IS NULL), f AS (SELECT *, row_number() OVER (PARTITION BY text, code ORDER BY rank) = 1 AS first FROM r) SELECT (rank - 1) // 100 AS hundred, count(*) AS n, count(*) FILTER (first) AS n_kept, min(frequency) AS least, max(frequency) AS most FROM f GROUP BY 1",
 }

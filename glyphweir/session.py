@@ -95,7 +95,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def block_count(df: DataFrame, block_bytes: int) -> int:
     """Number of blocks for hashing the rows of ``df``, at least one a task: follows the size of its input as the optimizer
     estimates it, so that a block stays in bounds whatever the number of shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(shuffle_width(df.sparkSession), min(size // block_bytes, 1 << 30))
 
 

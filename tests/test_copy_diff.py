@@ -1,6 +1,10 @@
 import random
 
-from glyphweir.operators.copy_diff import compare_copies, presence_blocks
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from glyphweir.operators.copy_diff import Bitmap, compare_copies, presence_blocks
 
 SCHEMA = "entry_id bigint, text string, pinyin string, frequency bigint, revision int, key string, p string"
 
@@ -50,3 +54,20 @@ def test_empty_and_hot(spark):
     assert compare_copies(one, one, "entry_id", fields, ["revision"]).count() == 0
     long = spark.createDataFrame([(1, "z" * 2_000_000, None, 1, 2, "", "")], SCHEMA)
     assert [tuple(r) for r in compare_copies(one, long, "entry_id", fields, ["revision"]).collect()] == [(1, "text")]
+
+
+@given(st.sets(st.integers(0, 40)), st.sets(st.integers(0, 40)))
+@settings(max_examples=300, deadline=None)
+def test_bitmaps(a, b):
+    p, m = (Bitmap.of(np.array(sorted(x), np.int64)) for x in (a, b))
+    for got, want in ((p, a), (p & m, a & b), (p - m, a - b), (m - p, b - a)):
+        assert got.ordinals().tolist() == sorted(want) and len(got) == len(want)
+    assert len(Bitmap.of(np.arange(1_000_000)).changes) == 2
+
+
+def test_other_types(spark):
+    schema = "k string, v double, at timestamp, r int"
+    nan = float("nan")
+    a = spark.createDataFrame([("x", 1.0, None, 1), ("y", nan, None, 1), ("z", None, None, None), (None, 1.0, None, 1)], schema)
+    b = spark.createDataFrame([("x", 2.0, None, 2), ("x", 1.0, None, 1), ("y", nan, None, 1), ("z", 0.0, None, 3)], schema)
+    assert sorted(map(tuple, compare_copies(a, b, "k", ["v", "at"], ["r"]).collect())) == [("x", "v"), ("z", "v")]

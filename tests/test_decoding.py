@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphweir.functions import codec, keys
-from glyphweir.operators import lattice, lexicon, noisy, sampling
+from glyphweir.operators import language, lattice, lexicon, noisy, sampling
 from glyphweir.plans import corpus, decoding
 
 WORDS = [("词", "ci", 50), ("次", "ci", 20), ("词库", "ci ku", 30), ("库存", "ku cun", 12), ("存", "cun", 9), ("输入", "shu ru", 40), ("去", "qu", 7), ("绿", "lv", 3), ("词", "ci", 45)]
@@ -189,5 +189,57 @@ def test_trajectories_of_long_words(spark):
 
 
 def test_trajectory_query_has_long_words(spark, small):
-    whole, short = (f(spark, small).agg(F.max("syllable")).first()[0] for f in (decoding.prefix_trajectory_whole, decoding.prefix_trajectory))
-    assert whole > 6 >= short
+    assert decoding.prefix_trajectory(spark, small).agg(F.max("syllable")).first()[0] > 6
+
+
+def test_best_path_with_transitions_against_enumeration():
+    rnd = random.Random(5)
+    for _ in range(60):
+        observed = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 5)))
+        edges = []
+        for low, high in itertools.combinations(range(len(observed) + 1), 2):
+            for k in range(rnd.randint(0, 2)):
+                edges.append({"low": low, "high": high, "text": f"w{high - low}{k}", "code": f"c{low}{high}{k}", "frequency": rnd.randint(1, 50), "abbreviated": 0, "kind": rnd.choice(["exact", "exact", "swap"]), "spelling": "x"})
+        texts = sorted({e["text"] for e in edges})
+        pairs = {(a, b): rnd.randint(1, 9) for a in texts for b in texts if rnd.random() < 0.5}
+        totals = {a: sum(n for (x, _), n in pairs.items() if x == a) for a in texts}
+        model = lattice.Model(pairs, totals, len(texts) + 1)
+        found = []
+
+        def walk(at, used, score, before, said, unresolved):
+            if at == len(observed):
+                found.append((unresolved, used, -round(score, 9), len(said), "".join(said)))
+                return
+            for e in edges:
+                if e["low"] == at and not (used and e["kind"] != "exact"):
+                    own = math.log(e["frequency"] / 100)
+                    if before:
+                        own = lattice.UNIGRAM_SHARE * own + lattice.BIGRAM_SHARE * model.log(before, e["text"])
+                    walk(e["high"], used or e["kind"] != "exact", score + own - lattice.CORRECTION_COST[e["kind"]], e["text"], [*said, e["text"]], unresolved)
+            walk(at + 1, used, score - lattice.LITERAL_COST, "", [*said, f"〔{observed[at]}〕"], unresolved + 1)
+
+        walk(0, False, 0.0, "", [], 0)
+        assert lattice.best_paths(observed, edges, 100, keep=50, model=model)[0].order()[:5] == min(found)
+
+
+def test_plain_paths_are_the_best_paths():
+    rnd = random.Random(6)
+    for _ in range(80):
+        observed = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 7)))
+        edges = [{"low": a, "high": b, "text": rnd.choice("xyz") * (b - a), "code": f"{a}{b}{k}", "frequency": rnd.randint(1, 9)} for a, b in itertools.combinations(range(len(observed) + 1), 2) for k in range(rnd.randint(0, 2))]
+        want = [(p.text, p.n_words, p.cost) for p in lattice.best_paths(observed, edges, 50, 5, literals=False)[:5]]
+        assert [(p.text, p.n_words, p.cost) for p in lattice.plain_paths(observed, edges, 50, 5)] == want
+
+
+def test_transitions_joined_or_handed_out(spark, words):
+    """Beyond the bound of a model its table is joined, with the same sentences; a code of any length is read."""
+    codes = spark.createDataFrame([("cikucp",), ("uurucp",), ("cicik",), ("zz",), ("ciku" * 20,)], "observed string")
+    pairs = spark.createDataFrame([("词", "库存", 9), ("次", "库存", 40), ("输入", "存", 2), ("词库", "存", 1), ("词库", "词库", 5)], "prev string, cur string, n bigint")
+    for edges in (lattice.exact_edges(codes, words), lattice.noisy_edges(codes.where("length(observed) < 9"), words, 5)):
+        handed, joined = (sorted(tuple(r) for r in lattice.sentences(edges, words, top=3, literals=True, codes=codes, **how).collect()) for how in ({"model": language.model(pairs, 8)}, {"transitions": pairs, "size": 8}))
+        assert handed == joined and len({r[0] for r in handed}) == 5
+
+
+def test_a_model_beyond_its_bound_is_no_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "PAIR_BOUND", 1)
+    assert language.model(spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "prev string, cur string, n bigint"), 2) is None

@@ -70,6 +70,21 @@ def test_fields_of_quoted_lines():
     assert P.parse_line("\t\t")[3] == ["", "", ""]
 
 
+def test_a_missing_tab_is_stated_where_the_fields_suit_their_types():
+    cases = {"词ci\t7": "insert_tab@1", "词\tci7": "insert_tab@4", "词\tci ku12": "insert_tab@7", "词\tci": "insert_tab@4", "词\tci\t\t7": "delete_tab@4", "词\t7": "insert_tab@1"}
+    for line, operation in cases.items():
+        quotes, tabs, operations, _ = P.parse_line(line)
+        assert (quotes, tabs) == (0, 1) and operations[0] in (operation, operation.replace("@1", "@2"), operation.replace("@4", "@5")), (line, operations)
+    assert P.parse_line("词ci7")[2] == ["insert_tab@1", "insert_tab@3"]
+
+
+def test_clean_lines_need_no_programme(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, "词\tci\t7"), (2, "词ci\t7"), (3, '"词"\tci\t7')], "line_id bigint, line string")
+    got = {r.line_id: r for r in P.parse_deliveries(lines, spark.createDataFrame([("ci",)], "syllable string")).collect()}
+    assert (got[1].reason, got[1].text, list(got[1].operations)) == (None, "词", []) and (got[3].reason, got[3].text) == (None, "词")
+    assert (got[2].reason, list(got[2].operations)) == ("column_count", ["insert_tab@1"])
+
+
 def test_long_lines_end():
     assert P.parse_line('"' + '""' * 20_000 + '"\ta\t1')[:2] == (0, 0)
     assert P.parse_line("a" * 1_000_000 + "\tb\t1")[:2] == (0, 0)
