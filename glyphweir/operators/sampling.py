@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "i") -> DataFrame:
@@ -14,15 +18,22 @@ def numbered(rows: DataFrame, *order: str, name: str = "i") -> DataFrame:
     """
     from glyphweir.session import cut, shuffle_width
 
-    parts = cut(rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(before, before + batch.num_rows), pa.int64())], names=[*batch.schema.names, "__own"])
+            before += batch.num_rows
+
+    parts = cut(ordered.mapInArrow(count, T.StructType([*ordered.schema.fields, T.StructField("__own", T.LongType())])))
     counts = sorted((r["__part"], r["count"]) for r in parts.groupBy("__part").count().collect())
     starts, before = [], 0
     for part, n in counts:
         starts.append((part, before))
         before += n
     offset = rows.sparkSession.createDataFrame(starts, "__part int, __before bigint")  # one row a part
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn("__own", own).join(F.broadcast(offset), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+    return parts.join(F.broadcast(offset), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
 def spread(rows: DataFrame, limit: int, *order: str) -> DataFrame:
