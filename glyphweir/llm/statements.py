@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from glyphweir.llm.forms import form_sql
+
 _COUNTS = """
 WITH ud AS (SELECT id, any_value(tokens) AS tokens FROM ud_sentences WHERE id IS NOT NULL GROUP BY id),
 ov AS (SELECT DISTINCT package_id, entry_id, text FROM technical_overlay WHERE package_id IS NOT NULL AND entry_id IS NOT NULL),
@@ -26,7 +28,30 @@ j AS (SELECT 'sentence' AS kind, low_item, high_item, k AS together, k AS record
   UNION ALL SELECT 'personal_pair', low_item, high_item, k, sessions, a.n, b.n, pn.n FROM pp JOIN pc a ON a.item = low_item JOIN pc b ON b.item = high_item, pn)
 """
 
+_H = lambda x: f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+_CELLS = ["k", "x - k", "y - k", "n - x - y + k"]
+_RATIO = "greatest(0.0, 2 * (" + " + ".join(_H(c) for c in _CELLS) + " - (" + _H("x") + ") - (" + _H("n - x") + ") - (" + _H("y") + ") - (" + _H("n - y") + ") + (" + _H("n") + ")))"
+
+#: The texts' forms, by the operator's own expression over whole tables, and pairs of rows that agree in them.
+_FORMS = f"""
+WITH o AS (SELECT DISTINCT package_id, entry_id, text FROM technical_overlay WHERE text <> ''),
+e AS (SELECT DISTINCT event_id, session_id, segment_seq, change.start AS start, change.inserted AS ins, change.deleted AS del FROM capsule_events),
+t AS (SELECT DISTINCT text FROM (SELECT text FROM o UNION ALL SELECT ins FROM e UNION ALL SELECT del FROM e) WHERE text <> ''),
+f AS (SELECT text, {form_sql("text")} AS form FROM t),
+"""
+_P2 = _FORMS + """
+x AS (SELECT package_id, entry_id, text, form FROM o JOIN f USING (text)),
+i AS (SELECT event_id, session_id, segment_seq, start, text, form FROM e JOIN f ON ins = text),
+d AS (SELECT event_id, session_id, segment_seq, start, text, form FROM e JOIN f ON del = text)
+SELECT DISTINCT 'overlay_text' AS kind, least(a.entry_id, b.entry_id) AS low_id, greatest(a.entry_id, b.entry_id) AS high_id FROM x a JOIN x b ON a.package_id = b.package_id AND a.form = b.form AND a.text < b.text AND a.entry_id <> b.entry_id
+UNION ALL SELECT DISTINCT 'delta_text', least(i.event_id, d.event_id), greatest(i.event_id, d.event_id) FROM i JOIN d ON i.session_id = d.session_id AND i.segment_seq = d.segment_seq AND i.start = d.start AND i.form = d.form AND i.text <> d.text AND i.event_id <> d.event_id"""
+
+_KINDS = _FORMS + """k AS (SELECT DISTINCT kind, text FROM (SELECT 'overlay_text' AS kind, text FROM o UNION ALL SELECT 'delta_inserted', ins FROM e UNION ALL SELECT 'delta_deleted', del FROM e) WHERE text <> '')
+SELECT kind, count(*) AS n_texts, count(DISTINCT form) AS n_forms, count(*) FILTER (form <> text) AS n_changed FROM k JOIN f USING (text) GROUP BY 1"""
+
 SQL = {
+    "p2_found": _P2,
+    "p2_forms": _KINDS,
     "p5_counts": _COUNTS + "SELECT field, term, occurrences, records, mark FROM m",
     "p5_found": _COUNTS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_found": _PAIRS + "SELECT kind, low_item, high_item FROM j WHERE records >= CASE kind WHEN 'sentence' THEN 4 ELSE 3 END AND together * total >= 8 * a * b",
