@@ -116,8 +116,9 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = bpe.token_ids(table(spark, folder, "documents"), lengths=True)
-    return packing.fill_containers(sizes, table(spark, folder, "pack_profiles"), "doc_id", "n_tokens")
+    documents = table(spark, folder, "documents")
+    sizes = bpe.token_ids(documents, lengths=True)
+    return packing.fill_containers(sizes, table(spark, folder, "pack_profiles"), "doc_id", "n_tokens", documents.count())
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
