@@ -61,26 +61,25 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _term_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (field, term, n) of every term in every record, and the records of each field."""
-    ud = table(spark, folder, "ud_sentences").select("id", "tokens").where("id is not null").dropDuplicates(["id"])
-    forms_ = ud.select("id", F.explode("tokens.form").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+def _term_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records (field, terms, times) of every field, and how many records each field has."""
+    none = F.lit(None).cast("array<bigint>")
+    ud = table(spark, folder, "ud_sentences").where("id is not null").select("id", F.col("tokens.form").alias("terms")).distinct()
     overlay = table(spark, folder, "technical_overlay").where("package_id is not null and entry_id is not null")
-    texts = overlay.select("package_id", "entry_id", F.col("text").alias("term")).distinct().groupBy("package_id", "term").agg(F.count("*").alias("n"))
+    texts = overlay.select("package_id", "entry_id", "text").distinct().groupBy("package_id", "text").agg(F.count("*").alias("n"))
     words = table(spark, folder, "personal_word_counts").where("session_id is not null")
-    delivered = F.aggregate(F.collect_set("n"), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    cached = words.groupBy("session_id", F.col("word").alias("term")).agg(delivered.alias("n"))
-    rows = [(forms_, "ud_form"), (texts, "overlay_text"), (cached, "personal_word")]
-    all_rows = [df.select(F.lit(name).alias("field"), "term", "n") for df, name in rows]
-    ids = [(table(spark, folder, "ud_sentences"), "id"), (overlay, "package_id"), (words, "session_id")]
-    totals = [df.agg(F.count_distinct(key).alias("total")).select(F.lit(name).alias("field"), "total") for (df, key), (_, name) in zip(ids, rows)]
+    cached = words.select("session_id", "word", "n").distinct().groupBy("session_id", "word").agg(F.sum("n").alias("n"))
+    rows = [ud.select(F.lit("ud_form").alias("field"), "terms", none.alias("times"))]
+    rows += [df.select(F.lit(name).alias("field"), F.array(term).alias("terms"), F.array("n").alias("times")) for df, name, term in ((texts, "overlay_text", "text"), (cached, "personal_word", "word"))]
+    ids = [(table(spark, folder, "ud_sentences"), "id", "ud_form"), (overlay, "package_id", "overlay_text"), (words, "session_id", "personal_word")]
+    totals = [df.agg(F.count_distinct(key).alias("total")).select(F.lit(name).alias("field"), "total") for df, key, name in ids]
     union = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union(all_rows), union(totals)
+    return union(rows), union(totals)
 
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows, totals = _term_rows(spark, folder)
-    return terms.mark_terms(terms.term_counts(rows), totals).select("field", "term", "occurrences", "records", "mark")
+    records, totals = _term_records(spark, folder)
+    return terms.mark_terms(terms.record_counts(records), totals).select("field", "term", "occurrences", "records", "mark")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Occurrences and records of every distinct term, by a global integer dictionary and count arrays.
 
-Each task encodes its terms with a local dictionary and keeps two arrays, of occurrences and of records, by local
-identifier. A term's global identifier is its block, by hash, and its rank among the block's terms. The local arrays are
-shuffled by block, re-encoded to global identifiers and summed into one pair of arrays for the block's identifier range.
+Each task first reduces its records to one row for each of its own terms. The distinct terms of all tasks make the global
+dictionary: whole numbers from 0 on in the order of the terms. The tasks' terms are encoded by it, and from there on only
+identifiers move: they are shuffled by range, and each range adds them up in a pair of arrays, of occurrences and of records.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphweir.operators.sampling import numbered
+from glyphweir.session import cut, shuffle_width
+
 #: A local dictionary with this many terms is sent on and begun anew: the memory of a task is bounded.
 LOCAL_TERMS = 400_000
-#: Blocks for each shuffle partition; a block's arrays must fit into a task.
-BLOCKS_PER_PARTITION = 8
-RANK_BITS = 32
+#: Identifiers of one pair of arrays.
+RANGE = 1 << 16
 
 
 def count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (field, term, occurrences, records) of a task's own counts; one row of its input is one term of one record."""
+    """Rows (field, term, occurrences, records) of a task's own counts; a row of its input is one record of a field, with
+    its terms and how often each occurs (``times``; null: once for each time it stands in the list)."""
     local: dict[tuple[str, str], int] = {}
     occurrences, records = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
@@ -33,13 +36,29 @@ def count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays(columns, names=["field", "term", "occurrences", "records"])
 
     for batch in batches:
-        pairs = zip(batch.column("field").to_pylist(), batch.column("term").to_pylist())
-        ids = np.fromiter((local.setdefault(p, len(local)) for p in pairs), np.int64, batch.num_rows)
+        lists, times = batch.column("terms"), batch.column("times")
+        sizes = np.diff(lists.offsets.to_numpy())
+        fields, names = pd.factorize(batch.column("field").to_pandas())
+        codes, terms = pd.factorize(lists.flatten().to_pandas())
+        record = np.repeat(np.arange(len(sizes)), sizes)
+        weight = np.ones(len(codes), np.int64)
+        weighed = np.asarray(times.is_valid().to_numpy(zero_copy_only=False), bool)[record]
+        weight[weighed] = times.drop_null().flatten().to_numpy(zero_copy_only=False)
+        valid = codes >= 0
+        valid[valid] = np.asarray([t != "" for t in terms], bool)[codes[valid]]
+        codes, record, weight = codes[valid], record[valid], weight[valid]
+        keys, inverse = np.unique(fields[record].astype(np.int64) * max(len(terms), 1) + codes, return_inverse=True)
+        if not len(keys):
+            continue
+        own_n, own_r = np.zeros(len(keys), np.int64), np.bincount(np.unique(record * len(keys) + inverse) % len(keys), minlength=len(keys))
+        np.add.at(own_n, inverse, weight)
+        pairs = ((names[k // len(terms)], terms[k % len(terms)]) for k in keys.tolist())
+        ids = np.fromiter((local.setdefault(p, len(local)) for p in pairs), np.int64, len(keys))
         if len(local) > len(occurrences):
             more = 2 * len(local)
             occurrences, records = (np.concatenate([x, np.zeros(more - len(x), np.int64)]) for x in (occurrences, records))
-        np.add.at(occurrences, ids, batch.column("n").to_numpy(zero_copy_only=False))
-        np.add.at(records, ids, 1)
+        occurrences[ids] += own_n
+        records[ids] += own_r
         if len(local) >= LOCAL_TERMS:
             yield flush()
             local.clear()
@@ -48,39 +67,54 @@ def count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def sum_block(table: pa.Table) -> pa.Table:
-    """One block: its dictionary in term order, and the arrays of all tasks summed by identifier."""
-    keys = pd.MultiIndex.from_arrays([table.column("field").to_pandas(), table.column("term").to_pandas()])
-    ranks, terms = pd.factorize(keys, sort=True)
-    totals = []
-    for name in ("occurrences", "records"):
-        array = np.zeros(len(terms), np.int64)
-        np.add.at(array, ranks, table.column(name).to_numpy())
-        totals.append(pa.array(array))
-    block = table.column("block")[0].as_py()
-    ids = pa.array((block << RANK_BITS) + np.arange(len(terms), dtype=np.int64))
-    fields, words = (pa.array(terms.get_level_values(i).to_list(), pa.string()) for i in (0, 1))
-    return pa.Table.from_arrays([ids, fields, words, *totals], names=["term_id", "field", "term", "occurrences", "records"])
+def sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term_id, occurrences, records) of encoded rows in the order of their ranges: one pair of arrays at a time."""
+    at, arrays, seen = None, None, None
 
+    def flush() -> pa.RecordBatch:
+        own = np.flatnonzero(seen)
+        return pa.RecordBatch.from_arrays([pa.array(own + at * RANGE), *(pa.array(x[own]) for x in arrays)], names=["term_id", "occurrences", "records"])
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(term_id, field, term, occurrences, records) of rows (field, term, n), each the n occurrences of a term in one record.
+    for batch in batches:
+        blocks, places = np.divmod(batch.column("term_id").to_numpy(), RANGE)
+        for block in np.unique(blocks).tolist():
+            if block != at:
+                if at is not None:
+                    yield flush()
+                at, arrays, seen = block, tuple(np.zeros(RANGE, np.int64) for _ in range(2)), np.zeros(RANGE, bool)
+            own = blocks == block
+            seen[places[own]] = True
+            for array, name in zip(arrays, ("occurrences", "records")):
+                np.add.at(array, places[own], batch.column(name).to_numpy()[own])
+    if at is not None:
+        yield flush()
 
-    Null and empty terms are left out. One shuffle, of at most one row for each term and task (and each LOCAL_TERMS
-    terms), so that a term in a third of all records is no hot key; blocks are cut by hash and grow in number with the
-    shuffle partitions. An empty input has no rows.
-    """
-    spark = rows.sparkSession
-    blocks = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.where(F.col("term") != "").select("field", "term", F.col("n").cast("bigint").alias("n"))
-    local = own.mapInArrow(count_locally, "field string, term string, occurrences bigint, records bigint")
-    local = local.withColumn("block", F.pmod(F.xxhash64("field", "term"), F.lit(blocks)))
-    return local.groupBy("block").applyInArrow(sum_block, "term_id bigint, field string, term string, occurrences bigint, records bigint")
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """(term_id, field, term, occurrences, records) of records (field, terms, times), each a list of terms, with how often
+    each occurs or null. A record may be spread over rows that share no term.
+
+    Null and empty terms are left out; an empty input has no rows. A term in a third of all records is one row of each task
+    before anything is shuffled, and one place of an array after: no hot key. Arrays have RANGE places whatever the number of
+    terms, and are summed as their rows stream in."""
+    width = shuffle_width(records.sparkSession)
+    local = cut(records.select("field", "terms", "times").mapInArrow(count_locally, "field string, term string, occurrences bigint, records bigint"))
+    dictionary = numbered(local.select("field", "term").distinct(), "field", "term", name="term_id")
+    encoded = local.join(dictionary, ["field", "term"]).select("term_id", "occurrences", "records")
+    ranges = encoded.repartition(width, F.floor(F.col("term_id") / RANGE)).sortWithinPartitions(F.floor(F.col("term_id") / RANGE))
+    sums = ranges.mapInArrow(sum_ranges, "term_id bigint, occurrences bigint, records bigint")
+    return sums.join(dictionary, "term_id").select("term_id", "field", "term", "occurrences", "records")
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """The same of rows (field, term, n), each the n occurrences of a term in one record."""
+    return record_counts(rows.select("field", F.array("term").alias("terms"), F.array(F.col("n").cast("bigint")).alias("times")))
 
 
 def mark_terms(counts: DataFrame, totals: DataFrame, rare_below: int = 3, common_from: int = 10, common_share: int = 10) -> DataFrame:
     """Adds ``mark``: too_rare below ``rare_below`` occurrences, too_common in at least ``common_from`` records that are
-    more than one in ``common_share`` of the field's ``total`` records, else null. ``totals`` has one row per field."""
+    more than one in ``common_share`` of the field's ``total`` records, else null. ``totals`` has one row per field, as
+    many as the query names."""
     mark = F.when(F.col("occurrences") < rare_below, F.lit("too_rare")).when(
         (F.col("records") >= common_from) & (F.col("records") * common_share > F.col("total")), F.lit("too_common")
     )
