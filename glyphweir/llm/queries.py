@@ -87,9 +87,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
-    ud = table(spark, folder, "ud_sentences").select("id", "tokens").where("id is not null").dropDuplicates(["id"])
     spoken = F.filter("tokens", lambda t: t["upos"].isNull() | (t["upos"] != "PUNCT"))
-    return ud.select(F.transform(spoken, lambda t: t["form"]).alias("items"))
+    return table(spark, folder, "ud_sentences").where("id is not null").select("id", F.transform(spoken, lambda t: t["form"]).alias("items")).distinct()
 
 
 def _transitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,14 +97,16 @@ def _transitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    sentences = stripes.basket_pairs(_baskets(spark, folder), min_together=4, min_lift=8)
-    personal = stripes.weighted_pairs(_transitions(spark, folder), min_records=3, min_lift=8)
+    """The pairs asked for. All are significant: with k expected E times, the ratio is 2 (k ln(k / E) - k + E) at least, which
+    for k >= 3 and k >= 8 E is more than 7.2, so the bound of SIGNIFICANT leaves none out."""
+    sentences = stripes.basket_pairs(_baskets(spark, folder), 4, 8, stripes.SIGNIFICANT)
+    personal = stripes.weighted_pairs(_transitions(spark, folder), 3, 8, stripes.SIGNIFICANT)
     return sentences.select(F.lit("sentence").alias("kind"), "low_item", "high_item").unionByName(personal.select(F.lit("personal_pair").alias("kind"), "low_item", "high_item"))
 
 
 def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of either kind with its counts, lift and likelihood ratio."""
-    own = ["low_item", "high_item", "together", "records", "a", "b", F.round("lift", 6).alias("lift"), F.round("likelihood_ratio", 4).alias("likelihood_ratio")]
+    """Every pair of either kind with its counts, lift, likelihood ratio and whether that is significant."""
+    own = ["low_item", "high_item", "together", "records", "a", "b", F.round("lift", 4).alias("lift"), F.round("likelihood_ratio", 2).alias("likelihood_ratio"), (F.col("likelihood_ratio") >= stripes.SIGNIFICANT).alias("significant")]
     sentences = stripes.basket_pairs(_baskets(spark, folder)).select(F.lit("sentence").alias("kind"), *own)
     return sentences.unionByName(stripes.weighted_pairs(_transitions(spark, folder)).select(F.lit("personal_pair").alias("kind"), *own))
 

@@ -52,6 +52,7 @@ SELECT kind, count(*) AS n_texts, count(DISTINCT form) AS n_forms, count(*) FILT
 SQL = {
     "p2_found": _P2,
     "p2_forms": _KINDS,
+    "p6_pairs": _PAIRS + f", m AS (SELECT *, CAST(together AS DOUBLE) AS k, CAST(a AS DOUBLE) AS x, CAST(b AS DOUBLE) AS y, CAST(total AS DOUBLE) AS n FROM j) SELECT kind, low_item, high_item, CAST(together AS BIGINT) AS together, records, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(k * n / (x * y), 4) AS lift, round({_RATIO}, 2) AS likelihood_ratio, {_RATIO} >= 6.63 AS significant FROM m",
     "p5_counts": _COUNTS + "SELECT field, term, occurrences, records, mark FROM m",
     "p5_found": _COUNTS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_found": _PAIRS + "SELECT kind, low_item, high_item FROM j WHERE records >= CASE kind WHEN 'sentence' THEN 4 ELSE 3 END AND together * total >= 8 * a * b",
