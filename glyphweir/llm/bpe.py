@@ -23,6 +23,8 @@ VOCABULARY = "byte_bpe_50k.json"
 VOCABULARY_BYTES = 64_000_000
 #: Pieces up to this many bytes are remembered, and so many of them, in each worker.
 PIECE_BYTES, PIECES = 64, 300_000
+#: Pairs of tokens of which a worker remembers whether they may stand side by side.
+PAIRS = 2_000_000
 _NEVER = 1 << 60
 
 
@@ -95,6 +97,8 @@ class Encoder:
                 for a, until_a in self.spine(left, 1)
                 for b, until_b in self.spine(right, 0)
             )
+            if len(self.beside) >= PAIRS:
+                self.beside.clear()
             self.beside[pair] = known
         return known
 
