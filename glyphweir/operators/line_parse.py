@@ -201,8 +201,9 @@ def parse_deliveries(lines: DataFrame, syllables: DataFrame, line: str = "line")
     """
     allowed = small_values(syllables, "syllable", SYLLABLE_BOUND)
     own = F.regexp_replace(F.col(line), r"\r\z", "")
-    parse = F.pandas_udf(_parse_all, PARSED)
-    kept = [c for c in lines.columns if c not in {"reason", "operations", "text", "pinyin", "frequency", "__own", "__parts", "__parsed", "__fields"}]
+    # Marked so that a filter on the reason stays above the parse: pushed below it, the programme would run twice.
+    parse = F.pandas_udf(_parse_all, PARSED).asNondeterministic()
+    kept = [c for c in lines.columns if c not in {"reason", "operations", "text", "pinyin", "frequency", "__own", "__parts", "__parsed", "__fields", "__field0", "__field1", "__field2"}]
     data = (
         lines.select(*(F.col(f"`{c}`") for c in kept), own.alias("__own"))
         .where((F.rtrim("__own") != "") & ~F.startswith("__own", F.lit("#")))
@@ -212,8 +213,9 @@ def parse_deliveries(lines: DataFrame, syllables: DataFrame, line: str = "line")
         .withColumn("__parts", F.when(F.size("__parts") == FIELDS, F.col("__parts")))
         .withColumn("__parsed", parse(F.when(F.col("__parts").isNull(), F.col("__own"))))
         .withColumn("__fields", F.coalesce("__parts", "__parsed.fields"))
+        .withColumns({f"__field{k}": F.col("__fields")[k] for k in range(FIELDS)})
     )
-    text, pinyin, frequency = (F.col("__fields")[k] for k in range(FIELDS))
+    text, pinyin, frequency = (F.col(f"__field{k}") for k in range(FIELDS))
     reason = (
         F.when(F.col("__parsed.quote_edits") > 0, F.lit("broken_quote"))
         .when(F.col("__parsed.tab_edits") > 0, F.lit("column_count"))
@@ -225,6 +227,6 @@ def parse_deliveries(lines: DataFrame, syllables: DataFrame, line: str = "line")
         .withColumn("operations", F.coalesce("__parsed.operations", F.array().cast("array<string>")))
         .withColumn("text", F.when(valid, text))
         .withColumn("pinyin", F.when(valid, plain_pinyin(pinyin)))
-        .withColumn("frequency", F.when(valid, F.expr("try_cast(__fields[2] as bigint)")))
-        .drop("__own", "__parts", "__parsed", "__fields")
+        .withColumn("frequency", F.when(valid, F.expr("try_cast(__field2 as bigint)")))
+        .drop("__own", "__parts", "__parsed", "__fields", *(f"__field{k}" for k in range(FIELDS)))
     )
