@@ -1,10 +1,13 @@
 """Records of one split that also stand, exactly or almost, in another, by content-defined chunks.
 
-A stored record may differ from a query record by k edits at most (a share of the longer one's length). It is cut into
-k + 1 chunks: near each of the k even cuts a rolling hash picks the place, so the cut follows the content. k edits can't
-touch all k + 1 chunks, so every such pair shares a chunk, at places that k edits can explain. Query records are read
-through the same rolling hash at every place, so no cut of theirs can hide a shared chunk. The digests are joined across
-splits, shared lengths summed for each pair of records, and the pairs' strings compared at last.
+Both sides' strings are cut where a rolling hash has a local minimum, for windows of several sizes, so that the cuts follow
+the content whatever stands before it. Chunks' digests are joined across splits, and the lengths of the chunks that two
+records share, as a fraction of a record, are its overlap; the pairs' strings are compared at last.
+
+Edits spread evenly may touch every such chunk of a short record. An exact way finds what is left, in the same join: a stored
+record that may differ by k edits at most is cut into k + 1 more chunks, near the even cuts where the rolling hash says, and
+query records are read through the same rolling hash at every place. k edits can't touch all k + 1 chunks, so every pair
+within the bound shares one, at places that k edits can explain.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from glyphweir.session import shuffle_width
 
 #: Greatest distance of two strings as a share of the longer one.
 SHARE = Fraction(15, 100)
-#: A cut may leave its even place by so many characters.
+#: Sizes of the rolling hash's windows, each also the least distance of two cuts on either side, and the least size of a
+#: content-defined chunk of a longer record.
+WINDOWS, LEAST_CHUNK = (2, 3, 5), 4
+#: A cut of the exact way may leave its even place by so many characters.
 SLACK = 1
 _BASE = 0x9E3779B97F4A7C15 | 1  # an odd base has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -78,18 +84,62 @@ def even_cuts(length: int, parts: int) -> list[int]:
     return [length * i // parts for i in range(parts + 1)]
 
 
-def chunk_lengths(length: int) -> range:
-    """The lengths that chunks of a stored string of this length can have."""
-    parts = min(most_edits(length) + 1, length)
+def chunk_lengths(length: int, share: Fraction = SHARE) -> range:
+    """The lengths that chunks of the exact way of a stored string of this length can have."""
+    parts = min(most_edits(length, share) + 1, length)
     slack = SLACK if length // parts > 2 * SLACK + 1 else 0
     return range(max(1, length // parts - 2 * slack), -(-length // parts) + 2 * slack + 1)
 
 
-def stored_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, stored, place, size, length, parity) of the chunks of non-empty strings (key, string)."""
+def content_chunks(rolling: Rolling, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, size) of the chunks of all strings: a cut is before each place where the hash of the next ``window``
+    characters is less than at ``window`` places on either side."""
+    starts, n = rolling.starts, int(rolling.starts[-1])
+    lengths = np.diff(starts)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.arange(n) - starts[owner]
+    whole = inside + window <= lengths[owner]
+    hashes = np.full(n, np.iinfo(np.int64).max)
+    at = np.flatnonzero(whole)
+    hashes[at] = rolling.digests(at, np.full(len(at), window))
+    cut = whole & (inside > 0)
+    for step in range(1, window + 1):
+        before, after = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
+        before[step:], after[:-step] = hashes[:-step], hashes[step:]
+        cut &= (np.where(inside >= step, before, np.iinfo(np.int64).max) > hashes) & (np.where(inside + step < lengths[owner], after, np.iinfo(np.int64).max) > hashes)
+    begins = np.flatnonzero(cut | (inside == 0))
+    rows = owner[begins]
+    sizes = np.diff(np.r_[begins, n])
+    kept = (sizes >= LEAST_CHUNK) | (sizes == lengths[rows])
+    return rows[kept], inside[begins[kept]], sizes[kept]
+
+
+def _salted(digests: np.ndarray, scale: int) -> np.ndarray:
+    """Digests of one scale, which meet none of another."""
+    with np.errstate(over="ignore"):
+        return (digests.view(np.uint64) * np.uint64(2 * scale + 1) + np.uint64(scale)).view(np.int64)
+
+
+def _by_content(batch: pa.RecordBatch, rolling: Rolling, side: str) -> Iterator[pa.RecordBatch]:
+    """The content-defined chunks of a batch, with their window as scale."""
+    keys, parities, lengths = batch.column("key").to_numpy(), rolling.parities(), np.diff(rolling.starts)
+    for scale in WINDOWS:
+        rows, at, size = content_chunks(rolling, scale)
+        digests = _salted(rolling.digests(rolling.starts[rows] + at, size), scale)
+        yield from _sliced([pa.array(c) for c in (digests, keys[rows], at.astype(np.int32), size.astype(np.int32), lengths[rows].astype(np.int32), parities[rows], np.full(len(rows), scale, np.int32))], CHUNK[side])
+
+
+CHUNK = {side: ["digest", side, *(p + c for c in ("place", "size", "length", "parity", "scale"))] for side, p in (("stored", ""), ("query", "query_"))}
+CHUNK_TYPES = ("bigint", "bigint", "int", "int", "int", "bigint", "int")
+
+
+def stored_chunks(batches: Iterator[pa.RecordBatch], share: Fraction = SHARE) -> Iterator[pa.RecordBatch]:
+    """(digest, stored, place, size, length, parity, scale) of the chunks of non-empty strings (key, string); scale 0: those
+    of the exact way."""
     for batch in batches:
         strings = batch.column("string").to_pylist()
         rolling = Rolling(strings)
+        yield from _by_content(batch, rolling, "stored")
         n = rolling.starts[-1]
         # The rolling hash at a place: of the two characters around it.
         window = np.zeros(n + 1, np.int64)
@@ -98,7 +148,7 @@ def stored_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         places, sizes, owner = [], [], []
         for row, (begin, string) in enumerate(zip(rolling.starts.tolist(), strings)):
             length = len(string)
-            parts = min(most_edits(length) + 1, length)
+            parts = min(most_edits(length, share) + 1, length)
             cuts = even_cuts(length, parts)
             if SLACK and length // parts > 2 * SLACK + 1:
                 for i in range(1, parts):
@@ -109,29 +159,29 @@ def stored_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             owner += [row] * parts
         at, size, rows = np.asarray(places, np.int64), np.asarray(sizes, np.int64), np.asarray(owner, np.int64)
         length = np.diff(rolling.starts)[rows]
-        columns = [rolling.digests(rolling.starts[rows] + at, size), batch.column("key").to_numpy()[rows], at.astype(np.int32), size.astype(np.int32), length.astype(np.int32), rolling.parities()[rows]]
-        yield from _sliced([pa.array(c) for c in columns], ["digest", "stored", "place", "size", "length", "parity"])
+        columns = [rolling.digests(rolling.starts[rows] + at, size), batch.column("key").to_numpy()[rows], at.astype(np.int32), size.astype(np.int32), length.astype(np.int32), rolling.parities()[rows], np.zeros(len(rows), np.int32)]
+        yield from _sliced([pa.array(c) for c in columns], CHUNK["stored"])
 
 
-def query_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, query, query_place, query_length, query_parity) of all substrings of non-empty strings (key, string) that may be
-    a stored chunk."""
+def query_chunks(batches: Iterator[pa.RecordBatch], share: Fraction = SHARE) -> Iterator[pa.RecordBatch]:
+    """The same of the query's strings; of the exact way all substrings that may be a stored chunk."""
     for batch in batches:
         strings = batch.column("string").to_pylist()
         rolling = Rolling(strings)
+        yield from _by_content(batch, rolling, "query")
         lengths = np.diff(rolling.starts)
         keys, parities = batch.column("key").to_numpy(), rolling.parities()
         for length in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == length)
-            low, high = int(-(-length * (1 - SHARE) // 1)), int(length / (1 - SHARE))
-            for size in sorted({s for stored in range(max(low, 1), high + 1) for s in chunk_lengths(stored) if s <= length}):
+            low, high = int(-(-length * (1 - share) // 1)), int(length / (1 - share))
+            for size in sorted({s for stored in range(max(low, 1), high + 1) for s in chunk_lengths(stored, share) if s <= length}):
                 places = np.arange(length - size + 1)
                 step = max(1, 1_000_000 // len(places))
                 for k in range(0, len(rows), step):
                     some = rows[k : k + step]
                     at = (rolling.starts[some][:, None] + places[None, :]).ravel()
-                    columns = [rolling.digests(at, np.full(len(at), size)), np.repeat(keys[some], len(places)), np.tile(places, len(some)).astype(np.int32), np.full(len(at), length, np.int32), np.repeat(parities[some], len(places))]
-                    yield from _sliced([pa.array(c) for c in columns], ["digest", "query", "query_place", "query_length", "query_parity"])
+                    columns = [rolling.digests(at, np.full(len(at), size)), np.repeat(keys[some], len(places)), np.tile(places, len(some)).astype(np.int32), np.full(len(at), size, np.int32), np.full(len(at), length, np.int32), np.repeat(parities[some], len(places)), np.zeros(len(at), np.int32)]
+                    yield from _sliced([pa.array(c) for c in columns], CHUNK["query"])
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -145,43 +195,44 @@ def distinct_strings(records: DataFrame) -> DataFrame:
     return records.select("string").where(F.col("string") != "").distinct().withColumn("key", F.xxhash64("string"))
 
 
-def shared_chunks(stored: DataFrame, query: DataFrame) -> DataFrame:
-    """(stored, query, shared, length): length of the chunks that two strings share at places which few edits explain.
+def shared_chunks(stored: DataFrame, query: DataFrame, share: Fraction = SHARE) -> DataFrame:
+    """(stored, query, fraction, by_content): the greatest share of the stored string, over the windows, that stands in chunks
+    which both strings have, and whether content-defined chunks are among them or only the exact way finds the pair.
 
-    An edit changes at most two of the 64 parities of a string, so pairs with more unlike parities than twice the most
-    edits are left out as they are joined; that and the places lose no near pair."""
+    Chunks count at places which few edits explain. An edit changes at most two of the 64 parities of a string, so pairs with
+    more unlike parities than twice the most edits are left out as they are joined; that and the places lose no near pair. A
+    digest that many strings have is split by adaptive execution's handling of skewed joins; the filters apply as it streams."""
     width = shuffle_width(stored.sparkSession)
-    s = stored.repartition(width).mapInArrow(stored_chunks, "digest bigint, stored bigint, place int, size int, length int, parity bigint")
-    q = query.repartition(width).mapInArrow(query_chunks, "digest bigint, query bigint, query_place int, query_length int, query_parity bigint")
+    schema = lambda side: ", ".join(f"{n} {t}" for n, t in zip(CHUNK[side], CHUNK_TYPES))
+    s = stored.repartition(width).mapInArrow(lambda batches: stored_chunks(batches, share), schema("stored"))
+    q = query.repartition(width).mapInArrow(lambda batches: query_chunks(batches, share), schema("query")).drop("query_size", "query_scale")
     shift, change = F.col("query_place") - F.col("place"), F.col("query_length") - F.col("length")
     edits = F.abs(shift) + F.abs(change - shift)
-    most = F.floor(F.greatest("length", "query_length") * SHARE.numerator / SHARE.denominator)
+    most = F.floor(F.greatest("length", "query_length") * share.numerator / share.denominator)
     near = (edits <= most) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("query_parity"))) <= 2 * most)
-    pairs = s.join(q, "digest").where(near).select("stored", "query", "place", "size", "length").distinct()
-    return pairs.groupBy("stored", "query").agg(F.sum("size").alias("shared"), F.first("length").alias("length"))
+    # Of one scale each place of the stored string counts once, however often the query string has its chunk.
+    met = s.join(q, "digest").where(near).groupBy("stored", "query", "scale", "place").agg(F.max("size").alias("size"), F.max("length").alias("length"))
+    shared = met.groupBy("stored", "query", "scale").agg(F.sum("size").alias("shared"), F.max("length").alias("length"))
+    return shared.groupBy("stored", "query").agg(F.max(F.col("shared") / F.col("length")).alias("fraction"), (F.max("scale") > 0).alias("by_content"))
 
 
 def near_strings(stored: DataFrame, query: DataFrame, share: Fraction = SHARE) -> DataFrame:
-    """(string_a, string_b, distance, fraction) of all pairs of distinct strings at most ``share`` apart.
+    """(string_a, string_b, distance, fraction, by_content) of all pairs of distinct strings at most ``share`` apart.
 
     ``fraction`` is the share of string_a, the stored one, that stands in chunks which string_b has too."""
     a, b = distinct_strings(stored), distinct_strings(query)
-    pairs = shared_chunks(a, b)
+    pairs = shared_chunks(a, b, share)
     named = pairs.join(a.withColumnsRenamed({"key": "stored", "string": "string_a"}), "stored").join(b.withColumnsRenamed({"key": "query", "string": "string_b"}), "query")
     most = F.floor(F.greatest(F.length("string_a"), F.length("string_b")) * share.numerator / share.denominator).cast("int")
-    distance = F.expr("levenshtein(string_a, string_b)")
-    return (
-        named.withColumn("distance", distance)
-        .where(F.col("distance") <= most)
-        .select("string_a", "string_b", "distance", (F.col("shared") / F.col("length")).alias("fraction"))
-    )
+    # With its bound the distance is worked out in a band around the diagonal only; beyond it, it is -1.
+    return named.withColumn("most", most).withColumn("distance", F.expr("levenshtein(string_a, string_b, most)")).where("distance >= 0").select("string_a", "string_b", "distance", "fraction", "by_content")
 
 
 def cross_split(records: DataFrame, against: str = "train") -> DataFrame:
     """Pairs of a record of split ``against`` and one of another split whose strings are at most SHARE apart.
 
     ``records`` has id, split, source and string; repeated rows count once; records without a string, id or split have no
-    pairs. Columns: train_id, train_source, other_id, other_split, other_source, distance, fraction. Copies of a string
+    pairs. Columns: train_id, train_source, other_id, other_split, other_source, distance, fraction, by_content. Copies of a string
     are compared once and only the pairs in the result are spelt out.
     """
     own = records.select("id", "split", "source", "string").where("id is not null and split is not null and string <> ''").distinct()

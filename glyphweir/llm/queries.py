@@ -46,10 +46,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Per split and source: sentences, those found in train, pairs, exact ones, and the mean shared fraction."""
+    """Per split and source: sentences, those found in train, pairs, exact ones, pairs that content-defined chunks find without
+    the exact way, and the mean shared fraction."""
     records = _sentences(spark, folder)
     pairs = overlap.cross_split(records)
-    best = pairs.groupBy("other_id").agg(F.count("*").alias("pairs"), F.min("distance").alias("distance"), F.max("fraction").alias("fraction"))
+    best = pairs.groupBy("other_id").agg(F.count("*").alias("pairs"), F.min("distance").alias("distance"), F.max("fraction").alias("fraction"), F.count_if("by_content").alias("by_content"))
     held = records.where("split <> 'train' and id is not null").select("id", "split", "source").distinct()
     joined = held.join(best.withColumnRenamed("other_id", "id"), "id", "left")
     return joined.groupBy("split", F.coalesce("source", F.lit("(none)")).alias("source")).agg(
@@ -57,6 +58,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
         F.count("pairs").alias("n_overlapping"),
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"),
         F.sum((F.coalesce("distance", F.lit(1)) == 0).cast("bigint")).alias("n_exact"),
+        F.coalesce(F.sum("by_content"), F.lit(0)).alias("n_by_content"),
         F.round(F.avg("fraction"), 3).alias("mean_fraction"),
     )
 

@@ -49,7 +49,19 @@ UNION ALL SELECT DISTINCT 'delta_text', least(i.event_id, d.event_id), greatest(
 _KINDS = _FORMS + """k AS (SELECT DISTINCT kind, text FROM (SELECT 'overlay_text' AS kind, text FROM o UNION ALL SELECT 'delta_inserted', ins FROM e UNION ALL SELECT 'delta_deleted', del FROM e) WHERE text <> '')
 SELECT kind, count(*) AS n_texts, count(DISTINCT form) AS n_forms, count(*) FILTER (form <> text) AS n_changed FROM k JOIN f USING (text) GROUP BY 1"""
 
+#: Sentences' strings, compared pair by pair. DuckDB's levenshtein counts bytes, so the characters of a pair are written as
+#: one byte each first, of which there are enough for the sentences of the tables.
+_NEAR = f"""
+WITH u AS (SELECT DISTINCT id, split, tokens FROM ud_sentences WHERE id IS NOT NULL AND split IS NOT NULL),
+s AS (SELECT DISTINCT id, split = 'train' AS known, lower(regexp_replace(translate(array_to_string([coalesce(t.form, '') for t in tokens if t.upos IS NULL OR t.upos <> 'PUNCT'], ''), '{"".join(chr(c) for c in range(0xFF01, 0xFF5F))}', '{"".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")}'), '[\\p{{Cf}}\\x{{200B}}-\\x{{200F}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')) AS t FROM u),
+d AS (SELECT DISTINCT known, t, length(t) AS n FROM s WHERE t <> ''),
+p AS (SELECT a.t AS x, b.t AS y, greatest(a.n, b.n) AS n, array_to_string(list_distinct(string_split(a.t || b.t, '')), '') AS c FROM d a JOIN d b ON a.known AND NOT b.known AND 20 * abs(a.n - b.n) <= 3 * greatest(a.n, b.n)),
+k AS (SELECT x, y FROM p WHERE 20 * levenshtein(translate(x, c, left(z, length(c))), translate(y, c, left(z, length(c)))) <= 3 * n),
+"""
+_NEAR = _NEAR.replace("left(z, length(c))", "left('" + "".join(map(chr, range(1, 128))).replace("'", "''") + "', length(c))").rstrip().rstrip(",")
+
 SQL = {
+    "p4_found": _NEAR + " SELECT DISTINCT least(a.id, b.id) AS low_id, greatest(a.id, b.id) AS high_id FROM k JOIN s a ON a.known AND a.t = x JOIN s b ON NOT b.known AND b.t = y",
     "p2_found": _P2,
     "p2_forms": _KINDS,
     "p6_pairs": _PAIRS + f", m AS (SELECT *, CAST(together AS DOUBLE) AS k, CAST(a AS DOUBLE) AS x, CAST(b AS DOUBLE) AS y, CAST(total AS DOUBLE) AS n FROM j) SELECT kind, low_item, high_item, CAST(together AS BIGINT) AS together, records, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(k * n / (x * y), 4) AS lift, round({_RATIO}, 2) AS likelihood_ratio, {_RATIO} >= 6.63 AS significant FROM m",

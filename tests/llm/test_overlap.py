@@ -65,3 +65,32 @@ def test_long_strings(spark):
     base = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(1_500))
     rows = [("a", "train", "s", base), ("b", "dev", "s", changed(rnd, base, 100, "xyz")), ("c", "dev", "s", base[::-1])]
     assert [(r.train_id, r.other_id) for r in O.cross_split(spark.createDataFrame(rows, "id string, split string, source string, string string")).collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("share", [O.Fraction(1, 20), O.Fraction(40, 100)])
+def test_other_shares(spark, share):
+    rnd = random.Random(11)
+    train = ["".join(rnd.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(rnd.choice([4, 8, 12, 20, 41]))) for _ in range(40)]
+    other = [changed(rnd, rnd.choice(train), rnd.randint(0, 9), "甲乙丙丁戊") for _ in range(80)]
+    got = {(r.string_a, r.string_b) for r in O.near_strings(spark.createDataFrame([(t,) for t in train], "string string"), spark.createDataFrame([(t,) for t in other], "string string"), share).collect()}
+    assert got == {(a, b) for a in set(train) for b in set(other) if a and b and distance(a, b) <= share * max(len(a), len(b))}
+
+
+def test_content_defined_cuts_do_not_depend_on_what_stands_before():
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("修改检查的权重词库abc") for _ in range(300))
+    for window in O.WINDOWS:
+        chunks = [{(s[p : p + n]) for _, p, n in zip(*O.content_chunks(O.Rolling([s]), window))} for s in (text, "新的开头" + text, text + "尾")]
+        assert len(chunks[0]) > 10 and all(len(chunks[0] & c) >= len(chunks[0]) - 2 for c in chunks[1:])
+    rows, places, sizes = O.content_chunks(O.Rolling(["", "a", text, "bc"]), 2)
+    assert {(1, 0, 1), (3, 0, 2)} <= set(zip(rows.tolist(), places.tolist(), sizes.tolist()))
+
+
+def test_recall_of_content_defined_chunks_alone(spark):
+    """On records with one change in eleven characters or fewer, the chunks alone find nine pairs of ten."""
+    rnd = random.Random(12)
+    alphabet = [chr(0x4E00 + i) for i in range(1500)]
+    train = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(16, 44))) for _ in range(150)]
+    other = [changed(rnd, t, rnd.randint(0, len(t) // 11), alphabet) for t in train]
+    rows = O.near_strings(spark.createDataFrame([(t,) for t in train], "string string"), spark.createDataFrame([(t,) for t in other], "string string")).collect()
+    assert len(rows) >= 150 and sum(r.by_content for r in rows) >= 0.9 * len(rows)
