@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphweir.session import shuffle_width
+from glyphweir.session import cut, shuffle_width
 
 #: Greatest distance of two strings as a share of the longer one.
 SHARE = Fraction(15, 100)
@@ -233,9 +233,9 @@ def cross_split(records: DataFrame, against: str = "train") -> DataFrame:
 
     ``records`` has id, split, source and string; repeated rows count once; records without a string, id or split have no
     pairs. Columns: train_id, train_source, other_id, other_split, other_source, distance, fraction, by_content. Copies of a string
-    are compared once and only the pairs in the result are spelt out.
+    are compared once and only the pairs in the result are spelt out. The strings are cut, as four passes read them.
     """
-    own = records.select("id", "split", "source", "string").where("id is not null and split is not null and string <> ''").distinct()
+    own = cut(records.select("id", "split", "source", "string").where("id is not null and split is not null and string <> ''").distinct())
     stored, query = own.where(F.col("split") == against), own.where(F.col("split") != against)
     near = near_strings(stored, query)
     train = stored.select(F.col("id").alias("train_id"), F.col("source").alias("train_source"), F.col("string").alias("string_a"))
