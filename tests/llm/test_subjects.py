@@ -58,7 +58,7 @@ def test_without_labels(spark):
 
 
 def test_units_and_terms():
-    assert S.units("甲：你好吗？因为在忙。Well done. v1.2 fine\nＡＢＣ词  (43/128, 7.29 ms)") == ["甲:你好吗?因为在忙", "well done", " v1.2 fine", "abc词"]
+    assert S.units("甲：你好吗？因为在忙。Well done. v1.2 fine\nＡＢＣ词  (43/128, 7.29 ms)") == ["甲:你好吗", "因为在忙", "well done", " v1.2 fine", "abc词  (43/128, 7.29 ms)"]
     joined = {t[0] for t in S.terms("da ti qin")}
     assert "datiqin" in joined and "datiqin" in {t[0] for t in S.terms("datiqin")}
     assert S.apart([("ab", 0, 0, 2), ("abc", 0, 0, 3), ("c", 0, 2, 3)], {"ab": 0.5, "abc": 0.9, "c": 0.1}) == ["abc"]
@@ -68,3 +68,24 @@ def test_units_and_terms():
 def test_redundant_rules_are_pruned():
     rules = {("a",): {"x": 3.0}, ("a", "b"): {"x": 3.1}, ("b",): {"x": 1.0}, ("b", "c"): {"x": 2.0, "y": 1.0}}
     assert S._pruned(rules) == {("a",): {"x": 3.0}, ("b",): {"x": 1.0}, ("b", "c"): {"x": 2.0, "y": 1.0}}
+
+
+def test_frequent_sets_against_brute_force(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("xy"), sorted(rnd.sample("abcdefgh", rnd.randint(0, 6)))) for _ in range(120)]
+    want = Counter((c, s) for s, own in rows for n in range(1, S.RULE_TERMS + 1) for c in combinations(own, n))
+    often = Counter()
+    for (c, _), n in want.items():
+        often[c] += n
+    got = {(tuple(r.terms), r.subject): r.n for r in S.frequent_sets(spark.createDataFrame(rows, "subject string, terms array<string>"), 5).collect()}
+    assert got == {k: n for k, n in want.items() if often[k[0]] >= 5}
+
+
+def test_many_terms_of_a_sentence_all_count():
+    worth = {f"词{chr(0x4E00 + i)}": 0.5 for i in range(40)}
+    unit = "，".join(worth)
+    assert sorted(S.apart(S.terms(unit, worth), worth)) == sorted(worth)
+    assert {p for p in S.terms("显微镜da ti qin") if p[0] in worth or p[0] == "datiqin"} == set(S.terms("显微镜da ti qin", {**worth, "datiqin": 1.0}))
