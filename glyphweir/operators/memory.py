@@ -243,6 +243,81 @@ def painted(gaps: list[int], delay: int) -> tuple[int, int]:
     return shown, hidden
 
 
+class Coalescer:
+    """Paints a frame for each revision of a code: at once if its keys are pairs, else only once the next key is due."""
+
+    def __init__(self, delay: int):
+        self.delay, self.active = delay, None
+
+    def input(self, revision: int, n_keys: int, at: int) -> bool:
+        """A new revision; whether one that was ready but not painted is left out by it."""
+        lost = self.active is not None and self.active["ready"] and not self.active["painted"]
+        self.active = {"revision": revision, "odd": n_keys % 2 == 1, "at": at, "due": at + self.delay, "ready": False, "painted": False}
+        return lost
+
+    def frame(self, revision: int, at: int) -> str:
+        own = self.active
+        if own is None or own["revision"] != revision or at < own["at"]:
+            return "stale"
+        if own["painted"]:
+            return "painted"
+        own["ready"] = True
+        if own["odd"] and at < own["due"]:
+            return "deferred"
+        own["painted"] = True
+        return "paint"
+
+    def timer(self, at: int) -> bool:
+        """Whether a ready odd frame is painted now that its deadline has passed."""
+        own = self.active
+        if own is None or own["painted"] or not own["ready"] or not own["odd"] or at < own["due"]:
+            return False
+        own["painted"] = True
+        return True
+
+    def force(self) -> bool:
+        """Paints a ready frame whatever its deadline."""
+        own = self.active
+        if own is None or own["painted"] or not own["ready"]:
+            return False
+        own["painted"] = True
+        return True
+
+    def cancel(self) -> None:
+        self.active = None
+
+
+def coalesced(sizes: list[int], gap: int, takes: int, delay: int) -> tuple[int, int, int]:
+    """(at once, by timer, never): how the keys of codes of these sizes, ``gap`` apart, are painted if a frame takes so long;
+    a code's end forces what is left."""
+    at_once = by_timer = never = revision = 0
+    for size in sizes:
+        own, at = Coalescer(delay), 0
+        for n in range(1, size + 1):
+            revision += 1
+            never += own.input(revision, n, at)
+            at_once += own.frame(revision, at + takes) == "paint"
+            at += gap
+            if n < size:
+                by_timer += own.timer(at - 1)
+        by_timer += own.force()
+    return at_once, by_timer, never
+
+
+class KeyBuffer:
+    """The keys since the last change of a text; one more than ``most`` empties it, and then they are not complete."""
+
+    def __init__(self, most: int = 128):
+        self.most, self.keys, self.complete, self.resets = most, [], True, 0
+
+    def observe(self, key: str) -> bool:
+        reset = len(self.keys) == self.most
+        if reset:
+            self.keys, self.complete, self.resets = [], False, self.resets + 1
+        self.keys.append(key)
+        return reset
+
+
 def slots(actions: Iterator[tuple[str, str]]) -> tuple[str | None, str | None, str | None]:
     """(current, candidate, previous) after adopt, stage, promote and rollback; an action that isn't allowed changes nothing."""
     current = candidate = previous = None
