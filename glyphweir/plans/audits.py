@@ -387,8 +387,7 @@ _ALIAS = "(WITH RECURSIVE g AS (SELECT intended AS observed, '' AS code, 0 AS do
 
 
 def _packages(name: str, tag: str) -> str:
-    spaced = V.RAW.format(table=name).replace("lower(v.p)", r"lower(trim(regexp_replace(v.p, '\s+', ' ', 'g')))")  # as the codec reads blanks
-    return f"{V.renamed(spaced, tag)}, pk{tag} AS (SELECT package_id, count(*) FILTER (reason IS NULL) AS n_ok, count(reason) AS n_bad FROM ent{tag} JOIN (SELECT entry_id, min(package_id) AS package_id FROM {name} WHERE package_id IS NOT NULL GROUP BY 1) USING (entry_id) GROUP BY 1)"
+    return f"{V.renamed(V.RAW.format(table=name), tag)}, pk{tag} AS (SELECT package_id, count(*) FILTER (reason IS NULL) AS n_ok, count(reason) AS n_bad FROM ent{tag} JOIN (SELECT entry_id, min(package_id) AS package_id FROM {name} WHERE package_id IS NOT NULL GROUP BY 1) USING (entry_id) GROUP BY 1)"
 
 
 SQL = {

@@ -46,9 +46,9 @@ def spoken(spark: SparkSession, folder: str, splits: tuple[str, ...] = ()) -> Da
 
 
 #: SQL of the same; each part may be put after WITH and joined by commas.
-RAW = """
+RAW = r"""
 cur AS (SELECT entry_id, max(struct_pack(r := revision, t := text, p := pinyin, f := frequency)) AS v FROM {table} WHERE entry_id IS NOT NULL GROUP BY 1),
-raw AS (SELECT entry_id, v.t AS text, v.p AS pinyin, v.f AS frequency, string_split(replace(replace(lower(v.p), 'u:', 'v'), 'ü', 'v'), ' ') AS parts FROM cur),
+raw AS (SELECT entry_id, v.t AS text, v.p AS pinyin, v.f AS frequency, string_split(replace(replace(lower(trim(regexp_replace(v.p, '\s+', ' ', 'g'))), 'u:', 'v'), 'ü', 'v'), ' ') AS parts FROM cur),
 syl AS (SELECT entry_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM raw WHERE pinyin IS NOT NULL),
 coded AS (SELECT entry_id, array_to_string(list(y.code ORDER BY i), '') AS code, count(*) AS n, count(y.code) AS known FROM syl LEFT JOIN pinyin_syllables y ON s = y.syllable GROUP BY 1),
 ent AS (SELECT raw.entry_id, text, pinyin, frequency, n, known, code,
