@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphweir.functions import codec
 from glyphweir.functions.scoring import boost
-from glyphweir.operators import language, lattice, noisy
+from glyphweir.operators import language, lattice, noisy, snapshots
 from glyphweir.operators import events as E
 from glyphweir.operators import lexicon as L
 from glyphweir.operators import memory as M
@@ -19,6 +19,7 @@ from glyphweir.plans import views as V
 from glyphweir.plans.corpus_sql import _CBI, _CHARS, _LAYERS
 from glyphweir.plans.decoding import _ANCHORED, _CONSERVATIVE, _INTENDED, _KINDS, _SHORT, _margins
 from glyphweir.plans.sessions_sql import _EV, _POOL, _PREF, _RUNS, _SEL
+from glyphweir.session import cut
 from glyphweir.sources.tables import table
 
 # The keys and events of a recorder, the candidates of a page.
@@ -370,12 +371,47 @@ def paint_coalescer(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("delay").agg(*(F.sum(c).alias(c) for c in ("at_once", "by_timer", "never")))
 
 
+def _batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Selections of all sessions in batches of a segment, in the order of the segments."""
+    own = P._read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''")
+    rows = own.select(F.col("segment_seq").alias("created"), F.col("session_id").alias("process"), F.lit(0).alias("sequence"), F.struct("pos", "event_id").cast("struct<pos: int, event_id: bigint>").alias("at"), "code", F.col("inserted").alias("text"))
+    rows = rows.withColumn("number", F.concat(F.lpad(F.col("at.pos").cast("string"), 10, "0"), F.lit("-"), F.lpad(F.col("at.event_id").cast("string"), 19, "0"))).drop("at")
+    return cut(snapshots.name_batches(rows, "created", "process", "sequence"))
+
+
+def checkpoint_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Memory loaded and refreshed in five situations: by which way, from how many batches and selections, and whether the
+    state is that of a full replay."""
+    every = _batches(spark, folder)
+    middle = every.agg(F.max("created")).first()[0]
+    old = every.where(F.col("created") < F.lit(middle))
+    first, whole = snapshots.full(old), snapshots.full(every)
+    late = snapshots.full(every.where(F.col("created") >= F.lit(middle)))
+    found = {
+        "tail_after": (snapshots.load(every, [first]), every), "tail_before": (snapshots.load(every, [late]), every), "foreign_names": (snapshots.load(old, [whole]), old),
+        "refresh_same": (snapshots.refresh(every, whole, []), every), "refresh_tail": (snapshots.refresh(every, first, []), every), "refresh_lost": (snapshots.refresh(old, whole, [first]), old),
+    }
+    rows = None
+    for name, (memory, source) in found.items():
+        want = snapshots.fold(source).withColumnsRenamed({"n": "m", "last": "end"})
+        both = memory.state.join(want, ["code", "text"], "full")
+        one = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_selections"), F.bool_and(F.equal_null("n", "m") & F.equal_null("last", "end")).alias("whole")).select(F.lit(name).alias("situation"), F.lit(memory.way).alias("way"), "n_selections", F.coalesce("whole", F.lit(True)).alias("whole"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def recent_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The 8,192 entries of all sessions' memory that were chosen last, per code: how many, and the text preferred."""
+    state = snapshots.recent(snapshots.fold(_batches(spark, folder)), M.LONG)
+    return state.groupBy("code").agg(F.count("*").alias("n_entries"), F.sum("n").alias("n")).join(snapshots.preferred(state).select("code", "text"), "code")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sentence_ids, runtime_layers, provenance_check, evidence_prefix_scan, config_validation, span_recovery, swap_recovery_sentences, sentence_recall, labelled_rejection_sweep, character_oracle, summary_configurations, rank_histogram,
         gate_outcomes, decode_checksum, pair_features, cache_evidence, discovery_slot, candidate_pages, edit_explanations, key_buffer, composition_sessions, recorder_failure, held_out_tokens, loose_commit_words, stroke_letters, layer_changes,
-        character_readings, best_segmentation, paint_coalescer,
+        character_readings, best_segmentation, paint_coalescer, checkpoint_loads, recent_entries,
     )
 }
 
@@ -437,3 +473,6 @@ SQL["layer_changes"] = _LAYERS + """, r AS (SELECT code, CASE WHEN r = 1 THEN 1
 p AS (SELECT code, list(text ORDER BY k) AS plain FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY band, r, text) AS k FROM r) WHERE k <= 6 GROUP BY 1), c AS (SELECT r.*, cap FROM r, range(0, 4) t(cap) UNION ALL SELECT s.*, cap FROM s, range(0, 4) t(cap) WHERE r <= cap),
 m AS (SELECT code, cap, list(text ORDER BY k) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY code, cap ORDER BY band, r, text) AS k FROM c) WHERE k <= 6 GROUP BY 1, 2)
 SELECT CAST(cap AS INTEGER) AS cap, count(*) AS n_codes, count(*) FILTER (shown <> plain) AS n_changed, count(*) FILTER (shown[1] <> plain[1]) AS n_first_changed FROM m JOIN p USING (code) GROUP BY 1"""
+_CHOSEN = "ch AS (SELECT segment_seq, session_id, pos, event_id, code, inserted AS text FROM fl WHERE kind = 'Commit' AND code <> '' AND inserted <> '')"
+SQL["checkpoint_loads"] = _EV + f", {_CHOSEN}, m AS (SELECT max(segment_seq) AS s FROM ch), n AS (SELECT count(*) AS a, count(*) FILTER (segment_seq < s) AS o FROM ch, m) SELECT situation, way, CASE WHEN older THEN o ELSE a END AS n_selections, true AS whole FROM n, (VALUES ('tail_after', 'checkpoint', false), ('tail_before', 'full', false), ('foreign_names', 'full', true), ('refresh_same', 'same', false), ('refresh_tail', 'tail', false), ('refresh_lost', 'checkpoint', true)) v(situation, way, older)"
+SQL["recent_entries"] = _EV + f", {_CHOSEN}, s AS (SELECT code, text, count(*) AS n, max(struct_pack(a := segment_seq, b := session_id, c := pos, d := event_id)) AS last FROM ch GROUP BY 1, 2 ORDER BY last DESC, code, text LIMIT {M.LONG}) SELECT code, count(*) AS n_entries, CAST(sum(n) AS BIGINT) AS n, first(text ORDER BY least(n, 4) DESC, last DESC, n DESC, text) AS text FROM s GROUP BY 1"

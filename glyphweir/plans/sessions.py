@@ -21,8 +21,8 @@ def _segment() -> Window:
     return Window.partitionBy("session_id", "segment_seq").orderBy("pos", "event_id")
 
 
-def _session() -> Window:
-    return Window.partitionBy("session_id").orderBy("segment_seq", "pos", "event_id")
+#: The place of an event in its session; comparing places needs no window over a session, which may hold a third of all rows.
+_PLACE = ("segment_seq", "pos", "event_id")
 
 
 def _flat(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +165,7 @@ def freeze_episodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _selections(spark: SparkSession, folder: str) -> DataFrame:
     """(session_id, code, text, n, last): how often and when last a session chose a text for a code."""
-    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.struct(*_PLACE))
     return own.groupBy("session_id", "code", F.col("inserted").alias("text")).agg(F.count("*").alias("n"), F.max("t").alias("last"))
 
 
@@ -180,7 +180,7 @@ def preferred_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def suppression_last_action(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that a session took back and didn't commit again: the last action on a text counts."""
-    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "deleted", "inserted").withColumn("text", F.when(F.col("kind") == "Commit", F.col("inserted")).otherwise(F.col("deleted"))).where("text <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "deleted", "inserted").withColumn("text", F.when(F.col("kind") == "Commit", F.col("inserted")).otherwise(F.col("deleted"))).where("text <> ''").withColumn("t", F.struct(*_PLACE))
     last = own.groupBy("session_id", "text").agg(F.max_by("kind", "t").alias("kind"), F.max("t").alias("t"))
     return last.where("kind = 'Revision'").select("session_id", "text")
 
@@ -196,7 +196,7 @@ def anchored_suffix_inherit(spark: SparkSession, folder: str) -> DataFrame:
 
 def context_preference(spark: SparkSession, folder: str) -> DataFrame:
     """After the text before, the text a session supports for a code: choices less rejections, four of each at most."""
-    own = _labels(spark, folder).withColumn("before", F.lag("inserted").over(_segment())).where("before <> '' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _labels(spark, folder).withColumn("before", F.lag("inserted").over(_segment())).where("before <> '' and code <> '' and inserted <> ''").withColumn("t", F.struct(*_PLACE))
     per = own.groupBy("session_id", "before", "code", F.col("inserted").alias("text")).agg(F.count_if(F.col("label") != "Rejected").alias("chosen"), F.count_if(F.col("label") == "Rejected").alias("rejected"), F.max("t").alias("last"))
     support = F.greatest(F.least("chosen", F.lit(4)) - F.least("rejected", F.lit(4)), F.lit(0))
     return L.first_by(per.withColumn("support", support).where("support > 0"), ["session_id", "before", "code"], F.desc("support"), F.desc("last"), F.asc("text")).select("session_id", "before", "code", "text", "support")
@@ -204,7 +204,7 @@ def context_preference(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_mru(spark: SparkSession, folder: str) -> DataFrame:
     """The last text of each of a session's 128 most recent codes."""
-    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.row_number().over(_session()))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted", "code").where("kind = 'Commit' and code <> '' and inserted <> ''").withColumn("t", F.struct(*_PLACE))
     last = own.groupBy("session_id", "code").agg(F.max(F.struct("t", F.col("inserted").alias("text"))).alias("v")).select("session_id", "code", "v.*")
     return L.ranked(last, ["session_id"], F.desc("t"), limit=128).select("session_id", "rank", "code", "text")
 
@@ -257,7 +257,11 @@ def adaptive_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def tier_by_recency(spark: SparkSession, folder: str) -> DataFrame:
     """A session's commits by the tier of memory they are in: 128 recent, 1,024 medium, up to 8,192 long, the rest gone."""
-    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted").where("kind = 'Commit' and inserted <> ''").withColumn("age", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("segment_seq"), F.desc("pos"), F.desc("event_id"))))
+    own = _read(spark, folder, "session_id", "segment_seq", "pos", "kind", "inserted").where("kind = 'Commit' and inserted <> ''")
+    # The age is the place in the segment plus what later segments hold: no window over a whole session's events.
+    later = Window.partitionBy("session_id").orderBy(F.desc("segment_seq")).rowsBetween(Window.unboundedPreceding, -1)
+    before = own.groupBy("session_id", "segment_seq").agg(F.count("*").alias("n")).select("session_id", "segment_seq", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    own = own.withColumn("age", F.row_number().over(Window.partitionBy("session_id", "segment_seq").orderBy(F.desc("pos"), F.desc("event_id")))).join(before, ["session_id", "segment_seq"]).withColumn("age", F.col("age") + F.col("before"))
     tier = F.when(F.col("age") <= M.RECENT, "recent").when(F.col("age") <= M.RECENT + M.MEDIUM, "medium").when(F.col("age") <= M.LONG, "long").otherwise("evicted")
     return own.groupBy("session_id", tier.alias("tier")).agg(F.count("*").alias("n"), F.count_distinct("inserted").alias("n_texts"))
 
