@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphweir.functions import codec
 from glyphweir.functions.scoring import boost
+from glyphweir.operators import adaptive as A
 from glyphweir.operators import language, lattice, noisy, snapshots
 from glyphweir.operators import events as E
 from glyphweir.operators import lexicon as L
@@ -406,12 +408,55 @@ def recent_entries(spark: SparkSession, folder: str) -> DataFrame:
     return state.groupBy("code").agg(F.count("*").alias("n_entries"), F.sum("n").alias("n")).join(snapshots.preferred(state).select("code", "text"), "code")
 
 
+_REPORT = ", ".join(f"{c} bigint" for c in A.REPORT)
+
+
+def scenario_suite(spark: SparkSession, folder: str) -> DataFrame:
+    """Six scenarios under four profiles: the report of each."""
+    grid = spark.createDataFrame([(s, p) for s in A.SCENARIOS for p in A.PROFILES], "scenario string, profile string")
+
+    def run(batches):
+        for frame in batches:
+            rows = [(s, p, *(report[c] for c in A.REPORT)) for s, p in zip(frame["scenario"], frame["profile"]) for report in (A.replay(A.scenario(s), A.PROFILES[p]),)]
+            yield pd.DataFrame(rows, columns=["scenario", "profile", *A.REPORT])
+
+    return grid.mapInPandas(run, f"scenario string, profile string, {_REPORT}")
+
+
+def adaptive_report(spark: SparkSession, folder: str) -> DataFrame:
+    """All sessions replayed under four profiles with the words of each code as pool: the end of a segment confirms, a text
+    that a revision takes back without another in its place is forgotten."""
+    lists = P._pool(spark, folder).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("public_rank", "text", "frequency"))).alias("pool"))
+    own = P._read(spark, folder, "session_id", "segment_seq", "pos", "kind", "start", "deleted", "inserted", "reliable", "code").join(lists, "code", "left")
+
+    def events(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment = None
+        for row in rows:
+            if segment is not None and row.segment_seq != segment:
+                yield ("confirm",)
+            segment = row.segment_seq
+            if not row.reliable:
+                continue
+            if row.deleted or row.inserted:
+                yield ("edit", row.start, len(row.deleted), len(row.inserted))
+            if row.kind == "Commit" and row.code and row.inserted:
+                yield ("commit", row.code, row.inserted, row.start, [(c["text"], float(c["frequency"])) for c in row.pool or ()])
+            elif row.kind == "Revision" and row.deleted and not row.inserted and row.code:
+                yield ("forget", row.code, row.deleted)
+
+    def step(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
+        return [(name, *(report[c] for c in A.REPORT)) for name, report in A.replay_all(events(rows), A.PROFILES).items()]
+
+    found = M.fold(own, ["session_id"], ["segment_seq", "pos", "event_id"], step, f"session_id string, profile string, {_REPORT}")
+    return found.groupBy("profile").agg(*(F.sum(c).alias(c) for c in A.REPORT))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sentence_ids, runtime_layers, provenance_check, evidence_prefix_scan, config_validation, span_recovery, swap_recovery_sentences, sentence_recall, labelled_rejection_sweep, character_oracle, summary_configurations, rank_histogram,
         gate_outcomes, decode_checksum, pair_features, cache_evidence, discovery_slot, candidate_pages, edit_explanations, key_buffer, composition_sessions, recorder_failure, held_out_tokens, loose_commit_words, stroke_letters, layer_changes,
-        character_readings, best_segmentation, paint_coalescer, checkpoint_loads, recent_entries,
+        character_readings, best_segmentation, paint_coalescer, checkpoint_loads, recent_entries, scenario_suite, adaptive_report,
     )
 }
 

@@ -28,7 +28,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")) & (F.regexp_replace("value", r"\r\z", "") != LEXICON_HEADER))
     f = _fields()
     rows = lines.select(f.alias("f"), F.col("value")).withColumn("codes", codec.syllable_codes(F.get("f", F.lit(1))))
-    frequency = F.expr("try_cast(f[2] as bigint)")
+    frequency = F.expr("try_cast(get(f, 2) as bigint)")
     fault = (
         F.when((F.size("f") != 3) | F.exists("f", lambda x: x == ""), "columns")
         .when(F.coalesce(frequency, F.lit(0)) <= 0, "frequency")
@@ -68,12 +68,24 @@ def read_dictionary(spark: SparkSession, path: str, shadowed: DataFrame | None =
     return rows.withColumn("reason", fault).withColumn("reason", F.coalesce("reason", F.when(first, "duplicate"))).select("line_no", "text", "pinyin", "code", "codes", "frequency", "reason")
 
 
-def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+def _held(rows: DataFrame, fault: Column, what: str) -> DataFrame:
+    """The rows; raises on reading one that has a fault, and names it."""
+    said = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit(f"{what} breaks the format ("), fault, F.lit(")"))).cast("boolean")).otherwise(F.lit(True))
+    return rows.withColumn("__held", said).where("__held").drop("__held")
+
+
+def read_sentences(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(id, tokens, n_ranges) of a ten-column sentence file; blocks end at blank lines, so each is one row.
 
     Rows with a whole number are tokens; ranges and empty nodes are counted. Raises on a block without id or with a row of
-    other than ten columns."""
-    return parse_sentences(spark.read.option("lineSep", "\n\n").text(path))
+    other than ten columns; ``strict`` raises on an id that comes twice and on a sentence without tokens, too. A file whose
+    lines end in carriage returns is one row until its blocks are parted."""
+    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.explode(F.split("value", r"\r?\n\r?\n")).alias("value"))
+    own = parse_sentences(blocks)
+    if not strict:
+        return own
+    again = F.count("*").over(Window.partitionBy("id")) > 1
+    return _held(own.withColumn("__again", again), F.when(F.size("tokens") <= 0, F.concat(F.lit("empty sentence "), "id")).when(F.col("__again"), F.concat(F.lit("duplicate id "), "id")), "a sentence").drop("__again")
 
 
 def parse_sentences(blocks: DataFrame) -> DataFrame:
@@ -96,8 +108,22 @@ def sentence_block(id_: str, tokens: str) -> Column:
     return F.concat(F.lit("# sent_id = "), F.col(id_), F.lit("\n"), F.array_join(rows, "\n"))
 
 
-def read_strokes(spark: SparkSession, path: str) -> DataFrame:
-    return parse_strokes(spark.read.text(path))
+def read_strokes(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """As parse_strokes; ``strict`` raises on lines that aren't two columns of 1 to 128 digits 1 to 5 and of different
+    characters that show, and on a sequence that comes twice."""
+    lines = spark.read.text(path)
+    if strict:
+        f = _fields()
+        rows = lines.where((F.col("value") != "") & ~F.startswith("value", F.lit("#"))).withColumn("__f", f)
+        chars = F.filter(F.split(F.get("__f", F.lit(1)), ""), lambda c: c != "")
+        fault = (
+            F.when(F.size("__f") != 2, "columns")
+            .when(~F.get("__f", F.lit(0)).rlike(r"\A[1-5]{1,128}\z"), "sequence")
+            .when((F.size(chars) == 0) | F.get("__f", F.lit(1)).rlike(r"[\s\p{Cc}]") | (F.size(F.array_distinct(chars)) != F.size(chars)), "characters")
+            .when(F.count("*").over(Window.partitionBy(F.get("__f", F.lit(0)))) > 1, "duplicate")
+        )
+        lines = _held(rows.withColumn("__fault", fault), F.col("__fault"), "a stroke line").select("value")
+    return parse_strokes(lines)
 
 
 def parse_strokes(lines: DataFrame) -> DataFrame:
@@ -107,17 +133,40 @@ def parse_strokes(lines: DataFrame) -> DataFrame:
     return each.groupBy("ch").agg(F.sort_array(F.collect_set("code")).alias("strokes"))
 
 
-def read_transitions(spark: SparkSession, path: str) -> DataFrame:
-    """(tokens, n) of lines "tokens separated by blanks TAB count"; lines that break it have no row."""
+def read_transitions(spark: SparkSession, path: str, words: DataFrame | None = None) -> DataFrame:
+    """(tokens, n) of lines "tokens separated by blanks TAB count"; lines that break it have no row.
+
+    With ``words`` it is strict: blank lines, comments and the header are skipped, and a line that breaks the format or has a
+    token that is no word raises."""
     lines = spark.read.text(path).select(_fields().alias("f"))
-    return lines.select(F.split(F.get("f", F.lit(0)), " ").alias("tokens"), F.expr("try_cast(f[1] as bigint)").alias("n")).where((F.size("tokens") > 1) & (F.col("n") > 0))
+    if words is not None:
+        rows = lines.where(~F.get("f", F.lit(0)).rlike(r"\A(#.*)?\z") & (F.array_join("f", "\t") != "tokens\tcount")).select("f", F.split(F.trim(F.get("f", F.lit(0))), r"\s+").alias("tokens"), F.expr("try_cast(get(f, 1) as bigint)").alias("n"), F.monotonically_increasing_id().alias("i"))
+        known = words.select(F.col("text").alias("token"), F.lit(True).alias("known")).distinct()
+        lacking = rows.select("i", F.explode("tokens").alias("token")).join(known, "token", "left").where("known is null").groupBy("i").agg(F.min("token").alias("token"))
+        joined = rows.join(lacking, "i", "left")
+        fault = F.when(F.size("f") != 2, "columns").when(F.coalesce("n", F.lit(0)) <= 0, "count").when(F.size("tokens") < 2, "too few tokens").when(F.col("token").isNotNull(), F.concat(F.lit("unknown token "), "token"))
+        return _held(joined, fault, "a transition line").select("tokens", "n")
+    return lines.select(F.split(F.get("f", F.lit(0)), " ").alias("tokens"), F.expr("try_cast(get(f, 1) as bigint)").alias("n")).where((F.size("tokens") > 1) & (F.col("n") > 0))
 
 
-def read_cases(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
-    """(id, observed, expected) of lines "id TAB tokens separated by blanks": first keys and text, if all tokens are words."""
+def read_cases(spark: SparkSession, path: str, words: DataFrame, strict: bool = False) -> DataFrame:
+    """(id, observed, expected) of lines "id TAB tokens separated by blanks": first keys and text, if all tokens are words.
+
+    ``strict`` skips blank lines, comments and the header, and raises on other lines that break the format, on an id that
+    comes twice, and on a token that is no word."""
     from glyphweir.operators.lexicon import best_by_text
 
-    lines = spark.read.text(path).select(_fields().alias("f")).where(F.size("f") == 2)
+    lines = spark.read.text(path).select(_fields().alias("f"))
+    if strict:
+        rows = lines.where(~F.get("f", F.lit(0)).rlike(r"\A(#.*)?\z") & (F.array_join("f", "\t") != "id\ttokens"))
+        again = F.count("*").over(Window.partitionBy(F.get("f", F.lit(0)))) > 1
+        tokens_of = F.split(F.trim(F.get("f", F.lit(1))), r"\s+")
+        fault = F.when((F.size("f") != 2) | F.exists("f", lambda x: x == ""), "columns").when(F.size(tokens_of) < 2, "too few tokens").when(F.col("again"), F.concat(F.lit("duplicate id "), F.get("f", F.lit(0))))
+        good = _held(rows.withColumn("again", again), fault, "a case")
+        tokens = good.select(F.get("f", F.lit(0)).alias("id"), F.posexplode(tokens_of).alias("pos", "text"))
+        known = best_by_text(words).select("text", F.lit(True).alias("known"))
+        return authored(_held(tokens.join(known, "text", "left"), F.when(F.col("known").isNull(), F.concat(F.lit("unknown token "), "text")), "a case").drop("known"), best_by_text(words))
+    lines = lines.where(F.size("f") == 2)
     tokens = lines.select(F.get("f", F.lit(0)).alias("id"), F.posexplode(F.split(F.get("f", F.lit(1)), " ")).alias("pos", "text"))
     return authored(tokens, best_by_text(words))
 

@@ -136,3 +136,30 @@ def test_order_statistics(spark):
     for r in order_statistics(spark.createDataFrame(rows, "k int, v int, times bigint"), "k", "v", "times").collect():
         own = values[r.k]
         assert (r.n, r.least, r.median, r.p95, r.most) == (len(own), own[0], own[len(own) // 2], own[math.ceil(0.95 * len(own)) - 1], own[-1])
+
+
+def test_strict_readers(spark, tmp_path):
+    (tmp_path / "lex.tsv").write_text("text\tpinyin\tfrequency\n词\tci\t5\n库\tku\t7\n")
+    words = formats.read_lexicon(spark, str(tmp_path / "lex.tsv"))
+
+    def read(reader, text, *more, **how):
+        (tmp_path / "f.txt").write_bytes(text.encode())
+        return reader(spark, str(tmp_path / "f.txt"), *more, **how).collect()
+
+    def fails(reader, why, text, *more, **how):
+        with pytest.raises(Exception, match=f"breaks the format.*{why}"):
+            read(reader, text, *more, **how)
+
+    row = "1\t好\t_\tADJ" + "\t_" * 6
+    assert [r.id for r in sorted(read(formats.read_sentences, f"# sent_id = a\r\n{row}\r\n\r\n# sent_id = b\r\n{row}\r\n", strict=True))] == ["a", "b"]
+    fails(formats.read_sentences, "duplicate id a", f"# sent_id = a\n{row}\n\n# sent_id = a\n{row}\n", strict=True)
+    fails(formats.read_sentences, "empty sentence a", "# sent_id = a\n# text = x\n\n", strict=True)
+    assert len(read(formats.read_strokes, "# x\n12\t十丁\n345\t十\n", strict=True)) == 2
+    for why, text in (("columns", "12"), ("sequence", "16\t十"), ("characters", "12\t十十"), ("characters", "12\t"), ("duplicate", "12\t十\n12\t丁")):
+        fails(formats.read_strokes, why, text + "\n", strict=True)
+    assert [(r.tokens, r.n) for r in read(formats.read_transitions, "tokens\tcount\n# x\n\n词 库\t3\n", words)] == [(["词", "库"], 3)]
+    for why, text in (("columns", "词 库"), ("count", "词 库\t0"), ("too few", "词\t1"), ("unknown token 无", "词 无\t1")):
+        fails(formats.read_transitions, why, text + "\n", words)
+    assert [tuple(r) for r in read(formats.read_cases, "id\ttokens\nq\t词 库\n", words, strict=True)] == [("q", "ck", "词库")]
+    for why, text in (("columns", "q"), ("too few", "q\t词"), ("duplicate id q", "q\t词 库\nq\t库 词"), ("unknown token 无", "q\t词 无")):
+        fails(formats.read_cases, why, text + "\n", words, strict=True)
