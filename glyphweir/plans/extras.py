@@ -149,13 +149,20 @@ def lexicon_import(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layered_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of typed codes by layer: core and supplemental words of the code, then compositions with a supplemental word."""
+    """Words of typed codes by layer: core and supplemental words of the code, compositions with a supplemental word, sentences
+    in full code, then other sentences without unresolved keys; a text once, at its first place."""
+    from glyphweir.operators import lattice
     from glyphweir.plans.corpus import _layers, supplemental_composition
 
-    codes = V.observed(spark, folder)
+    codes, words = V.observed(spark, folder), V.words(spark, folder)
     direct = codes.join(_layers(spark, folder, 2).withColumnRenamed("code", "observed"), "observed").select("observed", "band", "band_rank", "text", "source")
-    made = supplemental_composition(spark, folder).select("observed", F.lit(4).alias("band"), F.col("rank").alias("band_rank"), "text", F.lit("composition").alias("source"))
-    once = L.first_by(direct.unionByName(made), ["observed", "text"], F.asc("band"), F.asc("band_rank"))
+    made = supplemental_composition(spark, folder)
+    complete = lattice.sentences(lattice.exact_edges(codes, words, keep=10), words, top=10)
+    other = lattice.sentences(lattice.noisy_edges(codes, words, 10), words, top=10, literals=True, codes=codes).where("unresolved = 0")
+    every = direct
+    for band, found, name in ((4, made, "composition"), (5, complete, "sentence"), (6, other, "corrected")):
+        every = every.unionByName(found.select("observed", F.lit(band).alias("band"), F.col("rank").alias("band_rank"), "text", F.lit(name).alias("source")))
+    once = L.first_by(every, ["observed", "text"], F.asc("band"), F.asc("band_rank"))
     return L.ranked(once, ["observed"], F.asc("band"), F.asc("band_rank"), F.asc("text"), limit=20).select("observed", "rank", "text", "source")
 
 
