@@ -40,10 +40,10 @@ def spans(codes: DataFrame, even: bool) -> DataFrame:
 
 def exact_edges(codes: DataFrame, words: DataFrame, keep: int | None = None) -> DataFrame:
     """Edges of full codes at even places: (observed, low, high, text, code, frequency); the ``keep`` best of a span."""
-    edges = spans(codes, True).join(words.select("text", "code", "frequency"), F.col("piece") == F.col("code")).drop("piece")
-    if keep is None:
-        return edges
-    return ranked(edges, ["observed", "low", "high"], F.desc("frequency"), F.asc("text"), limit=keep, name="edge_rank").drop("edge_rank")
+    own = words.select("text", "code", "frequency")
+    if keep is not None:  # a span's words are those of its code, so they are ranked in the lexicon and not for every span
+        own = ranked(own, ["code"], F.desc("frequency"), F.asc("text"), limit=keep, name="edge_rank").drop("edge_rank")
+    return spans(codes, True).join(own, F.col("piece") == F.col("code")).drop("piece")
 
 
 def shortcut_edges(codes: DataFrame, words: DataFrame, keep: int) -> DataFrame:
@@ -234,32 +234,50 @@ def best_paths(observed: str, edges: list[dict], total: int, keep: int, per_text
     return [Path(*p) for p in best[0][False, ""]] if size else []
 
 
-def plain_paths(observed: str, edges: list[dict], total: int, keep: int) -> list[Path]:
-    """best_paths for exact edges without literals and transitions: the best ``keep`` texts, each by its best cut.
+def one_lane_paths(observed: str, edges: list[dict], total: int, keep: int, literals: bool = False, model: Model | None = None) -> list[Path]:
+    """best_paths for exact edges: the best ``keep`` texts, each by its best cut.
 
-    No state but the place is needed, so a path is carried as (cost, number of words, text, texts, codes, score)."""
+    No error is spent, so there is one lane, and a state is a place and, with a model, the word before. A path is carried as
+    (unresolved, cost, words, text, first text, other texts, first code, other codes, score): its order, and its parts are
+    only joined once it is kept."""
     size = len(observed)
     at: list[list[tuple]] = [[] for _ in range(size)]
+    befores: list[set[str]] = [{""} for _ in range(size + 1)]
     for edge in edges:
         at[edge["low"]].append((edge["high"], edge["text"], edge["code"], math.log(edge["frequency"] / total)))
-    best: list[list[tuple]] = [[] for _ in range(size)]
-    best.append([(0.0, 0, "", (), (), 0.0)])
+        if model:
+            befores[edge["high"]].add(edge["text"])
+    end = [(0, 0.0, 0, "", (), (), 0.0)]  # unresolved, cost, words, text, texts, codes, score
+    best: list[dict[str, list[tuple]]] = [{} for _ in range(size)]
+    best.append(dict.fromkeys(befores[size], end))
     for place in range(size - 1, -1, -1):
-        found = [
-            (-round(own + rest[5], 9), rest[1] + 1, text + rest[2], (text, *rest[3]), (code, *rest[4]), own + rest[5])
-            for high, text, code, own in at[place] for rest in best[high]
-        ]
-        if len(found) > 1:
+        own_edges = at[place]
+        literal = f"〔{observed[place]}〕"
+        for before in befores[place]:
+            found = []
+            if model and before:
+                counts, below = model.pairs, model.totals.get(before, 0) + SMOOTHING * model.size
+                unseen = math.log(SMOOTHING / below)
+            for high, text, code, own in own_edges:
+                if model and before:
+                    n = counts.get((before, text))
+                    own = UNIGRAM_SHARE * own + BIGRAM_SHARE * (math.log((n + SMOOTHING) / below) if n else unseen)
+                for unresolved, _, words, rest, texts, codes, score in best[high].get(text if model else "", ()):
+                    whole = own + score
+                    found.append((unresolved, -round(whole, 9), words + 1, text + rest, text, texts, code, codes, whole))
+            if literals:
+                for unresolved, _, words, rest, texts, codes, score in best[place + 1].get("", ()):
+                    whole = score - LITERAL_COST
+                    found.append((unresolved + 1, -round(whole, 9), words + 1, literal + rest, literal, texts, "", codes, whole))
             found.sort()
-            texts: dict[str, tuple] = {}
-            for path in found:
-                if path[2] not in texts:
-                    texts[path[2]] = path
-                    if len(texts) == keep:
+            kept: dict[str, tuple] = {}
+            for unresolved, cost, words, text, first, texts, code, codes, score in found:
+                if text not in kept:
+                    kept[text] = (unresolved, cost, words, text, (first, *texts), (code, *codes), score)
+                    if len(kept) == keep:
                         break
-            found = list(texts.values())
-        best[place] = found
-    return [Path(0, False, cost, n, text, texts, codes, True, False, score) for cost, n, text, texts, codes, score in best[0]] if size else []
+            best[place][before] = list(kept.values())
+    return [Path(unresolved, False, cost, words, text, texts, codes, not unresolved, False, score) for unresolved, cost, words, text, texts, codes, score in best[0][""]] if size else []
 
 
 def boundary_paths(size: int, edges: dict[tuple[int, int], list[str]], keep: int) -> tuple[list[list[tuple]], list[list[tuple]]]:
@@ -318,7 +336,7 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
         grouped = grouped.join(steps_of(edges, transitions), "observed", "left")
     shared = edges.sparkSession.sparkContext.broadcast(model)
     with_steps = transitions is not None
-    plain = not optional and model is None and transitions is None and not literals and per_text == 1
+    one_lane = not optional and per_text == 1
     keep = max(2 * top, 20) if "kind" in edges.columns else top  # without corrections there is one lane, and the best texts of a state suffice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +344,8 @@ def sentences(edges: DataFrame, words: DataFrame, top: int = 5, per_text: int =
             rows = []
             known = [None] * batch.num_rows if not with_steps else [Model({(p["prev"], p["cur"]): p["n"] for p in pairs or ()}, {t["prev"]: t["total"] for t in totals or ()}, size) for pairs, totals in zip(batch.column("pairs").to_pylist(), batch.column("totals").to_pylist())]
             for observed, own, steps in zip(batch.column("observed").to_pylist(), batch.column("edges").to_pylist(), known):
-                paths = plain_paths(observed, own or [], total, keep) if plain else best_paths(observed, own or [], total, keep, per_text, literals, steps or shared.value)
+                known_steps = steps or shared.value
+                paths = one_lane_paths(observed, own or [], total, keep, literals, known_steps) if one_lane else best_paths(observed, own or [], total, keep, per_text, literals, known_steps)
                 for rank, path in enumerate(paths[:top], 1):
                     rows.append({"observed": observed, "rank": rank, "text": path.text, "segments": list(path.texts), "unresolved": path.unresolved, "used_error": path.used_error, "score": round(path.score, 6)} | ({"codes": list(path.codes)} if spelled else {}))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("observed", pa.string()), ("rank", pa.int32()), ("text", pa.string()), ("segments", pa.list_(pa.string())), ("unresolved", pa.int32()), ("used_error", pa.bool_()), ("score", pa.float64()), *([("codes", pa.list_(pa.string()))] if spelled else [])]))

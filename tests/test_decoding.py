@@ -222,13 +222,18 @@ def test_best_path_with_transitions_against_enumeration():
         assert lattice.best_paths(observed, edges, 100, keep=50, model=model)[0].order()[:5] == min(found)
 
 
-def test_plain_paths_are_the_best_paths():
+@pytest.mark.parametrize("literals", [False, True])
+@pytest.mark.parametrize("with_model", [False, True])
+def test_one_lane_paths_are_the_best_paths(literals, with_model):
     rnd = random.Random(6)
     for _ in range(80):
         observed = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 7)))
         edges = [{"low": a, "high": b, "text": rnd.choice("xyz") * (b - a), "code": f"{a}{b}{k}", "frequency": rnd.randint(1, 9)} for a, b in itertools.combinations(range(len(observed) + 1), 2) for k in range(rnd.randint(0, 2))]
-        want = [(p.text, p.n_words, p.cost) for p in lattice.best_paths(observed, edges, 50, 5, literals=False)[:5]]
-        assert [(p.text, p.n_words, p.cost) for p in lattice.plain_paths(observed, edges, 50, 5)] == want
+        texts = sorted({e["text"] for e in edges})
+        pairs = {(a, b): rnd.randint(1, 9) for a in texts for b in texts if rnd.random() < 0.4}
+        model = lattice.Model(pairs, {a: sum(n for (x, _), n in pairs.items() if x == a) for a in texts}, 9) if with_model else None
+        want = [(p.unresolved, p.cost, p.n_words, p.text, p.texts) for p in lattice.best_paths(observed, edges, 50, 5, literals=literals, model=model)[:5]]
+        assert [(p.unresolved, p.cost, p.n_words, p.text, p.texts) for p in lattice.one_lane_paths(observed, edges, 50, 5, literals, model)] == want
 
 
 def test_transitions_joined_or_handed_out(spark, words):
