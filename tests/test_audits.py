@@ -161,3 +161,33 @@ def test_noisy_lattice_counts(spark, small):
     whole = {(r.observed, r.low, r.high, r.text, r.code, r.kind) for r in lattice.noisy_edges(codes, words, None).collect()}
     found = {(r.observed, r.text, r.code, r.kind) for r in noisy.matches(lattice.spans(codes, False).select(F.col("piece").alias("observed")).distinct(), words).collect()}
     assert kept <= whole and all((o[low:high], t, c, k) in found for o, low, high, t, c, k in whole)
+
+
+def test_rolling_buffers_by_replay(spark, small):
+    from glyphweir.plans import sessions
+
+    rows = sorted((r.session_id, r.segment_seq, r.pos, r.event_id, len(r.inserted) + len(r.deleted) + len(r["keys"] or ()) + 16) for r in sessions._flat(spark, small).collect())
+    want = {}
+    for session, own in itertools.groupby(rows, key=lambda r: r[0]):
+        held, dropped = [], 0
+        for *_, size in own:
+            while held and sum(held) + size > 4_096:
+                gone = max(1, len(held) // 8)
+                held, dropped = held[gone:], dropped + gone
+            held = [*held, size] if size <= 4_096 else held
+        want[session] = (len(held), sum(held), dropped)
+    assert {r.session_id: (r.n_kept, r.size, r.n_dropped) for r in sessions.rolling_buffer(spark, small).collect()} == want
+
+
+def test_recalls_and_lists_are_consistent(spark, small):
+    from glyphweir.plans import corpus, extras
+
+    recall, cases = audits.sentence_recall(spark, small).first(), extras.authored_cases(spark, small).count()
+    assert recall.n == cases and 0 <= recall.top1 <= recall.top5 <= recall.top10 <= cases
+    per = {}
+    for r in corpus.interactive_query_whole(spark, small).collect():
+        per.setdefault(r.observed, []).append((r["rank"], r.lane, r.text))
+    for observed, own in per.items():
+        own.sort()
+        assert [k for k, _, _ in own] == list(range(1, len(own) + 1)) and len({t for _, _, t in own}) == len(own) <= 20
+        assert [lane for _, lane, _ in own] == sorted(lane for _, lane, _ in own) and (own[0][1] < 5 or [t for _, _, t in own] == [observed])
