@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: Queries with the least number of such joins.
-UNFOLDED = {"character_oracle": 2, "conservative_top1": 2}
+UNFOLDED = {"character_oracle": 2, "conservative_top1": 2, "decode_word_topk": 2}
 
 
 @pytest.mark.parametrize("name", UNFOLDED)
