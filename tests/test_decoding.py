@@ -248,3 +248,35 @@ def test_transitions_joined_or_handed_out(spark, words):
 def test_a_model_beyond_its_bound_is_no_model(spark, monkeypatch):
     monkeypatch.setattr(language, "PAIR_BOUND", 1)
     assert language.model(spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "prev string, cur string, n bigint"), 2) is None
+
+
+def test_two_words_keep_few_of_a_cut(spark):
+    """The best texts of two words against all pairs, with ties, words of several lengths and texts that two pairs or cuts have."""
+    rnd = random.Random(11)
+    texts = {code: ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4))) + code[0] * rnd.randint(0, 1) for _ in range(14)] for code in ("aa", "bb", "aabb", "bbaa")}
+    entries = {t: (code, rnd.choice((1, 2, 2, 7, 9, 10**12, 10**12 + 1))) for code, own in texts.items() for t in own}
+    words = spark.createDataFrame([(t, code, "", f) for t, (code, f) in entries.items()], "text string, code string, pinyin string, frequency bigint")
+    codes = ["aabb", "bbaa", "aabbaa", "bbaabb", "aabbaabb", "aab", "aa"]
+    for keep in (1, 3, 5, 20):
+        want = []
+        for code in codes:
+            found = {}
+            for at in range(2, len(code) - 1, 2) if len(code) % 2 == 0 else ():
+                for a, (c1, f1) in entries.items():
+                    for b, (c2, f2) in entries.items():
+                        if c1 + c2 == code and len(c1) == at:
+                            own = (-round(math.log(f1) + math.log(f2), 9), at)
+                            found[a + b] = min(found.get(a + b, own), own)
+            want += [(code, rank, text, cost, at) for rank, (cost, text, at) in enumerate(sorted((c, t, at) for t, (c, at) in found.items())[:keep], 1)]
+        df = corpus._best_two_words(spark.createDataFrame([(c,) for c in codes], "observed string"), words, keep)
+        assert sorted((r.observed, r["rank"], r.text, -r.score, r["at"]) for r in df.collect()) == sorted(want)
+
+
+def test_pairs_of_two_words_stay_in_a_row(spark):
+    """Of a cut with 60 by 60 pairs only the five best are shuffled."""
+    rows = [(f"{c}{i:03}", code, "", i + 1) for c, code in (("甲", "aa"), ("乙", "bb")) for i in range(60)]
+    words = spark.createDataFrame(rows, "text string, code string, pinyin string, frequency bigint")
+    df = corpus._best_two_words(spark.createDataFrame([("aabb",)], "observed string"), words, 5)
+    assert df.count() == 5
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" in plan and "slice(pairs" in plan
