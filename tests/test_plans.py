@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: Queries with the least number of such joins.
-UNFOLDED = {"character_oracle": 2, "conservative_top1": 2, "decode_word_topk": 2, "frozen_pool_rerank": 2, "hybrid_rerank": 2, "interactive_query_whole": 4, "labelled_rejection_sweep": 4}
+UNFOLDED = {"character_oracle": 2, "conservative_top1": 2, "decode_word_topk": 2, "frozen_pool_rerank": 2, "hybrid_rerank": 2, "interactive_query_whole": 4, "labelled_rejection_sweep": 4, "layered_query": 4}
 
 
 @pytest.mark.parametrize("name", UNFOLDED)
