@@ -280,3 +280,16 @@ def test_pairs_of_two_words_stay_in_a_row(spark):
     assert df.count() == 5
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "inline" in plan and "slice(pairs" in plan
+
+
+def test_variants_need_few_words_of_a_code(spark):
+    """The nine best cuts without the words that nine others precede are those of all words; ties and several lengths too."""
+    rnd = random.Random(3)
+    own = {("".join(rnd.choice("甲乙") for _ in range(rnd.randint(1, 5))), code): rnd.choice((1, 2, 2, 5)) for code in ("aa", "bb", "aabb") for _ in range(60)}
+    rows = [(t, c, "", f) for (t, c), f in own.items()]
+    words = spark.createDataFrame(rows, "text string, code string, pinyin string, frequency bigint")
+    codes = spark.createDataFrame([(c,) for c in ("aa", "aabb", "aabbaa", "bbaabb")], "observed string")
+    few = corpus._ahead(words, 9)
+    assert few.count() < words.count()
+    got, want = ({tuple(map(str, r)) for r in lattice.sentences(lattice.exact_edges(codes, w), words, top=9, per_text=3).collect()} for w in (few, words))
+    assert got == want and len(want) == 36
