@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: Queries with the least number of such joins.
-UNFOLDED = {"character_oracle": 2, "conservative_top1": 2, "decode_word_topk": 2, "frozen_pool_rerank": 2, "hybrid_rerank": 2, "interactive_query_whole": 4, "labelled_rejection_sweep": 4, "layered_query": 4, "noisy_lattice": 3, "rejection_sweep": 2, "sentence_kbest_bigram_noisy": 3, "sentence_lanes": 3, "swap_recovery_sentences": 5, "paired_rank_stats": 4, "public_context_rerank": 2, "sentence_kbest_unigram": 3, "decode_checksum": 2}
+UNFOLDED = {"character_oracle": 2, "conservative_top1": 2, "decode_word_topk": 2, "frozen_pool_rerank": 2, "hybrid_rerank": 2, "interactive_query_whole": 4, "labelled_rejection_sweep": 4, "layered_query": 4, "noisy_lattice": 3, "rejection_sweep": 2, "sentence_kbest_bigram_noisy": 3, "sentence_lanes": 3, "swap_recovery_sentences": 5, "paired_rank_stats": 4, "public_context_rerank": 2, "sentence_kbest_unigram": 3, "decode_checksum": 2, "protocol_decode_whole": 2}
 
 
 @pytest.mark.parametrize("name", UNFOLDED)
