@@ -12,3 +12,13 @@ UNFOLDED = {"character_oracle": 2, "conservative_top1": 2, "decode_word_topk": 2
 def test_unfolded_rows_are_not_broadcast(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= UNFOLDED[name]
+
+
+#: Queries over codes read as two words, with how many texts of a cut they shuffle at most.
+CUTS = {"continuous_composition": 10}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_only_the_best_of_a_cut_are_shuffled(spark, small, name):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(pairs#" in plan and f", 1, {CUTS[name]}" in plan
