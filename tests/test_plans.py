@@ -15,7 +15,7 @@ def test_unfolded_rows_are_not_broadcast(spark, small, name):
 
 
 #: Queries over codes read as two words, with how many texts of a cut they shuffle at most.
-CUTS = {"continuous_composition": 10}
+CUTS = {"continuous_composition": 10, "interactive_query": 20}
 
 
 @pytest.mark.parametrize("name", CUTS)
