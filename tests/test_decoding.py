@@ -3,10 +3,11 @@ import math
 import random
 
 import pytest
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from glyphweir.functions import codec, keys
-from glyphweir.operators import language, lattice, lexicon, noisy, sampling
+from glyphweir.operators import language, lattice, lexicon, noisy, readings, sampling
 from glyphweir.plans import corpus, decoding
 
 WORDS = [("词", "ci", 50), ("次", "ci", 20), ("词库", "ci ku", 30), ("库存", "ku cun", 12), ("存", "cun", 9), ("输入", "shu ru", 40), ("去", "qu", 7), ("绿", "lv", 3), ("词", "ci", 45)]
@@ -282,6 +283,48 @@ def test_pairs_of_two_words_stay_in_a_row(spark):
     assert "inline" in plan and "slice(pairs" in plan
 
 
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_places_of_texts_against_all_pairs(spark, monkeypatch, block):
+    """Places of committed texts in both orders against all pairs ranked, with ties, transitions and texts that several pairs or cuts have."""
+    monkeypatch.setattr(readings, "BLOCK", block)
+    rnd = random.Random(7)
+    pool = sorted({"".join(rnd.choice("abx") for _ in range(rnd.randint(1, 3))) for _ in range(60)} - {"x", "xx", "xxx"})
+    entries = {t: ("".join(c + c for c in t if c != "x"), rnd.choice((1, 2, 2, 4, 7, 9))) for t in pool}  # x has no key
+    steps = {(rnd.choice(pool), rnd.choice(pool)): rnd.choice((1, 1, 3, 40)) for _ in range(250)}
+    codes = ["aabb", "bbaa", "aabbaa", "bbaabb", "aabbaabb", "aaaa", "aaaaaa", "aab", "aa"]
+    placed, twice = {}, 0
+    for code in codes:
+        found: dict[str, list[tuple]] = {}
+        for (a, (c1, f1)), (b, (c2, f2)) in itertools.product(entries.items(), repeat=2):
+            if c1 + c2 == code:
+                score = round(math.log(f1) + math.log(f2), 9)
+                found.setdefault(a + b, []).append((-round(score + math.log1p(steps.get((a, b), 0)), 9), -score, len(c1)))
+        twice += sum(len(own) > 1 for own in found.values())
+        once = {t: min(own) for t, own in found.items()}
+        for k, order in enumerate((lambda t: (once[t][1], t), lambda t: (once[t][0], t))):
+            for place, text in enumerate(sorted(once, key=order), 1):
+                placed.setdefault((code, text), [0, 0])[k] = place
+    assert twice > 10
+    held = readings.Lists((code, [t for t, own in entries.items() if own[0] == code], [math.log(f) for c, f in entries.values() if c == code]) for code in {c for c, _ in entries.values()})
+    for code in codes:
+        own = [t for c, t in placed if c == code]
+        known = {(a, b): n for (a, b), n in steps.items() if entries[a][0] + entries[b][0] == code}
+        assert sorted(readings.places(held, code, [*own, "no such text"], known)) == sorted((t, *placed[code, t]) for t in own)
+    words = spark.createDataFrame([(t, code, "", f) for t, (code, f) in entries.items()], "text string, code string, pinyin string, frequency bigint")
+    wanted = [*placed, ("aabb", "no such text"), ("aabb", None), ("aab", "a")]
+    got = corpus._text_places(spark.createDataFrame(wanted, "observed string, text string"), words, spark.createDataFrame([(*k, n) for k, n in steps.items()], "first string, second string, n bigint"), 5).first()
+    both = list(placed.values())
+    assert tuple(got) == (len(both), sum(p == 1 for p, _ in both), sum(a == 1 for _, a in both), sum(a < p for p, a in both), sum(a > p for p, a in both))
+    none = corpus._text_places(spark.createDataFrame([("aab", "a")], "observed string, text string"), words, spark.createDataFrame([], "first string, second string, n bigint"), 5).first()
+    assert tuple(none) == (0,) * 5
+
+
+def test_readings_of_two_words_are_ranked_in_their_task(spark, small):
+    """No row is made for a pair of words: ranks come from counts, not from a window over all texts of a code."""
+    plan = entry.queries()["protocol_context"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "windowspecdefinition(observed" not in plan
+
+
 def test_variants_need_few_words_of_a_code(spark):
     """The nine best cuts without the words that nine others precede are those of all words; ties and several lengths too."""
     rnd = random.Random(3)
