@@ -6,6 +6,7 @@ has come in beside them with a bounded mass. Evidence of an entry is its confirm
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -36,6 +37,7 @@ class Memory:
         self.pending: list[list] = []  # start, length, code, text
         self.confirmed: dict[tuple[str, str], list[int]] = {}  # confirmations, generation; in the order of the last one
         self.by_code: dict[str, dict[str, list[int]]] = {}
+        self.generations: list[int] = []  # of the confirmed ones, ascending
         self.generation = 0
 
     def observe(self, start: int, code: str, text: str) -> int:
@@ -62,9 +64,14 @@ class Memory:
         """(confirmed, evicted): the pending ones become the newest entries; beyond LONG the oldest go."""
         for _, _, code, text in self.pending:
             self.generation += 1
-            own = self.confirmed.pop((code, text), [0, 0])
+            own = self.confirmed.pop((code, text), None)
+            if own is None:
+                own = [0, 0]
+            else:
+                del self.generations[bisect_left(self.generations, own[1])]
             self.confirmed[code, text] = own
             own[:] = own[0] + 1, self.generation
+            self.generations.append(self.generation)
             self.by_code.setdefault(code, {})[text] = own
         n, self.pending, evicted = len(self.pending), [], 0
         while len(self.confirmed) > LONG:
@@ -73,7 +80,7 @@ class Memory:
         return n, evicted
 
     def _drop(self, key: tuple[str, str]) -> None:
-        del self.confirmed[key]
+        del self.generations[bisect_left(self.generations, self.confirmed.pop(key)[1])]
         del self.by_code[key[0]][key[1]]
 
     def forget(self, code: str, text: str) -> int:
@@ -89,14 +96,16 @@ class Memory:
         own = self.by_code.get(code)
         if not own:
             return {}
-        newest = sorted((g for _, g in self.confirmed.values()), reverse=True) if len(self.confirmed) > RECENT else []
-        recent, medium = (newest[n - 1] if len(newest) >= n else 0 for n in (RECENT, RECENT + MEDIUM))
+        recent, medium = (self.generations[-n] if len(self.generations) >= n else 0 for n in (RECENT, RECENT + MEDIUM))
         return {text: (n * TIER_WEIGHT["recent" if g >= recent else "medium" if g >= medium else "long"], n, g) for text, (n, g) in own.items()}
 
 
 def merged(memory: Memory, code: str, pool: list[tuple[str, float]], profile: Profile) -> tuple[list[tuple[str, str, float]], float]:
     """(text, source, probability) in order, and the mass of texts that no word of the pool has."""
-    evidence = memory.evidence(code)
+    return _merged(memory.evidence(code), pool, profile)
+
+
+def _merged(evidence: dict[str, tuple[int, int, int]], pool: list[tuple[str, float]], profile: Profile) -> tuple[list[tuple[str, str, float]], float]:
     weights = [evidence.get(text, (0,))[0] for text, _ in pool]
     total, mass = sum(weights), sum(w for _, w in pool)
     mix = profile.mix * total / (total + SATURATION)
@@ -127,8 +136,13 @@ def replay_all(events: Iterable[tuple], profiles: dict[str, Profile]) -> dict[st
         if kind == "commit":
             code, text, start, pool = own
             if pool:
+                evidence, found = memory.evidence(code), None
                 for name, profile in profiles.items():
-                    ranked[name].update(_compared(memory, code, text, pool, profile))
+                    if evidence or found is None:  # without evidence all profiles rank alike
+                        found = _compared(evidence, text, pool, profile)
+                    own = ranked[name]
+                    for what, n in found.items():
+                        own[what] += n
             memory.observe(start, code, text)
         elif kind == "edit":
             shifted, lost = memory.edit(*own)
@@ -146,25 +160,23 @@ def replay(events: Iterable[tuple], profile: Profile) -> dict[str, int]:
     return replay_all(events, {"": profile})[""]
 
 
-def _compared(memory: Memory, code: str, text: str, pool: list[tuple[str, float]], profile: Profile) -> Counter:
+def _compared(evidence: dict[str, tuple[int, int, int]], text: str, pool: list[tuple[str, float]], profile: Profile) -> dict[str, int]:
     """What one query adds to the report: the merged list against the public one."""
-    shown, share = merged(memory, code, pool, profile)
+    shown, share = _merged(evidence, pool, profile)
     base = [t for _, _, t in sorted((-w, place, t) for place, (t, w) in enumerate(pool))]
     after = {t: rank for rank, (t, _, _) in enumerate(shown, 1)}
-    rank, found = after.get(text), Counter(queries=1)
+    rank, found = after.get(text), {"queries": 1}
     if text not in base:
-        found.update(oov_queries=1, oov_recalled=int(rank is not None))
+        found |= {"oov_queries": 1, "oov_recalled": int(rank is not None)}
     else:
         before, now = base.index(text) + 1, rank or len(shown) + 1
-        found["improved" if now < before else "unchanged" if now == before else "worsened"] += 1
-    found.update({f"top{k}": int(rank is not None and rank <= k) for k in (1, 5, 10)})
+        found["improved" if now < before else "unchanged" if now == before else "worsened"] = 1
+    if rank is not None:
+        found |= {f"top{k}": int(rank <= k) for k in (1, 5, 10)}
     found["first_changes"] = int(not shown or shown[0][:2] != (base[0], "public"))
-    for before, own in enumerate(base, 1):
-        if (lost := after.get(own, len(shown) + 1) - before) > 0:
-            found.update(displaced=1, displacement=lost)
+    behind = [lost for before, own in enumerate(base, 1) if (lost := after.get(own, len(shown) + 1) - before) > 0]
     personal = [t for t, source, _ in shown if source == "personal"]
-    found.update(personal_shown=len(personal), personal_unwanted=sum(t != text for t in personal), cap_violations=int(share > min(profile.mass, MASS_LIMIT)))
-    return found
+    return found | {"displaced": len(behind), "displacement": sum(behind), "personal_shown": len(personal), "personal_unwanted": sum(t != text for t in personal), "cap_violations": int(share > min(profile.mass, MASS_LIMIT))}
 
 
 # The scenarios, each from an empty memory; a commit has code, text and start, an edit start, deleted, inserted.

@@ -35,6 +35,41 @@ def test_the_memory_evicts_the_oldest(monkeypatch):
     assert memory.evidence("x")["a"][1] == 2 and memory.forget("x", "a") == 1 and memory.forget("x", "a") == 0
 
 
+def test_generations_stay_in_order(monkeypatch):
+    """Tiers by generations kept in order are those of all confirmed entries sorted, under commits, edits, evictions and forgetting."""
+    for name, n in (("RECENT", 3), ("MEDIUM", 4), ("LONG", 12)):
+        monkeypatch.setattr(A, name, n)
+    rnd, memory = random.Random(2), A.Memory()
+    for _ in range(2_000):
+        match rnd.randrange(6):
+            case 0:
+                memory.confirm()
+            case 1:
+                memory.forget(rnd.choice("xyz"), rnd.choice("abcdefg"))
+            case 2:
+                memory.edit(rnd.randrange(20), rnd.randrange(3), rnd.randrange(3))
+            case _:
+                memory.observe(rnd.randrange(20), rnd.choice("xyz"), rnd.choice("abcdefg"))
+        newest = sorted((g for _, g in memory.confirmed.values()), reverse=True)
+        assert memory.generations == newest[::-1]
+        recent, medium = (newest[n - 1] if len(newest) >= n else 0 for n in (3, 7))
+        for code in "xyz":
+            want = {t: (n * (4 if g >= recent else 2 if g >= medium else 1), n, g) for (c, t), (n, g) in memory.confirmed.items() if c == code}
+            assert memory.evidence(code) == want
+
+
+def test_profiles_rank_once_without_evidence(monkeypatch):
+    """Of a code without evidence one ranking serves all profiles; with evidence each has its own, and the reports stay those of replays apart."""
+    calls = []
+    own = A._merged
+    monkeypatch.setattr(A, "_merged", lambda evidence, pool, profile: calls.append(profile) or own(evidence, pool, profile))
+    pool = [("甲", 3.0), ("乙", 1.0)]
+    events = [("commit", "aa", "乙", 0, pool), ("commit", "aa", "丙", 1, pool), ("confirm",), ("commit", "aa", "乙", 2, pool)]
+    got = A.replay_all(events, A.PROFILES)
+    assert len(calls) == 1 + 1 + len(A.PROFILES)
+    assert got == {name: A.replay(events, profile) for name, profile in A.PROFILES.items()}
+
+
 def test_merged_probabilities():
     memory = A.Memory()
     for _ in range(2):
