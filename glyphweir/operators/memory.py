@@ -12,8 +12,9 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from glyphweir.session import shuffle_width
+from glyphweir.session import shuffle_width, unfolded
 
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -22,19 +23,45 @@ PENDING, RECENT, MEDIUM, LONG = 128, 128, 1024, 8192
 TIER_WEIGHT = {"recent": 4, "medium": 2, "long": 1}
 
 
-def fold(events: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, Iterator[tuple]], list[tuple]], schema: str) -> DataFrame:
+def fold(events: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, Iterator[tuple]], list[tuple]], schema: str, lists: DataFrame | None = None) -> DataFrame:
     """Runs ``step`` over each key's events in order, one at a time; what it returns are the rows after the key's columns.
 
+    With ``lists`` (code, pool) an event has the pool of its code. Pools don't go with the events: keys are hashed into parts,
+    and a part gets each pool that its codes need once, ahead of its events.
+
     Rows are hashed by key and sorted within their parts, which spills, and read as a stream: a key with a third of all
     events takes its time but no memory beyond the step's own state."""
     rest = [c for c in events.columns if c not in keys]
-    parts = events.select(*keys, *rest).repartition(shuffle_width(events.sparkSession), *keys).sortWithinPartitions(*keys, *order)
-    names, n = [*keys, *rest], len(keys)
+    names, n, width = [*keys, *rest], len(keys), shuffle_width(events.sparkSession)
+    if lists is None:
+        parts = events.select(*names).repartition(width, *keys).sortWithinPartitions(*keys, *order)
+    else:
+        own = events.select(F.pmod(F.hash(*keys), F.lit(width)).alias("__part"), F.lit(False).alias("__listed"), *names)
+        asked = unfolded(own.select("__part", "code").where("code <> ''").groupBy("code").agg(F.collect_set("__part").alias("__parts")))
+        pools = asked.join(lists, "code").select(F.explode("__parts").alias("__part"), F.lit(True).alias("__listed"), "code", "pool")
+        both = own.unionByName(pools, allowMissingColumns=True).repartition(width, "__part")
+        parts = both.sortWithinPartitions("__part", F.desc("__listed"), *keys, *order).select(*names, "__part", "__listed", "pool")
+
+    lists_given = lists is not None
+
+    def with_pools(batches: Iterator[pa.RecordBatch], made: type) -> Iterator[tuple]:
+        part, pools, code = None, {}, names.index("code")
+        for batch in batches:
+            for *values, own, listed, pool in zip(*(column.to_pylist() for column in batch.columns)):
+                if own != part:
+                    part, pools = own, {}
+                if listed:
+                    pools[values[code]] = pool
+                else:
+                    yield made(*values, pools.get(values[code]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = pa.schema([(name, _ARROW[kind]) for name, kind in (part.strip().split(" ") for part in schema.split(","))])
-        made = namedtuple("Event", names)
-        rows = (made(*values) for batch in batches for values in zip(*(column.to_pylist() for column in batch.columns)))
+        if lists_given:
+            rows = with_pools(batches, namedtuple("Event", [*names, "pool"]))
+        else:
+            made = namedtuple("Event", names)
+            rows = (made(*values) for batch in batches for values in zip(*(column.to_pylist() for column in batch.columns)))
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:

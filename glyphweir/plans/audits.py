@@ -427,7 +427,7 @@ def adaptive_report(spark: SparkSession, folder: str) -> DataFrame:
     """All sessions replayed under four profiles with the words of each code as pool: the end of a segment confirms, a text
     that a revision takes back without another in its place is forgotten."""
     lists = P._pool(spark, folder).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("public_rank", "text", "frequency"))).alias("pool"))
-    own = P._read(spark, folder, "session_id", "segment_seq", "pos", "kind", "start", "deleted", "inserted", "reliable", "code").join(lists, "code", "left")
+    own = P._read(spark, folder, "session_id", "segment_seq", "pos", "kind", "start", "deleted", "inserted", "reliable", "code")
 
     def events(rows: Iterator[tuple]) -> Iterator[tuple]:
         segment = None
@@ -447,7 +447,7 @@ def adaptive_report(spark: SparkSession, folder: str) -> DataFrame:
     def step(key: tuple, rows: Iterator[tuple]) -> list[tuple]:
         return [(name, *(report[c] for c in A.REPORT)) for name, report in A.replay_all(events(rows), A.PROFILES).items()]
 
-    found = M.fold(own, ["session_id"], ["segment_seq", "pos", "event_id"], step, f"session_id string, profile string, {_REPORT}")
+    found = M.fold(own, ["session_id"], ["segment_seq", "pos", "event_id"], step, f"session_id string, profile string, {_REPORT}", lists)
     return found.groupBy("profile").agg(*(F.sum(c).alias(c) for c in A.REPORT))
 
 

@@ -70,6 +70,21 @@ def test_profiles_rank_once_without_evidence(monkeypatch):
     assert got == {name: A.replay(events, profile) for name, profile in A.PROFILES.items()}
 
 
+def test_pools_of_a_fold_go_once_to_a_part(spark, small):
+    """Each event has the pool of its code, whether codes have one or not, and pools are not joined to the events."""
+    events = spark.createDataFrame([(f"s{i % 7}", i, f"c{i % 5}" if i % 11 else None) for i in range(200)], "session_id string, pos int, code string")
+    lists = spark.createDataFrame([(f"c{i}", [(1, f"t{i}")]) for i in range(4)], "code string, pool array<struct<public_rank:int,text:string>>")
+
+    def step(key, rows):
+        return [(r.pos, r.pool[0]["text"] if r.pool else None) for r in rows]
+
+    got = [tuple(r) for r in M.fold(events, ["session_id"], ["pos"], step, "session_id string, pos int, text string", lists).collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(f"s{i % 7}", i, f"t{i % 5}" if i % 11 and i % 5 < 4 else None) for i in range(200)]
+    assert all([p for s, p, _ in got if s == f"s{k}"] == list(range(k, 200, 7)) for k in range(7))
+    plan = audits.adaptive_report(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__parts" in plan and "Join LeftOuter" not in plan
+
+
 def test_merged_probabilities():
     memory = A.Memory()
     for _ in range(2):
