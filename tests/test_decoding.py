@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from glyphweir.functions import codec, keys
-from glyphweir.operators import language, lattice, lexicon, noisy, readings, sampling
+from glyphweir.operators import language, lattice, lexicon, noisy, readings, sampling, sieve
 from glyphweir.plans import corpus, decoding
 
 WORDS = [("词", "ci", 50), ("次", "ci", 20), ("词库", "ci ku", 30), ("库存", "ku cun", 12), ("存", "cun", 9), ("输入", "shu ru", 40), ("去", "qu", 7), ("绿", "lv", 3), ("词", "ci", 45)]
@@ -336,3 +336,25 @@ def test_variants_need_few_words_of_a_code(spark):
     assert few.count() < words.count()
     got, want = ({tuple(map(str, r)) for r in lattice.sentences(lattice.exact_edges(codes, w), words, top=9, per_text=3).collect()} for w in (few, words))
     assert got == want and len(want) == 36
+
+
+def test_a_filter_loses_nothing_and_stops_most(spark):
+    texts = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("t"))
+    own = sieve.filter_of(texts.where("t like '%7%'"), texts)
+    passed = {r.t for r in texts.where(sieve.passes(own, F.col("t"))).collect()}
+    inside = {r.t for r in texts.where("t like '%7%'").collect()}
+    assert inside <= passed and len(passed) < len(inside) + 100
+    nothing = sieve.filter_of(texts.limit(0), texts)
+    assert texts.where(sieve.passes(nothing, F.col("t"))).count() == 0
+
+
+def test_only_rows_that_may_find_a_partner_are_shuffled(spark, words):
+    """Of a code's hypotheses and of the spellings without a key those stay that the other side's filter stops."""
+    codes = spark.createDataFrame([("zpzpzp",), ("ci",)], "observed string")
+    plan = noisy.matches(codes, words)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("shiftrightunsigned(scalar-subquery") >= 2
+
+
+def test_a_code_given_twice_matches_once(spark, words):
+    once, twice = (spark.createDataFrame([("ci",)] * n, "observed string") for n in (1, 2))
+    assert sorted(map(tuple, noisy.matches(once, words).collect())) == sorted(map(tuple, noisy.matches(twice, words).collect()))
