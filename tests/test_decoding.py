@@ -358,3 +358,9 @@ def test_only_rows_that_may_find_a_partner_are_shuffled(spark, words):
 def test_a_code_given_twice_matches_once(spark, words):
     once, twice = (spark.createDataFrame([("ci",)] * n, "observed string") for n in (1, 2))
     assert sorted(map(tuple, noisy.matches(once, words).collect())) == sorted(map(tuple, noisy.matches(twice, words).collect()))
+
+
+def test_codes_and_words_are_made_once(spark, words):
+    """What the joins and filters of a decoding read several times is not made again for each."""
+    codes = spark.range(7).select(F.lit("ci").alias("observed"))
+    assert "Range (0, 7," not in noisy.decode(codes, words)._jdf.queryExecution().optimizedPlan().toString()
