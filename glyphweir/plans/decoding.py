@@ -12,6 +12,7 @@ from glyphweir.operators import lexicon as L
 from glyphweir.operators import noisy
 from glyphweir.operators.sampling import order_statistics
 from glyphweir.plans import views as V
+from glyphweir.session import shuffled
 from glyphweir.sources.tables import table
 
 #: Most entries of a lexicon slice, and words shown for a code.
@@ -238,11 +239,11 @@ def oov_exposure(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _margins(spark: SparkSession, folder: str) -> DataFrame:
-    """(observed, known, margin): lead per key of the best word over an unresolved code; null without a word."""
+    """(observed, expected, known, first, margin): lead per key of the best word over an unresolved code; null without a word."""
     words = V.words(spark, folder)
     wanted = V.commits(spark, folder).where("observed <> ''").groupBy("observed").agg(F.max("text").alias("text"))
-    known = wanted.join(words.select("text", F.lit(True).alias("known")).distinct(), "text", "left").select("observed", F.coalesce("known", F.lit(False)).alias("known"))
-    best = noisy.decode(wanted.select("observed"), words, 1).select("observed", "score")
+    known = wanted.join(shuffled(words.select("text", F.lit(True).alias("known")).distinct()), "text", "left").select("observed", F.col("text").alias("expected"), F.coalesce("known", F.lit(False)).alias("known"))
+    best = shuffled(noisy.decode(wanted.select("observed"), words, 1).select("observed", F.col("text").alias("first"), "score"))
     return known.join(best, "observed", "left").withColumn("margin", F.round((F.col("score") + 8.0 * F.length("observed")) / F.length("observed"), 6))
 
 

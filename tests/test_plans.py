@@ -22,3 +22,14 @@ CUTS = {"continuous_composition": 10, "interactive_query": 20}
 def test_only_the_best_of_a_cut_are_shuffled(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(pairs#" in plan and f", 1, {CUTS[name]}" in plan
+
+
+#: Queries whose other tables grow too, with the least number of joins in which nothing may be broadcast.
+GROWING = {"rejection_sweep": 4}
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_growing_tables_are_not_broadcast(spark, small, name):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if " Join " in f" {line.lstrip(' :+-')}"]
+    assert len(joins) >= GROWING[name] and all("strategy=merge" in line for line in joins)
