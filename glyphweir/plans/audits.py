@@ -144,9 +144,7 @@ def sentence_recall(spark: SparkSession, folder: str) -> DataFrame:
 def labelled_rejection_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """At nine thresholds of the margin per key, codes whose first word is the text committed that are accepted, and others
     that are rejected; without a word there is no margin."""
-    wanted = V.commits(spark, folder).where("observed <> ''").groupBy("observed").agg(F.max("text").alias("expected"))
-    first = noisy.decode(wanted.select("observed"), V.words(spark, folder), 1).select("observed", "text")
-    each = _margins(spark, folder).select("observed", "margin").join(wanted, "observed").join(first, "observed", "left").withColumn("right", F.coalesce(F.col("text") == F.col("expected"), F.lit(False)))
+    each = _margins(spark, folder).withColumn("right", F.coalesce(F.col("first") == F.col("expected"), F.lit(False)))
     rows = each.select("right", "margin", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("threshold"))
     accepted = F.coalesce(F.col("margin") >= F.col("threshold"), F.lit(False))
     return rows.groupBy("threshold").agg(F.count_if("right").alias("n_right"), F.count_if(F.col("right") & accepted).alias("right_accepted"), F.count_if(~F.col("right")).alias("n_wrong"), F.count_if(~F.col("right") & ~accepted).alias("wrong_rejected"), F.count_if(~F.col("right") & F.col("margin").isNotNull()).alias("wrong_with_margin"))
