@@ -25,7 +25,7 @@ def test_only_the_best_of_a_cut_are_shuffled(spark, small, name):
 
 
 #: Queries whose other tables grow too, with the least number of joins in which nothing may be broadcast.
-GROWING = {"labelled_rejection_sweep": 4, "rejection_sweep": 4, "conservative_top1": 3, "frozen_pool_rerank": 3}
+GROWING = {"conservative_top1": 3, "frozen_pool_rerank": 3, "labelled_rejection_sweep": 4, "rejection_sweep": 4}
 
 
 @pytest.mark.parametrize("name", GROWING)
@@ -33,3 +33,9 @@ def test_growing_tables_are_not_broadcast(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if " Join " in f" {line.lstrip(' :+-')}"]
     assert len(joins) >= GROWING[name] and all("strategy=merge" in line for line in joins)
+
+
+@pytest.mark.parametrize("name", ["continuous_composition"])
+def test_readings_of_a_cut_are_shuffled_in_one_row(spark, small, name):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(collect_list(few#" in plan
