@@ -25,7 +25,7 @@ def test_only_the_best_of_a_cut_are_shuffled(spark, small, name):
 
 
 #: Queries whose other tables grow too, with the least number of joins in which nothing may be broadcast.
-GROWING = {"conservative_top1": 3, "frozen_pool_rerank": 3, "labelled_rejection_sweep": 4, "rejection_sweep": 4}
+GROWING = {"conservative_top1": 3, "frozen_pool_rerank": 3, "labelled_rejection_sweep": 4, "rejection_sweep": 4, "public_context_rerank": 5}
 
 
 @pytest.mark.parametrize("name", GROWING)
