@@ -39,3 +39,8 @@ def test_growing_tables_are_not_broadcast(spark, small, name):
 def test_readings_of_a_cut_are_shuffled_in_one_row(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten(collect_list(few#" in plan
+
+
+def test_words_of_fixed_readings_are_not_broadcast(spark, small):
+    plan = entry.queries()["protocol_decode_whole"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 4
