@@ -246,6 +246,12 @@ def test_transitions_joined_or_handed_out(spark, words):
         assert handed == joined and len({r[0] for r in handed}) == 5
 
 
+def test_a_model_holds_each_word_once(spark):
+    model = language.model(spark.createDataFrame([("ab", "cd", 1), ("cd", "ab", 2), ("ab", "ef", 3)], "prev string, cur string, n bigint"), 3)
+    words = [w for pair in model.pairs for w in pair]
+    assert model.totals == {"ab": 4, "cd": 2} and model.pairs[("cd", "ab")] == 2 and len({id(w) for w in words}) == 3
+
+
 def test_a_model_beyond_its_bound_is_no_model(spark, monkeypatch):
     monkeypatch.setattr(language, "PAIR_BOUND", 1)
     assert language.model(spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "prev string, cur string, n bigint"), 2) is None
