@@ -168,6 +168,13 @@ def test_readings_of_any_number_of_words(spark, words):
     assert [(r.id, r.text) for r in fixed] == [("a", "词库存"), ("a", "次库存")]
 
 
+def test_modes_read_together_are_those_read_apart(spark, words):
+    codes = spark.createDataFrame([(c,) for c in ("ci", "cikucp", "cicici", "cik", "cicik", "c", "kucpc", "zz", "zzcik", "ci" * 14 + "k")], "observed string")
+    got = {tuple(r) for r in lattice.full_and_shortcut(codes, words, 2).collect()}
+    apart = {(mode, r.observed, r["rank"], r.text, r.score) for mode, short in (("full", False), ("shortcut", True)) for r in corpus._readings(codes, words, 2, shortcuts=short).collect()}
+    assert got == apart and ("shortcut", "cik", "词库") in {(r[0], r[1], r[3]) for r in got}
+
+
 def test_second_reading_of_a_text(spark):
     rows = [(1, 1, "行", "hang", 9), (2, 1, "行", "xing", 5), (3, 1, "人", "ren", 4)]
     words = lexicon.lexicon(spark.createDataFrame(rows, "entry_id bigint, revision int, text string, pinyin string, frequency bigint"))

@@ -44,3 +44,8 @@ def test_readings_of_a_cut_are_shuffled_in_one_row(spark, small, name):
 def test_words_of_fixed_readings_are_not_broadcast(spark, small):
     plan = entry.queries()["protocol_decode_whole"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= 4
+
+
+def test_parts_of_typed_codes_are_made_once_and_sifted(spark, small):
+    plan = entry.queries()["protocol_decode_whole"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("shiftrightunsigned") >= 2
