@@ -163,6 +163,19 @@ def test_swapped_sentences(spark, small, monkeypatch):
     assert spans == {("icku", 0, 1, "词库")}
 
 
+def test_swaps_of_long_codes_are_recovered(spark, small, monkeypatch):
+    """A swap at the end of a code of eighteen keys, whose first words as typed are others."""
+    rows = [(f"近{k}", "la", 9000 - 7 * k) for k in range(12)] + [("换", "lu", 3)]
+    words = lexicon.lexicon(spark.createDataFrame([(i, 1, *r) for i, r in enumerate(rows)], "entry_id bigint, revision int, text string, pinyin string, frequency bigint"))
+    monkeypatch.setattr(audits.V, "words", lambda *a: words)
+    monkeypatch.setattr(audits.V, "observed", lambda *a: spark.createDataFrame([("la" * n + "ul",) for n in (2, 8)] + [("l",)], "observed string"))
+    got = audits.swap_recovery_sentences(spark, small).collect()
+    for n in (2, 8):
+        own = sorted((r["rank"], r.text, r.place) for r in got if r.observed == "la" * n + "ul")
+        assert [rank for rank, *_ in own] == [1, 2, 3, 4, 5] and all(text.endswith("换") and place == 2 * n + 1 for _, text, place in own)
+    assert {len(r.observed) for r in got} == {6, 18}
+
+
 def test_best_segmentation_prefers_known_transitions(spark, small):
     rows = audits.best_segmentation(spark, small)
     assert rows.count() == rows.select("observed", "text").distinct().count() > 0
